@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .near_dup import op2_minhash_forest
+from .quality import op4_quality_rules
+from .suffix_dedup import op7_suffix_array
 
 QUERIES = {
     "op2_minhash_forest": op2_minhash_forest,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_suffix_array": op7_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {}
