@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op10_byte_bpe
 from .near_dup import op2_minhash_forest
+from .packing import op5_best_fit
 from .quality import op4_quality_rules
 from .suffix_dedup import op7_suffix_array
 
 QUERIES = {
     "op2_minhash_forest": op2_minhash_forest,
     "op4_quality_rules": op4_quality_rules,
+    "op5_best_fit": op5_best_fit,
     "op7_suffix_array": op7_suffix_array,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
