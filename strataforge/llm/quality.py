@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, table, with_ids
 from .textvec import Words, slices
 
 #: Labelled rows that the learner may see at most; it runs on the driver.
@@ -231,4 +231,4 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the base test or the decision list rejects go."""
     verdicts = judge(docs, table(spark, sf_dir, "labels"))
-    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, verdicts.where("not kept"), "left_anti").select(docs.columns)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,3 +54,17 @@ def discard(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that may be broadcast; a hashed table of so many takes about 64 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``docs`` whose ``doc_id`` is (or, for ``left_anti``, is not) in ``ids``.
+
+    The ids are counted first.  Up to ``most`` of them go to every executor, and
+    the texts stay where they are; beyond that both sides are shuffled.
+    """
+    ids = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
