@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from . import embedding_dedup, warc
 from .bpe import op10_byte_bpe
+from .embedding_dedup import op3_embedding_cells
 from .near_dup import op2_minhash_forest
 from .packing import op5_best_fit
 from .quality import op4_quality_rules
 from .suffix_dedup import op7_suffix_array
+from .warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_minhash_forest": op2_minhash_forest,
+    "op3_embedding_cells": op3_embedding_cells,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit": op5_best_fit,
     "op7_suffix_array": op7_suffix_array,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
+    "op3_embedding_cells": embedding_dedup.ORACLE,
+}
