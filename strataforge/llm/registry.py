@@ -8,6 +8,7 @@ from .embedding_dedup import op3_embedding_cells
 from .near_dup import op2_minhash_forest
 from .packing import op5_best_fit
 from .quality import op4_quality_rules
+from .secret_scan import op6_secret_index
 from .suffix_dedup import op7_suffix_array
 from .warc import op1_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_embedding_cells": op3_embedding_cells,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit": op5_best_fit,
+    "op6_secret_index": op6_secret_index,
     "op7_suffix_array": op7_suffix_array,
     "op10_byte_bpe": op10_byte_bpe,
 }
