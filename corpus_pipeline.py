@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import near_dup
+from strataforge.llm import near_dup, packing, quality, secret_scan, suffix_dedup
 from strataforge.llm.shared import materialize
 
 STAGES = [
+    ("quality_rules", quality.keep_good),
     ("near_dedup", near_dup.keep_one_of_each),
+    ("suffix_dedup", suffix_dedup.cut_repeats),
+    ("secret_scan", secret_scan.redact),
+    ("packing", packing.pack_corpus),
 ]
 
-#: MinHash, suffix arrays and packing have no SQL form; tests/llm holds the stages against brute force.
+#: Learned rules, MinHash and packing have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
