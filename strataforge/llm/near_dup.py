@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .shared import discard, materialize, table
+from .shared import materialize, table, with_ids
 from .textvec import Words, slices, strings
 
 TREES, DEPTH, SHALLOW, WINDOW = 20, 6, 4, 4
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def full(of: DataFrame) -> DataFrame:
-        return sets.join(of.distinct(), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, words binary").dropDuplicates(["doc_id"])
+        return with_ids(sets, of.distinct()).mapInArrow(_sets(shingle), "doc_id long, words binary").dropDuplicates(["doc_id"])
 
     pairs = materialize(pairs, "pairs")
     words = materialize(full(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
@@ -226,4 +226,4 @@ def op2_minhash_forest(spark, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five words, 0.8) one document stays."""
     verdict = materialize(near_duplicates(docs, shingle=5, percent=80), "verdicts")
-    return docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return with_ids(docs, verdict.where("not kept"), "left_anti").select(docs.columns)
