@@ -5,11 +5,13 @@ from __future__ import annotations
 from . import embedding_dedup, warc
 from .bpe import op10_byte_bpe
 from .embedding_dedup import op3_embedding_cells
+from .license_scan import op8_licence_classifier
 from .near_dup import op2_minhash_forest
 from .packing import op5_best_fit
 from .quality import op4_quality_rules
 from .secret_scan import op6_secret_index
 from .suffix_dedup import op7_suffix_array
+from .token_rollup import op9_token_rollup
 from .warc import op1_warc
 
 QUERIES = {
@@ -20,6 +22,8 @@ QUERIES = {
     "op5_best_fit": op5_best_fit,
     "op6_secret_index": op6_secret_index,
     "op7_suffix_array": op7_suffix_array,
+    "op8_licence_classifier": op8_licence_classifier,
+    "op9_token_rollup": op9_token_rollup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
