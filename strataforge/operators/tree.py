@@ -1,0 +1,65 @@
+"""Nested command trees as relations, on VARIANT columns."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Fields of a command that hold commands.  Fixed values.
+NESTED = ("commands", "trueCommands", "falseCommands", "onSelectedCommands", "onCancelSelectedCommands")
+
+
+def index_commands(trees: DataFrame, key: str, tree: str, most_depth: int = 50) -> DataFrame:
+    """One row per command of JSON trees: stream, ordinal, type, depth, path and JSON text.
+
+    A level of all trees is one step, so the number of steps is the depth of the
+    deepest tree, whatever their number.  ``stream_key`` is ``main`` for the top
+    list and ``parent/ordinal/field`` below; ordinals count list entries from 0.
+    """
+    level = trees.select(F.col(key).alias("tree_key"), F.lit("main").alias("stream_key"), F.expr(f"variant_get(parse_json({tree}), '$.commands', 'array<variant>')").alias("list"))
+    found: list[DataFrame] = []
+    for depth in range(most_depth):
+        rows = level.select("tree_key", "stream_key", F.posexplode("list").alias("ordinal", "command"))
+        rows = rows.where(F.expr("startswith(schema_of_variant(command), 'OBJECT')"))
+        found.append(rows.select("tree_key", "stream_key", "ordinal", F.expr("upper(coalesce(try_variant_get(command, '$.type', 'string'), ''))").alias("type"), F.lit(depth).alias("depth"), F.expr("to_json(command)").alias("command_json")))
+        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.expr(f"coalesce(try_variant_get(command, '$.parameters.{f}', 'array<variant>'), try_variant_get(command, '$.{f}', 'array<variant>'))").alias("list")) for f in NESTED))
+        options = F.expr("transform(coalesce(try_variant_get(command, '$.parameters.options', 'array<variant>'), array()), (o, i) -> struct(concat('options/', i) as field, try_variant_get(o, '$.commands', 'array<variant>') as list))")
+        below = rows.select("tree_key", "stream_key", "ordinal", F.explode(F.concat(fields, options)).alias("b")).where("b.list is not null")
+        level = below.select("tree_key", F.concat_ws("/", "stream_key", F.col("ordinal").cast("string"), "b.field").alias("stream_key"), F.col("b.list").alias("list"))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def leaves(df: DataFrame, key: str, json: str, most_depth: int = 50) -> DataFrame:
+    """``(key, path, value)``: every scalar leaf of JSON texts with its path."""
+    level = df.select(F.col(key), F.lit("$").alias("path"), F.expr(f"try_parse_json({json})").alias("v")).where("v is not null")
+    found: list[DataFrame] = []
+    for _ in range(most_depth):
+        kind = F.expr("schema_of_variant(v)")
+        scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        found.append(level.where(scalar).select(key, "path", F.expr("try_variant_get(v, '$', 'string')").alias("value")))
+        inner = level.where(~scalar)
+        inside = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key_").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key_")))
+        level = inside.toDF(key, "path", "v", "pos", "key_", "value").select(key, F.concat("path", step).alias("path"), F.col("value").alias("v"))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def script_lines(df: DataFrame, key: str, text: str, indent: int = 4, most_depth: int = 16) -> DataFrame:
+    """Lines of an indented script as rows: place, depth, head word, rest, and the line they stand under.
+
+    The parent is the last earlier line that is one step less indented.
+    """
+    from pyspark.sql import Window
+
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw")).where("trim(raw) <> ''")
+    lines = lines.withColumn("depth", (F.length(F.regexp_extract("raw", "^( *)", 1)) / indent).cast("int")).withColumn("head", F.upper(F.regexp_extract("raw", r"^\s*(\S+)", 1))).withColumn("rest", F.trim(F.regexp_replace("raw", r"^\s*\S+", "")))
+    ahead = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.array(*(F.last(F.when(F.col("depth") == d, F.col("line")), ignorenulls=True).over(ahead) for d in range(most_depth)))
+    parent = F.when((F.col("depth") > 0) & (F.col("depth") <= most_depth), F.get(above, F.col("depth") - 1))
+    return lines.select(key, "line", "depth", "head", "rest", parent.alias("parent"))

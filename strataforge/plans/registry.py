@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import curation, flows, reports
+
+QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES
+ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL
