@@ -68,7 +68,7 @@ def variable_names(text: Column) -> Column:
 def preview(text: Column, lines: int = 8) -> Column:
     """First non-blank lines, trimmed, joined by `` / ``."""
     kept = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.concat_ws(" / ", F.transform(F.slice(kept, 1, lines), F.trim))
+    return F.concat_ws(" / ", F.transform(F.slice(kept, 1, lines), lambda x: F.trim(x)))
 
 
 def nearest_rank(values: Column, q: float) -> Column:

@@ -42,7 +42,7 @@ def markdown_rows(text: DataFrame, key: str, column: str) -> DataFrame:
     lines = text.select(key, F.posexplode(F.split(column, "\n")).alias("line", "raw"))
     above = Window.partitionBy(key).orderBy("line")
     heading = F.last(F.when(F.col("raw").rlike("^#+ "), F.regexp_replace("raw", "^#+ +", "")), ignorenulls=True).over(above)
-    cells = F.transform(F.split(F.regexp_replace(F.trim("raw"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("raw"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.withColumn("heading", heading).where(F.col("raw").rlike(r"^\s*\|.*\|\s*$") & ~F.col("raw").rlike(r"^[\s|:-]+$"))
     return rows.select(key, "line", "heading", cells.alias("cells"))
 
