@@ -40,6 +40,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
 )
 BASE = 3
+#: The column of found spans, named so that it clashes with none of the documents'.
+SECRETS = "strataforge_secrets"
 #: A match of these is dropped for its length alone, so a shorter search finds the same ones.
 _QUICK = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}
 #: Strings that one stretch of a pattern may stand for before it is no longer followed.
@@ -167,16 +169,16 @@ def spans(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``; other columns stay) with ``secrets``: its spans, by start and kind.
+    """``docs`` (``doc_id``, ``text``; other columns stay) with ``SECRETS``: its spans, by start and kind.
 
     A null or empty text, and one without secrets, has an empty list; rows that
     repeat an id, and rows without one, each get the spans of their own text.
     """
-    found = spans(docs, rules).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "place", "end", "kind", "before"))).alias("secrets"))
-    found = found.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"), "secrets")
-    keyed = docs.withColumn("text_key_", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("of_doc")) & (F.col("text_key_") == F.col("of_text")), "left")
-    return joined.select(*docs.columns, F.coalesce("secrets", F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string,before:int>>)")).alias("secrets"))
+    found = spans(docs, rules).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "place", "end", "kind", "before"))).alias(SECRETS))
+    found = found.select(F.col("doc_id").alias("strataforge_doc"), F.col("text_key").alias("strataforge_text"), SECRETS)
+    keyed = docs.withColumn("strataforge_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("strataforge_doc")) & (F.col("strataforge_key") == F.col("strataforge_text")), "left")
+    return joined.select(*docs.columns, F.coalesce(SECRETS, F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string,before:int>>)")).alias(SECRETS))
 
 
 def _listed(of: Column) -> Column:
@@ -185,7 +187,7 @@ def _listed(of: Column) -> Column:
 
 def op6_secret_index(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    secrets = F.col("secrets")
+    secrets = F.col(SECRETS)
     base = F.filter(secrets, lambda s: s["place"] < BASE)
     number = lambda k: F.size(F.filter(secrets, lambda s: s["place"] == k)).cast("long")
     return scan(docs).select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(secrets).alias("spans"))
@@ -195,9 +197,9 @@ def redact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each secret becomes ``[SECRET]``; spans that overlap become one.  ``n_chars`` follows the text."""
     found = scan(docs)
     piece = lambda s: F.when(s["start"] >= s["before"], F.concat(F.col("text").substr(s["before"] + 1, s["start"] - s["before"]), F.lit("[SECRET]"))).otherwise("")
-    last = F.array_max(F.transform("secrets", lambda s: s["end"]))
-    text = F.concat(F.concat_ws("", F.transform("secrets", piece)), F.col("text").substr(last + 1, F.length("text")))
-    changed = F.size("secrets") > 0
+    last = F.array_max(F.transform(SECRETS, lambda s: s["end"]))
+    text = F.concat(F.concat_ws("", F.transform(SECRETS, piece)), F.col("text").substr(last + 1, F.length("text")))
+    changed = F.size(SECRETS) > 0
     out = found.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -38,6 +38,8 @@ BEFORE = SPAN - 1
 HALF = BEFORE // 2
 #: Buckets for each shuffle partition.
 BUCKETS = 4
+#: Columns beside those of the documents, named so that they clash with none.
+SPANS, CUT = "strataforge_spans", "strataforge_cut"
 _RNG = np.random.Generator(np.random.PCG64(31337))
 _CHARS = _RNG.integers(0, 2**64, size=256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -308,7 +310,7 @@ def _merged(size: int, spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _spans(batch: pa.RecordBatch):
-    at = batch.column("spans")
+    at = batch.column(SPANS)
     for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
         text = text or b""
         spans = at[i].values if at[i].is_valid else None
@@ -334,11 +336,11 @@ def _cut(batches):
     for batch in slices(batches, "text"):
         rows = [(_without(text, spans).decode("utf-8", "ignore"), bool(spans)) for text, spans in _spans(batch)]
         out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([r[0] for r in rows], pa.string()))
-        yield out.drop_columns(["spans"]).append_column("cut", pa.array([r[1] for r in rows], pa.bool_()))
+        yield out.drop_columns([SPANS]).append_column(CUT, pa.array([r[1] for r in rows], pa.bool_()))
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = repeated_intervals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_intervals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias(SPANS))
     return docs.join(spans, "doc_id", "left")
 
 
@@ -354,9 +356,9 @@ def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A character that a cut divides goes whole.  ``n_chars`` follows the text.
     """
-    joined = _with_spans(docs).select(*docs.columns, "spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", cut boolean"
-    cut = joined.mapInArrow(_cut, schema).where("not cut or length(trim(text)) > 0")
+    joined = _with_spans(docs).select(*docs.columns, SPANS)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {CUT} boolean"
+    cut = joined.mapInArrow(_cut, schema).where(f"not {CUT} or length(trim(text)) > 0")
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(CUT), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(docs.columns)
