@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, warc
+from . import document_sql, embedding_dedup, warc
 from .bpe import op10_byte_bpe
 from .embedding_dedup import op3_embedding_cells
 from .license_scan import op8_licence_classifier
@@ -29,5 +29,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE,
+    "op2_minhash_forest": document_sql.NEAR,
     "op3_embedding_cells": embedding_dedup.ORACLE,
+    "op6_secret_index": document_sql.SECRETS,
+    "op7_suffix_array": document_sql.REPEATS,
 }
