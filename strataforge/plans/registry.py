@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, flows, reports
+from . import audits, curation, flows, reports
 
-QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES
-ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL
+QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES
+ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL
