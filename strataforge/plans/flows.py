@@ -190,7 +190,7 @@ SQL = {
     "signal_edges": "SELECT DISTINCT a.user_id AS producer, a.ts::DATE AS day, b.user_id AS listener FROM events a JOIN events b ON a.ts::DATE = b.ts::DATE WHERE a.event_type = 'signup' AND b.event_type = 'purchase'",
     "unresolved_edges": """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
         SELECT user_id, 'not_heard' AS problem FROM a WHERE user_id NOT IN (FROM b) UNION ALL SELECT user_id, 'not_emitted' FROM b WHERE user_id NOT IN (FROM a)""",
-    "debounce": """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    "debounce": """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
         r(user_id, event_id, ms) AS (SELECT user_id, event_id, ms FROM o WHERE n = 1
           UNION ALL SELECT user_id, event_id, ms FROM (SELECT o.user_id, o.event_id, o.ms, row_number() OVER (PARTITION BY o.user_id ORDER BY o.ms) AS k FROM r JOIN o ON o.user_id = r.user_id AND o.ms >= r.ms + 21600000) WHERE k = 1)
         SELECT user_id, event_id FROM r""",

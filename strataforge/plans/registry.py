@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audits, curation, flows, reports
+from . import assets, audits, curation, flows, reports
 
-QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES
-ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL
+QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES | assets.QUERIES
+ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL | assets.SQL
