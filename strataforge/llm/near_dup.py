@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .shared import materialize, table, with_ids
+from .shared import materialize, small_batches, table, with_ids
 from .textvec import Words, slices, strings
 
 TREES, DEPTH, SHALLOW, WINDOW = 20, 6, 4, 4
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Equal sets always link; repeated ``doc_id`` values share their verdict.
     Rows with a null ``doc_id`` are not part of the result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.where("doc_id is not null")
     signed = materialize(signatures(docs, shingle), "signatures")
     # sets that are equal: the smallest document stands for all of them
@@ -202,7 +203,7 @@ def _crowded(crowd: DataFrame, reps: DataFrame, links: DataFrame, labels: DataFr
     if crowd.isEmpty():
         return links, labels
     # regions that share a document belong to one cluster: its smallest document names it
-    anchor = crowd.groupBy("region").agg(F.min("doc_id").alias("low"))
+    anchor = materialize(crowd.groupBy("region").agg(F.min("doc_id").alias("low")), "anchors")
     cluster = components(crowd.join(anchor, "region").where("doc_id <> low").select("doc_id", "low").distinct(), "doc_id", "low")
     cluster = cluster.withColumnRenamed("component", "cluster")
     member = materialize(cluster.join(labels, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component")), "clusters")

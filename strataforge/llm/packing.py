@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, small_batches, table
 from .textvec import slices
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,10 +57,29 @@ class WordTokenizer:
         self.model.encode_special_tokens = True
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _model(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], many: int = 512) -> list[bytes]:
+        """Ids of single words, many to a call: each word's last token, and no other, is one that ends a word."""
+        out: list[bytes] = []
+        cut = [words[i : i + many] for i in range(0, len(words), many)]
+        for part, e in zip(cut, self.model.encode_batch_fast([" ".join(p) for p in cut], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):
+                out += self._model(part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for b in stops.tolist():
+                out.append(raw[a:b])
+                a = b
+        return out
+
     def learn(self, chunks: set[bytes]) -> None:
         split, other, words = {}, [], set()
         for c in chunks:
@@ -74,7 +93,7 @@ class WordTokenizer:
         if len(self.words) + len(words) > MEMORY:
             self.words.clear()
         words = list(words.difference(self.words))
-        self.words.update(zip(words, self._model(words), strict=True))
+        self.words.update(zip(words, self._words(words), strict=True))
         get = self.words.__getitem__
         for c, ws in split.items():
             self.chunks[c] = get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws))
@@ -124,6 +143,7 @@ def _cut(vocabulary: str, capacity: int):
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """Documents as token pieces; only those longer than ``capacity`` are cut.  Null and empty texts are one end token."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(vocabulary, capacity), _PIECES)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table, with_ids
+from .shared import materialize, small_batches, table, with_ids
 from .textvec import Words, slices
 
 #: Labelled rows that the learner may see at most; it runs on the driver.
@@ -101,6 +101,7 @@ def _statistics(batches):
 
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts of every whole text; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics, _SCHEMA)
 
 

@@ -13,8 +13,10 @@ bytes represent all of them.
    by their leading bytes with sampled splitters.  A range sorts them locally by
    multikey quicksort on eight-byte keys, forwards and backwards, and reads runs
    of equal windows from the common prefixes of neighbours.
-3. Windows in the runs at either end of a range may go on in the next range;
-   the first one of each such run is compared across the boundaries.
+3. Windows in the runs at either end of a range may go on in the next range.
+   The first ones of such runs are compared across the boundaries: their anchors
+   are dealt once more, by the text before them, and what still touches an end
+   is compared by hashes of the windows.
 4. The intervals meet the texts again, by document.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, table
+from .shared import discard, materialize, small_batches, table
 from .textvec import slices, strings
 
 MATCH, GRAM = 100, 32
@@ -104,7 +106,7 @@ def _substring(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _list(buckets: int):
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             data, at = strings(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             where, gram, sums = anchors(data, at)
@@ -233,52 +235,76 @@ def _window(after: np.ndarray, before: np.ndarray, off: int) -> bytes:
     return hashlib.blake2b(before[:off][::-1].tobytes() + after[: MATCH - off].tobytes(), digest_size=16).digest()
 
 
-def _sorted_range(batches):
-    """Windows of one range that occur earlier in it, as intervals; and the first ones of runs at its ends (``window`` set)."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows).sort_by([("doc_id", "ascending"), ("pos", "ascending")])
-    doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy().astype(np.int64)
-    after, n_after = _padded(t.column("after"), MATCH)
-    before, n_before = _padded(t.column("before"), BEFORE)
-    (ahead, common_ahead), (back, common_back) = multikey_sort(after), multikey_sort(before)
-    m = len(doc)
-    gone = np.zeros((m, SPAN + 2), dtype=bool)
-    open_rows: list[tuple[int, int]] = []
-    for off in range(SPAN):
-        run, last = _runs(ahead, common_ahead, MATCH - off)
-        run_back, _ = _runs(back, common_back, off)
-        live = np.flatnonzero((n_after >= MATCH - off) & (n_before >= off))
-        if not len(live):
-            continue
-        key = run[live] * m + run_back[live]
-        order = np.argsort(key, kind="stable")
-        again = np.zeros(len(live), dtype=bool)
-        again[1:] = np.diff(key[order]) == 0
-        who = live[order]
-        gone[who[again], off + 1] = True
-        edge = who[~again & ((run[who] == 0) | (run[who] == last))]
-        open_rows += [(int(i), off) for i in edge]
-    change = np.diff(gone.astype(np.int8), axis=1)
-    r0, o0 = np.nonzero(change == 1)
-    r1, o1 = np.nonzero(change == -1)
-    starts, ends = pos[r0] - (o1 - 1), pos[r0] - o0 + MATCH
-    bytes_after, bytes_before = (x.astype(">u8").view(np.uint8).reshape(m, -1) for x in (after, before))
-    k = len(open_rows)
-    oi = np.array([i for i, _ in open_rows], np.int64)
-    oo = np.array([o for _, o in open_rows], np.int64)
-    windows = [None] * len(r0) + [_window(bytes_after[i], bytes_before[i], o) for i, o in open_rows]
-    begin = pos[oi] - oo if k else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([doc[r0], doc[oi] if k else np.zeros(0, np.int64)])), pa.array(np.concatenate([starts, begin])), pa.array(np.concatenate([ends, begin + MATCH])), pa.array(windows, pa.binary())],
-        names=["doc_id", "begin", "end", "window"],
-    )
+_FOUND = "doc_id long, begin long, end long, window binary, pos int, after binary, before binary, offs binary"
+
+
+def _sorted_range(forwards: bool):
+    """Equal windows of one range, sorted by the text from the anchor on, or before it.
+
+    Yields intervals of windows that occur earlier in the range.  The first
+    window of a run that touches an end of the range may still have an equal in
+    another range: forwards such anchors are passed on whole, with the places of
+    their open windows (``offs``), to be sorted by the text before them;
+    backwards the few that are left become hashes (``window``).
+    """
+
+    def run(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).sort_by([("doc_id", "ascending"), ("pos", "ascending")]).combine_chunks()
+        del rows
+        doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy().astype(np.int64)
+        after, n_after = _padded(t.column("after"), MATCH)
+        before, n_before = _padded(t.column("before"), BEFORE)
+        (ahead, common_ahead), (back, common_back) = multikey_sort(after), multikey_sort(before)
+        m = len(doc)
+        asked = np.ones((m, SPAN), dtype=bool)
+        if not forwards:
+            asked = np.unpackbits(strings(t.column("offs"))[0].reshape(m, -1), axis=1)[:, :SPAN].astype(bool)
+        gone, held = np.zeros((m, SPAN + 2), dtype=bool), np.zeros((m, SPAN), dtype=bool)
+        for off in range(SPAN):
+            live = np.flatnonzero((n_after >= MATCH - off) & (n_before >= off) & asked[:, off])
+            if not len(live):
+                continue
+            runs = _runs(ahead, common_ahead, MATCH - off), _runs(back, common_back, off)
+            key = runs[0][0][live] * m + runs[1][0][live]
+            order = np.argsort(key, kind="stable")
+            again = np.zeros(len(live), dtype=bool)
+            again[1:] = np.diff(key[order]) == 0
+            who = live[order]
+            gone[who[again], off + 1] = True
+            number, last = runs[0] if forwards else runs[1]
+            first = who[~again]
+            held[first[(number[first] == 0) | (number[first] == last)], off] = True
+        change = np.diff(gone.astype(np.int8), axis=1)
+        (r0, o0), (_, o1) = np.nonzero(change == 1), np.nonzero(change == -1)
+        none = lambda n, kind: pa.nulls(n, kind)
+        names = ["doc_id", "begin", "end", "window", "pos", "after", "before", "offs"]
+        k = len(r0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r0]), pa.array(pos[r0] - (o1 - 1)), pa.array(pos[r0] - o0 + MATCH), none(k, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary())], names=names)
+        if forwards:
+            on = np.flatnonzero(held.any(axis=1))
+            k = len(on)
+            part = t.take(pa.array(on)).combine_chunks()
+            column = lambda n: part.column(n).combine_chunks() if k else none(0, part.schema.field(n).type)
+            packed = [x.tobytes() for x in np.packbits(held[on], axis=1)]
+            yield pa.RecordBatch.from_arrays([column("doc_id"), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), column("pos"), column("after"), column("before"), pa.array(packed, pa.binary())], names=names)
+            return
+        oi, oo = np.nonzero(held)
+        k = len(oi)
+        bytes_after, bytes_before = (x.astype(">u8").view(np.uint8).reshape(m, -1) for x in (after, before))
+        windows = [_window(bytes_after[i], bytes_before[i], o) for i, o in zip(oi.tolist(), oo.tolist(), strict=True)]
+        begin = pos[oi] - oo
+        yield pa.RecordBatch.from_arrays([pa.array(doc[oi]), pa.array(begin), pa.array(begin + MATCH), pa.array(windows, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary())], names=names)
+
+    return run
 
 
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """``(doc_id, begin, end)``: byte intervals whose every byte is in a window that also starts earlier; they may overlap."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = docs.mapInArrow(_list(buckets), "bucket int, entries binary")
@@ -287,8 +313,11 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     places = anchored.where("open").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     suffixes = materialize(docs.join(places, "doc_id").mapInArrow(_surroundings, "doc_id long, pos int, after binary, before binary"), "suffixes")
     ranged = suffixes.repartitionByRange("after", "before", "doc_id", "pos")
-    found = materialize(ranged.mapInArrow(_sorted_range, "doc_id long, begin long, end long, window binary"), "windows")
+    found = materialize(ranged.mapInArrow(_sorted_range(True), _FOUND), "windows")
     discard(suffixes)
+    onward = found.where("offs is not null").select("doc_id", "pos", "after", "before", "offs")
+    across = materialize(onward.repartitionByRange("before", "after", "doc_id", "pos").mapInArrow(_sorted_range(False), _FOUND), "windows-across")
+    found = found.where("offs is null").unionByName(across)
     edges = found.where("window is not null")
     first = materialize(edges.groupBy("window").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
     crossing = edges.join(first, "window").where(F.struct("doc_id", "begin") != F.col("first")).select("doc_id", "begin", "end")
