@@ -119,6 +119,15 @@ def test_bpe_equals_library(spark):
     assert all(bytes(back[i]) == t.encode() for i, t in enumerate(texts))
 
 
+def test_licence_sample_is_the_smallest_hashes(spark):
+    lines = spark.range(3000).selectExpr("id % 900 as doc_id", "cast(0 as int) as place", "concat('line ', id % 900) as paragraph")
+    hashed = lines.distinct().selectExpr("xxhash64(doc_id, place) as h", "doc_id", "paragraph").collect()
+    for most in (50, 5000):
+        plain = [r["paragraph"] for r in sorted(hashed)[:most]]
+        assert sorted(r["paragraph"] for r in license_scan._sample(lines, most).collect()) == sorted(plain)
+    assert license_scan._sample(lines.limit(0), 10).count() == 0
+
+
 def test_licences(spark):
     notices = {1: "Released under the MIT License.", 2: "text\nLicensed under the Apache License, Version 2.0.\nmore", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "Licensed under CC BY-NC 4.0.", 5: "All rights reserved.", 6: "the end of the day", 7: None, 8: "", 9: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation files, to deal in the Software"}
     plain = {100 + i: t for i, t in brute.corpus(5).items()}
