@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -138,6 +139,35 @@ def test_licences(spark):
     assert found == {1: ["mit"], 2: ["apache-2.0"], 3: ["gpl-3.0"], 4: ["cc-by-nc"], 5: ["reserved"], 9: ["mit"]}
 
 
+LONG_NOTICES = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "apache-2.0": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want = [], {}
+    for i, (family, text) in enumerate(LONG_NOTICES.items()):
+        for j, (width, mark) in enumerate([(70, ""), (75, " * "), (80, "# "), (30, "")]):
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(text, width))
+            rows.append((10 * i + j, f"the end of the day\n\n{wrapped}\n\nand the rest of it"))
+            want[10 * i + j] = {family}
+    both = [textwrap.fill(LONG_NOTICES[f], 75) for f in ("mit", "bsd")]
+    rows += [(90, "\n\n".join(both)), (91, "\n".join(both)), (92, f"{both[0]}\nLicensed under CC BY-NC 4.0."), (93, "word\n".join(LONG_NOTICES["mit"].split()[::5]))]
+    want |= {90: {"mit", "bsd"}, 91: {"mit", "bsd"}, 92: {"mit", "cc-by-nc"}}
+    plain = {100 + i: t for i, t in brute.corpus(5).items()}
+    df = spark.createDataFrame([*rows, *plain.items()], "doc_id long, text string")
+    found, counts = {}, {}
+    for r in license_scan.licence_paragraphs(df).where("confirmed").collect():
+        found.setdefault(r.doc_id, set()).add(r.family)
+        counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
+    assert found == want
+    assert all(counts[i] == len(f) for i, f in want.items())
+
+
 def test_rollup(spark):
     rows = [(1, "a b", "s", "en"), (2, "a b", "s", "en"), (3, None, "s", None), (4, "c", None, "en")]
     counts = token_rollup.counted(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
