@@ -102,3 +102,36 @@ def shared_word_grams(left: DataFrame, right: DataFrame, left_id: str, right_id:
         return cut.select(key, F.explode(runs).alias("gram")).distinct()
 
     return grams(left, left_id).join(grams(right, right_id), "gram").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+
+
+#: A token is one letter of a script written without spaces, or a whole run of other letters and digits.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_TOKEN = rf"[{_UNSPACED}]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
+#: Keys that may be broadcast.
+BROADCAST_KEYS = 2_000_000
+
+
+def whole_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, size: int = 8) -> DataFrame:
+    """``(doc_id, item_id)`` for each document and item whose whole text stands in the document's.
+
+    The tokens of an item but its first and last stand whole in every text that
+    holds it.  A run of up to ``size`` of them, the one with the most letters,
+    is the item's key, and texts with the key are verified.  Items of fewer
+    than three tokens have no such run and are looked for in every text.
+    """
+    tokens = lambda df: df.withColumn("w", F.regexp_extract_all(text, F.lit(_TOKEN), 0))
+    runs = lambda w, n: f"if(size({w}) < {n}, array(), transform(sequence(1, greatest(size({w}) - {n} + 1, 1)), i -> array_join(slice({w}, i, {n}), ' ')))"
+    cut = tokens(items.where(F.col(text).isNotNull()).select(F.col(item_id).alias("item"), F.col(text).alias("item_text"), text))
+    inner = cut.where(F.size("w") > 2).withColumn("w", F.slice("w", F.lit(2), F.size("w") - 2)).withColumn("n", F.least(F.size("w"), F.lit(size)))
+    keys = inner.withColumn("runs", F.expr(runs("w", "n"))).select("item", "item_text", "n", F.expr("array_max(transform(runs, r -> struct(length(r) as l, r as r))).r").alias("key"))
+    sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())
+    short = cut.where(F.size("w") <= 2).select("item", "item_text")
+    held = F.contains(F.col(text), F.col("item_text"))
+    found = docs.select(doc_id, text).crossJoin(F.broadcast(short)).where(held).select(doc_id, F.col("item").alias(item_id))
+    if not sizes:
+        return found
+    grams = tokens(docs.select(doc_id, text)).select(F.col(doc_id).alias("doc"), F.explode(F.concat(*(F.expr(runs("w", n)) for n in sizes))).alias("key"))
+    wanted = keys.select("key").distinct()
+    near = grams.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "key").distinct()
+    texts = docs.select(doc_id, text).join(near, F.col(doc_id).eqNullSafe(F.col("doc")))
+    return texts.join(keys, "key").where(held).select(doc_id, F.col("item").alias(item_id)).unionByName(found)

@@ -94,11 +94,8 @@ def search_substring(spark, d):
 
 
 def leak_check_exact(spark, d):
-    """Benchmark items whose whole text stands in a document, by way of shared word runs."""
-    docs, items = _read(spark, d, "documents"), _read(spark, d, "benchmark")
-    near = curate.shared_word_grams(docs, items, "doc_id", "item_id", "text", 8).where("shared >= 3")
-    joined = near.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
-    return joined.where(F.contains("text", "item")).select("doc_id", "item_id")
+    """Benchmark items whose whole text stands in a document, by way of a run of tokens that each item has."""
+    return curate.whole_items(_read(spark, d, "documents"), _read(spark, d, "benchmark"), "doc_id", "item_id", "text")
 
 
 def leak_check_ngram(spark, d):

@@ -3,11 +3,14 @@ from __future__ import annotations
 import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strataforge.functions import scalars
 from strataforge.operators import curate, events, ordered, report, rules, space, tree
+from strataforge.plans import curation
+from tests.oracle import difference
 
 
 @pytest.mark.parametrize("modulus", [2, 5, 10, 15])
@@ -66,6 +69,23 @@ def test_overlay_and_exclude(spark):
     assert {tuple(r) for r in curate.overlay(base, repairs, "id", ["t"], "action").collect()} == {(1, "A", True), (3, "c", False)}
 
 
+def test_whole_items_of_any_length_and_script(spark, tmp_path):
+    sentence = "One two, three four five six seven eight nine ten."
+    items = [" ".join(sentence.split()[:n]) for n in range(1, 11)]
+    items += ["Съешь ещё этих мягких булок", "νὺξ δ' ὀρφναίη τὸν ἔχει", "我能吞下玻璃而不伤身体", "いろはにほへとちりぬるを", "字", "นายสังฆภัณฑ์", "यह एक वाक्य है", "a b a b a b a b a b a b", "", "...", "x\ny z", "wo, three fo", "absent words of this", None]
+    texts = [f"Before{t}after" for t in items if t is not None and not t.startswith("absent")] + [sentence.lower(), "", None, "我能吞下玻璃", "a b a b a b", "One two,  three four"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, "One two, three"), (None, "x\ny z")]
+    want = sorted(((d, i) for d, t in docs for i, x in enumerate(items) if t is not None and x is not None and x in t), key=str)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((tuple(r) for r in curation.leak_check_exact(spark, str(tmp_path)).collect()), key=str)
+    assert got == want
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert difference(curation.leak_check_exact(spark, str(tmp_path)), con, curation.SQL["leak_check_exact"]) == ""
+
+
 def test_debounce_counts_from_last_accepted(spark):
     df = spark.sql("select 1 as k, id, timestamp_millis(id * 400) as ts from range(6)")
     assert sorted(r.id for r in events.debounce(df, "k", "ts", 700).collect()) == [0, 2, 4]
