@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,21 @@ def test_empty_tables(spark):
     assert suffix_dedup.repeated_intervals(df).count() == 0
     assert packing.pack_documents(df).count() == 0
     assert secret_scan.scan(df).count() == 0
+
+
+def test_crowds_of_a_shallow_prefix_are_regions():
+    n, before, after = 12, b"\0" * 12, b"\xff" * 12
+    labels = [before, *(b"\1" * 8 + bytes([i, i, i, i]) for i in range(n)), after]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * (n + 2), pa.int8()), pa.array(labels, pa.binary()), pa.array(range(n + 2), pa.int64())], names=["tree", "label", "doc_id"])
+    rows = pa.Table.from_batches(list(near_dup._neighbours([batch]))).to_pylist()
+    crowd = [r for r in rows if r["crowded"] and 0 < r["a"] <= n]
+    assert {r["a"] for r in crowd} == set(range(1, n + 1))
+    assert len({r["b"] for r in crowd}) == 1
+
+
+def test_blocks_compare_pairs_of_low_estimate():
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.choice(2**62, 100, replace=False).astype(np.uint64))
+    low = bytes(2 * near_dup.TREES * near_dup.DEPTH)
+    group = pa.table({"doc_id": [1, 2], "component": [1, 2], "side": [0, 0], "words": pa.array([x.tobytes(), x[:85].tobytes()], pa.binary()), "signature": pa.array([low, b"\1" * len(low)], pa.binary())})
+    assert near_dup._blocks(80)(group).num_rows == 1
