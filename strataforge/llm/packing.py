@@ -9,7 +9,8 @@ that want the same gaps take them by rank; the gaps that remain go on to the
 next superstep.  The supersteps need only the number of pieces of each length,
 and leave a table of rank ranges from which each task reads the places of its
 own pieces.  This is best-fit decreasing, the same as if one machine had placed
-the pieces one by one.
+the pieces one by one.  Conflicts over gaps are thus settled by rank within a length only,
+and the sweep itself is no Spark job; README says why, with figures.
 """
 
 from __future__ import annotations
@@ -47,14 +48,15 @@ class WordTokenizer:
     """Ids of whole texts as little-endian bytes.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its chunks between white space, which are remembered.
+    are those of its chunks between white space, which are remembered.  Chunks
+    other than plain letters, digits and marks, and those that may hold a
+    special token (``<|``), are left to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
@@ -142,7 +144,12 @@ def _cut(vocabulary: str, capacity: int):
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """Documents as token pieces; only those longer than ``capacity`` are cut.  Null and empty texts are one end token."""
+    """Documents as token pieces; only those longer than ``capacity`` are cut.
+
+    Null and empty texts are one end token.  Rows that repeat an id, and rows
+    without one, are documents of their own, each with pieces from 0 on.  A text
+    is encoded whole, so a task holds the ids of its longest text.
+    """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(vocabulary, capacity), _PIECES)
 
