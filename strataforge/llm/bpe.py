@@ -1,11 +1,17 @@
 """Byte-level BPE of a whole corpus by replaying the merges over its distinct words.
 
-A task reads its block of texts and collects the distinct words that it has not
-met yet.  An inverted index lists, for each pair of neighbouring tokens, the
-places where it stands in those words; the merges are applied in the order of
-their ranks, and each one touches only its places and their neighbours.  Words
-met once are kept in a bounded table, so no text is encoded twice and nothing
-is shuffled: encoding a corpus reads it once.
+1. Tasks cut their texts into words, a slice of ``SLICE_BYTES`` at a time: the
+   slice's distinct words, and its documents as numbers into that list.
+2. The distinct words of the corpus are dealt into blocks.  A block lists for
+   each pair of neighbouring tokens the places where it stands (the inverted
+   index).  Merges are applied in the order of their ranks over the whole block;
+   each looks up its own places and touches only these and their neighbours.
+3. The ids of the words meet the slices that hold them, by word and then by
+   slice; the texts are never read again.
+
+Null and empty texts have no ids.  Rows that repeat an id, and rows without
+one, are encoded each by itself.  A text longer than a slice is a slice of its
+own, so a task holds one text whole at most.
 """
 
 from __future__ import annotations
@@ -14,20 +20,22 @@ import base64
 import hashlib
 import re
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialize, table
 from .textvec import slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct chunks that a worker remembers before it starts anew.
-MEMORY = 600_000
+#: Bytes of text in a slice, and distinct words in a block of the index, on average and at most.
+SLICE_BYTES, BLOCK_WORDS = 8 << 20, 400_000
 #: Unicode's white space, as the merges' library understands ``\\s``.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
@@ -42,21 +50,15 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 class Replay:
-    """Merges of one vocabulary, replayed over all words of a set together.
-
-    ``rank_at`` indexes every place where two neighbouring tokens can merge by
-    the rank of the pair.  Words do not touch each other, so a sweep takes the
-    lowest entry of every word at once; inside each word the merges thus come
-    strictly in the order of their ranks, equal ones from left to right.  Only
-    the entries next to a merge are looked up again, and words without entries
-    leave the index.
-    """
+    """Merges of one vocabulary, replayed over all words of a block together."""
 
     NONE = np.int64(1 << 40)
 
     def __init__(self, path: str):
-        rank = self.rank = ranks(path)
-        self.token = {i: t for t, i in rank.items()}
+        rank = ranks(path)
+        self.token = [b""] * (max(rank.values()) + 1)
+        for t, i in rank.items():
+            self.token[i] = t
         self.single = np.array([rank[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for t, r in rank.items():
@@ -67,131 +69,175 @@ class Replay:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        # tokens after which a pair of a lower rank may come up
+        a, b = self.keys >> 32, self.keys & 0xFFFFFFFF
+        self.early = {*a[self.ranks < a].tolist(), *b[self.ranks < b].tolist()}
 
-    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def lookup(self, a, b) -> np.ndarray:
         """Rank of the token that each two tokens make, or NONE."""
         key = (a << 32) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], self.NONE)
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        out: list[list[int]] = [[] for _ in words]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the place in them where each word begins (n + 1)."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         ids = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        who = np.arange(len(words))[size > 0]
-        size = size[size > 0]
-        if not len(who):
-            return out
-        last = np.zeros(len(ids), dtype=bool)
-        last[np.cumsum(size) - 1] = True
-        rank_at = np.full(len(ids), self.NONE)
-        inner = np.flatnonzero(~last)
+        n, end = len(ids), np.cumsum(size)
+        who = np.repeat(np.arange(len(words)), size)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[end[size > 0] - 1] = -1
+        before[(end - size)[size > 0]] = -1
+        live = np.ones(n, dtype=bool)
+        rank_at = np.full(n, self.NONE)
+        inner = np.flatnonzero(after >= 0)
         rank_at[inner] = self.lookup(ids[inner], ids[inner + 1])
-        while True:
-            begin = np.cumsum(size) - size
-            low = np.minimum.reduceat(rank_at, begin)
-            ended = low == self.NONE
-            if ended.any():
-                for i in np.flatnonzero(ended).tolist():
-                    out[who[i]] = ids[begin[i] : begin[i] + size[i]].tolist()
-                stay = ~np.repeat(ended, size)
-                ids, rank_at, last = ids[stay], rank_at[stay], last[stay]
-                who, size, low = who[~ended], size[~ended], low[~ended]
-                if not len(who):
-                    return out
-                begin = np.cumsum(size) - size
-            chosen = rank_at == np.repeat(low, size)
-            # places that overlap, as in "aaa", merge from left to right
-            overlap = np.flatnonzero(chosen[1:] & chosen[:-1]) + 1
-            for p in overlap.tolist():
-                if chosen[p - 1]:
-                    chosen[p] = False
-            at = np.flatnonzero(chosen)
-            ids[at] = rank_at[at]
-            last[at] = last[at + 1]
-            stay = np.ones(len(ids), dtype=bool)
-            stay[at + 1] = False
-            size = size - np.add.reduceat(chosen.astype(np.int64), begin)
-            new = np.cumsum(stay) - 1
-            at = new[at]
-            ids, rank_at, last = ids[stay], rank_at[stay], last[stay]
-            touched = np.concatenate([at, at[at > 0] - 1])
-            inner = touched[~last[touched]]
-            rank_at[touched] = self.NONE
-            rank_at[inner] = self.lookup(ids[inner], ids[inner + 1])
-
-
-class Encoder:
-    """Chunks of text to ids, new words by :class:`Replay`, a bounded number remembered."""
-
-    def __init__(self, path: str):
-        self.replay = Replay(path)
-        self.chunks: dict[str, tuple[str, int, bytes]] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        plain, split = [], {}
-        for c in chunks:
-            if c.isascii() and (c.isalpha() or c[0] == " " and c[1:].isalpha()):
-                plain.append(c)
-            else:
-                split[c] = [w.encode() for w in _PATTERN.findall(c)]
-        words = list({w for ws in split.values() for w in ws}.union(map(str.encode, plain)))
-        found = dict(zip(words, self.replay.encode(words), strict=True))
-        token = self.replay.token.__getitem__
-        for c in plain:
-            ids = found[c.encode()]
-            self.chunks[c] = (",".join(map(str, ids)), len(ids), b"".join(map(token, ids)))
-        for c, ws in split.items():
-            ids = [i for w in ws for i in found[w]]
-            self.chunks[c] = (",".join(map(str, ids)), len(ids), b"".join(map(token, ids)))
-
-    def encode(self, texts: list[str]):
-        """For each text its chunks' entries: ids as decimal text, their number, and the bytes they decode to."""
-        cut = [_COARSE.findall(t) for t in texts]
-        new = set().union(*cut).difference(self.chunks)
-        if len(self.chunks) + len(new) > MEMORY:
-            self.chunks.clear()
-            new = set().union(*cut)
-        if new:
-            self.learn(new)
-        get = self.chunks.__getitem__
-        for chunks in cut:
-            yield list(map(get, chunks))
+        # the inverted index: the places of each pair, by the rank of its merge
+        inner = inner[rank_at[inner] < self.NONE]
+        inner = inner[np.argsort(rank_at[inner], kind="stable")]
+        first = np.flatnonzero(np.diff(rank_at[inner], prepend=-1))
+        index = dict(zip(rank_at[inner[first]].tolist(), np.split(inner, first[1:]), strict=True)) if len(first) else {}
+        added: dict[int, list[int]] = {}
+        heap = list(index)
+        heapify(heap)
+        while heap:
+            r = heappop(heap)
+            at, more = index.pop(r, None), added.pop(r, None)
+            if more is not None:
+                at = np.unique(np.array(more) if at is None else np.concatenate([at, more]))
+            if at is None:
+                continue
+            at = at[rank_at[at] == r]
+            if r in self.early and len(at) > 1:
+                # one merge in each word, as a pair of a lower rank may have to come before the next one
+                one = np.concatenate([[True], who[at[1:]] != who[at[:-1]]])
+                if not one.all():
+                    added[r] = at[~one].tolist()
+                    heappush(heap, r)
+                    at = at[one]
+            elif len(at) > 1:
+                # places that overlap, as in "aaa", merge from left to right
+                over = np.flatnonzero(after[at[:-1]] == at[1:]) + 1
+                if len(over):
+                    keep = np.ones(len(at), dtype=bool)
+                    for p in over.tolist():
+                        keep[p] = not keep[p - 1]
+                    at = at[keep]
+            if not len(at):
+                continue
+            gone = after[at]
+            right = after[gone]
+            ids[at] = r
+            live[gone], rank_at[gone], rank_at[at] = False, self.NONE, self.NONE
+            after[at] = right
+            inside = right >= 0
+            right, own = right[inside], at[inside]
+            before[right] = own
+            rank_at[own] = self.lookup(np.int64(r), ids[right])
+            left = before[at]
+            left = left[left >= 0]
+            rank_at[left] = self.lookup(ids[left], np.int64(r))
+            touched = np.concatenate([own, left])
+            for new, p in zip(rank_at[touched].tolist(), touched.tolist(), strict=True):
+                if new < self.NONE:
+                    if new in added:
+                        added[new].append(p)
+                    else:
+                        added[new] = [p]
+                        heappush(heap, new)
+        return ids[live], np.concatenate([[0], np.cumsum(live)])[np.concatenate([[0], end])]
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def replay(path: str) -> Replay:
+    return Replay(path)
+
+
+def block_ids(words: list[str], merges: Replay):
+    """Ids of each word as little-endian bytes; the finer words that the pattern cuts are encoded once."""
+    parts = [[w.encode()] if w.isascii() and (w.isalpha() or w[0] == " " and w[1:].isalpha()) else [x.encode() for x in _PATTERN.findall(w)] for w in words]
+    number: dict[bytes, int] = {}
+    for ws in parts:
+        for w in ws:
+            number.setdefault(w, len(number))
+    ids, at = merges.encode(list(number))
+    raw, at = ids.astype("<u4").tobytes(), (4 * at).tolist()
+    for ws in parts:
+        yield b"".join([raw[at[i] : at[i + 1]] for i in map(number.__getitem__, ws)])
+
+
+def _sliced(batches):
+    task, made = TaskContext.get().partitionId(), 0
+    for batch in slices(batches, "text", SLICE_BYTES):
+        number: dict[str, int] = {}
+        sizes, places = [], []
+        for text in batch.column("text").to_pylist():
+            words = _COARSE.findall(text or "")
+            for w in words:
+                if w not in number:
+                    number[w] = len(number)
+            sizes.append(len(words))
+            places.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)))
+        row = {"slice": (task << 32) + made, "doc_id": batch.column("doc_id").to_pylist(), "size": sizes, "places": np.concatenate(places).tobytes(), "words": list(number)}
+        made += 1
+        yield pa.RecordBatch.from_pylist([row], pa.schema([("slice", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))]))
+
+
+def _replayed(name: str):
+    def run(batches):
+        merges = replay(public_tokenizers.path(name))
+        held: list[str] = []
 
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(list(block_ids(held, merges)), pa.binary())], names=["word", "ids"])
 
-def _digests(name: str):
-    def run(batches):
-        enc = encoder(public_tokenizers.path(name))
-        for batch in slices(batches, "text", 4 << 20):
-            n, ids, decoded = [], [], []
-            for parts in enc.encode([t or "" for t in batch.column("text").to_pylist()]):
-                n.append(sum([p[1] for p in parts]))
-                ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            held += batch.column("word").to_pylist()
+            if len(held) >= BLOCK_WORDS:
+                yield block()
+                held = []
+        if held:
+            yield block()
 
     return run
 
 
-def _ids(name: str):
-    def run(batches):
-        enc = encoder(public_tokenizers.path(name))
-        for batch in slices(batches, "text", 4 << 20):
-            ids = [[int(x) for p in parts for x in p[0].split(",")] for parts in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+def _texts_of(left: pa.Table, right: pa.Table):
+    """Documents of a slice with the numbers of their words, and the ids of each word."""
+    order = np.argsort(right.column("k").to_numpy())
+    words = right.column("ids").take(pa.array(order)).to_pylist()
+    for row in left.to_pylist():
+        places = np.frombuffer(row["places"], "<u4")
+        end = np.cumsum(row["size"])
+        for doc, a, b in zip(row["doc_id"], (end - row["size"]).tolist(), end.tolist(), strict=True):
+            yield doc, places[a:b], words
+
+
+def _digests(name: str):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        token = replay(public_tokenizers.path(name)).token
+        text = list(map(str, range(len(token))))
+        known, rows = None, []
+        for doc, places, words in _texts_of(left, right):
+            if known is None:
+                ids = [np.frombuffer(w, "<u4").tolist() for w in words]
+                known = np.array(list(map(len, ids)), np.int64), [",".join([text[i] for i in x]) for x in ids], [b"".join([token[i] for i in x]) for x in ids]
+            sizes, decimal, decoded = known
+            at = places.tolist()
+            rows.append((doc, int(sizes[places].sum()) if at else 0, hashlib.sha256(",".join([decimal[i] for i in at]).encode()).hexdigest(), hashlib.sha256(b"".join([decoded[i] for i in at])).hexdigest()))
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])})
 
     return run
 
 
-def _texts(name: str):
+def _listed(left: pa.Table, right: pa.Table) -> pa.Table:
+    rows = [(doc, np.frombuffer(b"".join([words[i] for i in places.tolist()]), "<u4").tolist()) for doc, places, words in _texts_of(left, right)]
+    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+
+
+def _decoded(name: str):
     def run(batches):
-        token = encoder(public_tokenizers.path(name)).replay.token
+        token = replay(public_tokenizers.path(name)).token
         for batch in batches:
             texts = [None if ids is None else b"".join([token[i] for i in ids]) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
@@ -199,16 +245,32 @@ def _texts(name: str):
     return run
 
 
+def corpus_words(sliced: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(word, ids)`` for each distinct word of the slices; ``ids`` are little-endian 32-bit numbers."""
+    distinct = materialize(sliced.select(F.explode("words").alias("word")).distinct(), "words")
+    blocks = max(1, -(-2 * distinct.count() // BLOCK_WORDS))
+    return distinct.repartition(blocks, "word").mapInArrow(_replayed(vocabulary), "word string, ids binary")
+
+
+def _encoded(docs: DataFrame, vocabulary: str, made, schema: str) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sliced = materialize(rows.mapInArrow(_sliced, "slice long, doc_id array<long>, size array<int>, places binary, words array<string>"), "slices")
+    words = materialize(corpus_words(sliced, vocabulary), "word-ids")
+    # a word stands once in each slice, however often in its texts
+    found = sliced.select("slice", F.posexplode("words").alias("k", "word")).join(words, "word").select(F.col("slice").alias("of"), "k", "ids")
+    return sliced.select("slice", "doc_id", "size", "places").groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(made, schema)
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, ids)`` for every row; a null or empty text has no ids."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ids(vocabulary), "doc_id long, ids array<int>")
+    return _encoded(docs, vocabulary, _listed, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, decoded)``: the bytes of the ids; null ids give null."""
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_texts(vocabulary), "doc_id long, decoded binary")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decoded(vocabulary), "doc_id long, decoded binary")
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_digests(VOCABULARY), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    return _encoded(table(spark, sf_dir, "documents"), VOCABULARY, _digests(VOCABULARY), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
