@@ -1,17 +1,18 @@
-"""Byte-level BPE of a whole corpus by replaying the merges over its distinct words.
+"""Byte-level BPE by replaying the merges over the distinct words of blocks of the corpus.
 
-1. Tasks cut their texts into words, a slice of ``SLICE_BYTES`` at a time: the
-   slice's distinct words, and its documents as numbers into that list.
-2. The distinct words of the corpus are dealt into blocks.  A block lists for
-   each pair of neighbouring tokens the places where it stands (the inverted
-   index).  Merges are applied in the order of their ranks over the whole block;
-   each looks up its own places and touches only these and their neighbours.
-3. The ids of the words meet the slices that hold them, by word and then by
-   slice; the texts are never read again.
+Spark deals the corpus out; a task takes its part in blocks of ``BLOCK_BYTES``
+of text and collects the distinct words that it has not met yet.  An inverted
+index lists for each pair of neighbouring tokens the places where it stands in
+all these words.  Merges are applied in the order of their ranks over the whole
+block: each looks up its own places and touches only these and their
+neighbours.  Words met once are remembered, so that a task replays no word
+twice as long as its memory of ``MEMORY`` words holds.
+
+One index over the distinct words of the whole corpus was built and measured;
+bringing its ids back to the texts costs more disk than the check allows (README).
 
 Null and empty texts have no ids.  Rows that repeat an id, and rows without
-one, are encoded each by itself.  A text longer than a slice is a slice of its
-own, so a task holds one text whole at most.
+one, are encoded each by itself.  A task holds one text whole at most.
 """
 
 from __future__ import annotations
@@ -26,16 +27,15 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import table
 from .textvec import slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of text in a slice, and distinct words in a block of the index, on average and at most.
-SLICE_BYTES, BLOCK_WORDS = 8 << 20, 400_000
+#: Bytes of text in a block, and distinct words that a task remembers before it starts anew.
+BLOCK_BYTES, MEMORY = 16 << 20, 600_000
 #: Unicode's white space, as the merges' library understands ``\\s``.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_WHITE}").replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
@@ -166,73 +166,61 @@ def block_ids(words: list[str], merges: Replay):
         yield b"".join([raw[at[i] : at[i + 1]] for i in map(number.__getitem__, ws)])
 
 
-def _sliced(batches):
-    task, made = TaskContext.get().partitionId(), 0
-    for batch in slices(batches, "text", SLICE_BYTES):
-        number: dict[str, int] = {}
-        sizes, places = [], []
-        for text in batch.column("text").to_pylist():
-            words = _COARSE.findall(text or "")
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-            sizes.append(len(words))
-            places.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)))
-        row = {"slice": (task << 32) + made, "doc_id": batch.column("doc_id").to_pylist(), "size": sizes, "places": np.concatenate(places).tobytes(), "words": list(number)}
-        made += 1
-        yield pa.RecordBatch.from_pylist([row], pa.schema([("slice", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("size", pa.list_(pa.int32())), ("places", pa.binary()), ("words", pa.list_(pa.string()))]))
-
-
-def _replayed(name: str):
-    def run(batches):
-        merges = replay(public_tokenizers.path(name))
-        held: list[str] = []
-
-        def block():
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(list(block_ids(held, merges)), pa.binary())], names=["word", "ids"])
-
-        for batch in batches:
-            held += batch.column("word").to_pylist()
-            if len(held) >= BLOCK_WORDS:
-                yield block()
-                held = []
-        if held:
-            yield block()
+class Encoder:
+    """Words of texts to their ids; new ones go through :class:`Replay` a block at a time."""
 
-    return run
+    def __init__(self, path: str):
+        self.merges = replay(path)
+        self.decimal = list(map(str, range(len(self.merges.token))))
+        self.known: dict[str, tuple[str, int, bytes]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        token, decimal, listed = self.merges.token, self.decimal, list(words)
+        for w, raw in zip(listed, block_ids(listed, self.merges), strict=True):
+            ids = np.frombuffer(raw, "<u4").tolist()
+            self.known[w] = ",".join([decimal[i] for i in ids]), len(ids), b"".join([token[i] for i in ids])
+
+    def encode(self, texts: list[str]):
+        """For each text its words' entries: ids as decimal text, their number, and the bytes they decode to."""
+        cut = [_COARSE.findall(t) for t in texts]
+        new = set().union(*cut).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = set().union(*cut)
+        if new:
+            self.learn(new)
+        get = self.known.__getitem__
+        for words in cut:
+            yield list(map(get, words))
 
 
-def _texts_of(left: pa.Table, right: pa.Table):
-    """Documents of a slice with the numbers of their words, and the ids of each word."""
-    order = np.argsort(right.column("k").to_numpy())
-    words = right.column("ids").take(pa.array(order)).to_pylist()
-    for row in left.to_pylist():
-        places = np.frombuffer(row["places"], "<u4")
-        end = np.cumsum(row["size"])
-        for doc, a, b in zip(row["doc_id"], (end - row["size"]).tolist(), end.tolist(), strict=True):
-            yield doc, places[a:b], words
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _digests(name: str):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        token = replay(public_tokenizers.path(name)).token
-        text = list(map(str, range(len(token))))
-        known, rows = None, []
-        for doc, places, words in _texts_of(left, right):
-            if known is None:
-                ids = [np.frombuffer(w, "<u4").tolist() for w in words]
-                known = np.array(list(map(len, ids)), np.int64), [",".join([text[i] for i in x]) for x in ids], [b"".join([token[i] for i in x]) for x in ids]
-            sizes, decimal, decoded = known
-            at = places.tolist()
-            rows.append((doc, int(sizes[places].sum()) if at else 0, hashlib.sha256(",".join([decimal[i] for i in at]).encode()).hexdigest(), hashlib.sha256(b"".join([decoded[i] for i in at])).hexdigest()))
-        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])})
+    def run(batches):
+        enc = encoder(public_tokenizers.path(name))
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            n, ids, decoded = [], [], []
+            for parts in enc.encode([t or "" for t in batch.column("text").to_pylist()]):
+                n.append(sum([p[1] for p in parts]))
+                ids.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def _listed(left: pa.Table, right: pa.Table) -> pa.Table:
-    rows = [(doc, np.frombuffer(b"".join([words[i] for i in places.tolist()]), "<u4").tolist()) for doc, places, words in _texts_of(left, right)]
-    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "ids": pa.array([r[1] for r in rows], pa.list_(pa.int32()))})
+def _ids(name: str):
+    def run(batches):
+        enc = encoder(public_tokenizers.path(name))
+        for batch in slices(batches, "text", BLOCK_BYTES):
+            ids = [[int(x) for p in parts for x in p[0].split(",")] for parts in enc.encode([t or "" for t in batch.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return run
 
 
 def _decoded(name: str):
@@ -245,25 +233,9 @@ def _decoded(name: str):
     return run
 
 
-def corpus_words(sliced: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(word, ids)`` for each distinct word of the slices; ``ids`` are little-endian 32-bit numbers."""
-    distinct = materialize(sliced.select(F.explode("words").alias("word")).distinct(), "words")
-    blocks = max(1, -(-2 * distinct.count() // BLOCK_WORDS))
-    return distinct.repartition(blocks, "word").mapInArrow(_replayed(vocabulary), "word string, ids binary")
-
-
-def _encoded(docs: DataFrame, vocabulary: str, made, schema: str) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sliced = materialize(rows.mapInArrow(_sliced, "slice long, doc_id array<long>, size array<int>, places binary, words array<string>"), "slices")
-    words = materialize(corpus_words(sliced, vocabulary), "word-ids")
-    # a word stands once in each slice, however often in its texts
-    found = sliced.select("slice", F.posexplode("words").alias("k", "word")).join(words, "word").select(F.col("slice").alias("of"), "k", "ids")
-    return sliced.select("slice", "doc_id", "size", "places").groupBy("slice").cogroup(found.groupBy("of")).applyInArrow(made, schema)
-
-
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, ids)`` for every row; a null or empty text has no ids."""
-    return _encoded(docs, vocabulary, _listed, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_ids(vocabulary), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -271,6 +243,10 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(_decoded(vocabulary), "doc_id long, decoded binary")
 
 
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: ids of every whole text and the bytes they decode to, as digests."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    """Ids of every whole text and the bytes they decode to, as digests."""
-    return _encoded(table(spark, sf_dir, "documents"), VOCABULARY, _digests(VOCABULARY), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return digests(table(spark, sf_dir, "documents"))
