@@ -6,9 +6,11 @@ hashed ``GRAM``-byte string of some window of ``MATCH`` bytes, so equal windows
 hold the same anchor at the same place, and about three suffixes in a hundred
 bytes represent all of them.
 
-1. Each text lists its anchors with hashes of their surroundings; buckets by
-   the anchor's string find those whose whole surroundings occur earlier (all
-   their bytes go) and those that share only a part with another one.
+1. Each text lists its anchors with hashes of their surroundings (128 bits);
+   buckets by the anchor's string find those whose whole surroundings occur
+   earlier (all their bytes go) and those that share only a part with another
+   one.  Copies inside one batch are told apart before the shuffle, and only the
+   first of them goes on to the bucket.
 2. The suffixes of the latter, with the text before them, are dealt into ranges
    by their leading bytes with sampled splitters.  A range sorts them locally by
    multikey quicksort on eight-byte keys, forwards and backwards, and reads runs
@@ -18,6 +20,10 @@ bytes represent all of them.
    are dealt once more, by the text before them, and what still touches an end
    is compared by hashes of the windows.
 4. The intervals meet the texts again, by document.
+
+A document is a row's id and text: rows with one id and unlike texts are
+documents of their own, in an order fixed by their texts; rows that repeat both
+are one document.  Rows without an id come after all others.
 """
 
 from __future__ import annotations
@@ -41,28 +47,31 @@ HALF = BEFORE // 2
 #: Buckets for each shuffle partition.
 BUCKETS = 4
 #: Columns beside those of the documents, named so that they clash with none.
-SPANS, CUT = "strataforge_spans", "strataforge_cut"
+SPANS, CUT, DOC, KEY = "strataforge_spans", "strataforge_cut", "strataforge_doc", "strataforge_key"
+#: Bytes of texts that a task lists anchors of at a time; longer texts are cut, with an overlap that no anchor can see beyond.
+PART, OVERLAP = 1 << 20, 2 * MATCH
 _RNG = np.random.Generator(np.random.PCG64(31337))
-_CHARS = _RNG.integers(0, 2**64, size=256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_ENTRY = np.dtype([("text", "<u8"), ("right", "<u4"), ("left", "<u4"), ("doc", "<i8"), ("pos", "<u4")])
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_CHARS = _RNG.integers(0, 2**64, size=(len(_BASES), 256), dtype=np.uint64)
+#: ``text`` and ``more`` are two hashes of the surroundings; ``gone`` entries have an earlier copy in their own batch.
+_ENTRY = np.dtype([("text", "<u8"), ("more", "<u8"), ("right", "<u4"), ("left", "<u4"), ("doc", "<i8"), ("key", "<u8"), ("pos", "<u4"), ("gone", "u1")])
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as asked for."""
+    """Powers of a base and of its inverse modulo 2**64, as many as asked for."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, 2**64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 1 << 16)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in self.bases)
         return self.up[:n], self.down[:n]
 
 
-_POWERS = _Powers()
+_POWERS = [_Powers(b) for b in _BASES]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,12 +90,18 @@ def _sliding(x: np.ndarray, width: int, reduce) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors in ``data``, the hash of each anchor's string, and the sums that give hashes of any substring."""
+def _sums(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Running sums that give hashes of any substring."""
     n = len(data)
-    up, down = _POWERS.get(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CHARS[data] * up[:n], out=sums[1:])
+    np.cumsum(_CHARS[which][data] * _POWERS[which].get(n + 1)[0][:n], out=sums[1:])
+    return sums
+
+
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors in ``data``, the hash of each anchor's string, and the running sums."""
+    n, sums = len(data), _sums(data)
+    down = _POWERS[0].get(n + 1)[1]
     if n < MATCH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), sums
     gram = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
@@ -100,35 +115,86 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return where, gram[where], sums
 
 
-def _substring(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (sums[b] - sums[a]) * _POWERS.get(len(sums))[1][a]
+def _substring(sums: np.ndarray, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    return (sums[b] - sums[a]) * _POWERS[which].get(len(sums))[1][a]
+
+
+def _parts(batch: pa.RecordBatch):
+    """Stretches of texts of about ``PART`` bytes: their bytes, offsets, and by stretch the row, the place in its text, and the range of anchors that count."""
+    data, at = strings(batch.column("text"))
+    held, size = [], 0
+    for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        for lo in range(a, b, PART):
+            hi = min(lo + PART, b)
+            held.append((row, max(a, lo - OVERLAP), min(b, hi + OVERLAP), lo, hi, a))
+            size += hi - lo
+            if size >= PART:
+                yield _stretch(data, held)
+                held, size = [], 0
+    if held:
+        yield _stretch(data, held)
+
+
+def _stretch(data: np.ndarray, held: list):
+    row, begin, end, lo, hi, first = np.array(held, np.int64).T
+    size = end - begin
+    whole = np.array_equal(begin[1:], end[:-1])
+    cut = data[begin[0] : end[-1]] if whole else np.concatenate([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+    return cut, np.concatenate([[0], np.cumsum(size)]), row, begin - first, lo - begin, hi - begin
+
+
+def _order(entries: np.ndarray) -> np.ndarray:
+    """Order by surroundings, document and place."""
+    return np.lexsort((entries["pos"], entries["key"], entries["doc"], entries["more"], entries["text"]))
+
+
+def _starts(entries: np.ndarray) -> np.ndarray:
+    """Where new surroundings begin among ordered entries."""
+    new = np.ones(len(entries), dtype=bool)
+    new[1:] = (entries["text"][1:] != entries["text"][:-1]) | (entries["more"][1:] != entries["more"][:-1])
+    return new
+
+
+def _later(entries: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Entries other than the first place of their surroundings."""
+    first = entries[new][np.cumsum(new) - 1]
+    return (entries["doc"] != first["doc"]) | (entries["key"] != first["key"]) | (entries["pos"] != first["pos"])
 
 
 def _list(buckets: int):
     def run(batches):
-        for batch in slices(batches, "text", 1 << 19):
-            data, at = strings(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
-            where, gram, sums = anchors(data, at)
-            if not len(where):
-                continue
-            doc = np.searchsorted(at, where, "right") - 1
-            begin, end = at[doc], at[doc + 1]
-            a, b = np.maximum(begin, where - BEFORE), np.minimum(end, where + MATCH)
-            out = np.zeros(len(where), _ENTRY)
-            out["text"] = _mixed(_substring(sums, a, b) + ((where - a) * 1009 + (b - where)).astype(np.uint64))
-            far, near = where + MATCH - HALF, where - HALF
-            out["right"] = np.where(far <= end, _mixed(_substring(sums, where, np.minimum(far, end))) >> np.uint64(32) | np.uint64(1), 0)
-            out["left"] = np.where(near >= begin, _mixed(_substring(sums, np.maximum(near, begin), where + GRAM)) >> np.uint64(32) | np.uint64(1), 0)
-            out["doc"], out["pos"] = ids[doc], where - begin
-            bucket = (gram % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            out, bucket = out[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            edges = np.concatenate([[0], cuts, [len(out)]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[edges[:-1]]), pa.array([out[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["bucket", "entries"]
-            )
+        for batch in slices(batches, "text", PART):
+            ids, keys = batch.column(DOC).to_numpy(), batch.column(KEY).to_numpy().view(np.uint64)
+            for data, at, row, place, lo, hi in _parts(batch):
+                where, gram, sums = anchors(data, at)
+                part = np.searchsorted(at, where, "right") - 1
+                own = (where - at[part] >= lo[part]) & (where - at[part] < hi[part])
+                where, gram, part = where[own], gram[own], part[own]
+                if not len(where):
+                    continue
+                begin, end = at[part], at[part + 1]
+                a, b = np.maximum(begin, where - BEFORE), np.minimum(end, where + MATCH)
+                shape = ((where - a) * 1009 + (b - where)).astype(np.uint64)
+                out = np.zeros(len(where), _ENTRY)
+                out["text"] = _mixed(_substring(sums, a, b) + shape)
+                out["more"] = _mixed(_substring(_sums(data, 1), a, b, 1) + shape)
+                far, near = where + MATCH - HALF, where - HALF
+                out["right"] = np.where(far <= end, _mixed(_substring(sums, where, np.minimum(far, end))) >> np.uint64(32) | np.uint64(1), 0)
+                out["left"] = np.where(near >= begin, _mixed(_substring(sums, np.maximum(near, begin), where + GRAM)) >> np.uint64(32) | np.uint64(1), 0)
+                out["doc"], out["key"], out["pos"] = ids[row[part]], keys[row[part]], where - begin + place[part]
+                order = _order(out)
+                out, gram = out[order], gram[order]
+                out["gone"] = _later(out, _starts(out))
+                # copies are spread, and wait for nothing in their bucket
+                spread = _mixed(out["text"] ^ out["key"] ^ out["pos"])
+                bucket = (np.where(out["gone"], spread, gram) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                out, bucket = out[order], bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                edges = np.concatenate([[0], cuts, [len(out)]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[edges[:-1]]), pa.array([out[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["bucket", "entries"]
+                )
 
     return run
 
@@ -146,13 +212,11 @@ def _shared(key: np.ndarray) -> np.ndarray:
 
 def resolve(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket: entries whose surroundings occur earlier, and first ones that share a part with others."""
-    entries = entries[np.lexsort((entries["pos"], entries["doc"], entries["text"]))]
-    new = np.ones(len(entries), dtype=bool)
-    new[1:] = entries["text"][1:] != entries["text"][:-1]
-    first = entries[new][np.cumsum(new) - 1]
-    later = (entries["doc"] != first["doc"]) | (entries["pos"] != first["pos"])
+    gone, entries = entries[entries["gone"] == 1], entries[entries["gone"] == 0]
+    entries = entries[_order(entries)]
+    new = _starts(entries)
     one = entries[new]
-    return entries[later], one[_shared(one["right"]) | _shared(one["left"])]
+    return np.concatenate([gone, entries[_later(entries, new)]]), one[_shared(one["right"]) | _shared(one["left"])]
 
 
 def _resolve(batches):
@@ -160,7 +224,7 @@ def _resolve(batches):
         gone, open_ones = resolve(np.concatenate(parts))
         both = np.concatenate([gone, open_ones])
         kind = np.concatenate([np.zeros(len(gone), bool), np.ones(len(open_ones), bool)])
-        return pa.RecordBatch.from_arrays([pa.array(both["doc"]), pa.array(both["pos"].astype(np.int32)), pa.array(kind)], names=["doc_id", "pos", "open"])
+        return pa.RecordBatch.from_arrays([pa.array(both["doc"]), pa.array(both["key"].astype(np.int64)), pa.array(both["pos"].astype(np.int32)), pa.array(kind)], names=[DOC, KEY, "pos", "open"])
 
     now, parts = None, []
     for batch in batches:
@@ -176,14 +240,15 @@ def _resolve(batches):
 
 def _surroundings(batches):
     for batch in slices(batches, "text"):
-        doc, pos, after, before = [], [], [], []
-        for i, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True):
+        doc, key, pos, after, before = [], [], [], [], []
+        for i, j, text, places in zip(batch.column(DOC).to_pylist(), batch.column(KEY).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True):
             for p in places:
                 doc.append(i)
+                key.append(j)
                 pos.append(p)
                 after.append(text[p : p + MATCH])
                 before.append(text[max(0, p - BEFORE) : p][::-1])
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())], names=["doc_id", "pos", "after", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())], names=[DOC, KEY, "pos", "after", "before"])
 
 
 def _padded(values: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +300,7 @@ def _window(after: np.ndarray, before: np.ndarray, off: int) -> bytes:
     return hashlib.blake2b(before[:off][::-1].tobytes() + after[: MATCH - off].tobytes(), digest_size=16).digest()
 
 
-_FOUND = "doc_id long, begin long, end long, window binary, pos int, after binary, before binary, offs binary"
+_FOUND = f"{DOC} long, {KEY} long, begin long, end long, window binary, pos int, after binary, before binary, offs binary"
 
 
 def _sorted_range(forwards: bool):
@@ -252,9 +317,16 @@ def _sorted_range(forwards: bool):
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        t = pa.Table.from_batches(rows).sort_by([("doc_id", "ascending"), ("pos", "ascending")]).combine_chunks()
+        t = pa.Table.from_batches(rows).sort_by([(DOC, "ascending"), (KEY, "ascending"), ("pos", "ascending")]).combine_chunks()
         del rows
-        doc, pos = t.column("doc_id").to_numpy(), t.column("pos").to_numpy().astype(np.int64)
+        doc, key, pos = (t.column(c).to_numpy() for c in (DOC, KEY, "pos"))
+        # rows that repeat an id and a text have equal suffixes, which meet in one range: they count once
+        one = np.ones(len(doc), dtype=bool)
+        one[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+        if not one.all():
+            t = t.filter(pa.array(one)).combine_chunks()
+            doc, key, pos = doc[one], key[one], pos[one]
+        pos = pos.astype(np.int64)
         after, n_after = _padded(t.column("after"), MATCH)
         before, n_before = _padded(t.column("before"), BEFORE)
         (ahead, common_ahead), (back, common_back) = multikey_sort(after), multikey_sort(before)
@@ -268,10 +340,10 @@ def _sorted_range(forwards: bool):
             if not len(live):
                 continue
             runs = _runs(ahead, common_ahead, MATCH - off), _runs(back, common_back, off)
-            key = runs[0][0][live] * m + runs[1][0][live]
-            order = np.argsort(key, kind="stable")
+            both = runs[0][0][live] * m + runs[1][0][live]
+            order = np.argsort(both, kind="stable")
             again = np.zeros(len(live), dtype=bool)
-            again[1:] = np.diff(key[order]) == 0
+            again[1:] = np.diff(both[order]) == 0
             who = live[order]
             gone[who[again], off + 1] = True
             number, last = runs[0] if forwards else runs[1]
@@ -280,48 +352,54 @@ def _sorted_range(forwards: bool):
         change = np.diff(gone.astype(np.int8), axis=1)
         (r0, o0), (_, o1) = np.nonzero(change == 1), np.nonzero(change == -1)
         none = lambda n, kind: pa.nulls(n, kind)
-        names = ["doc_id", "begin", "end", "window", "pos", "after", "before", "offs"]
+        names = [DOC, KEY, "begin", "end", "window", "pos", "after", "before", "offs"]
         k = len(r0)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r0]), pa.array(pos[r0] - (o1 - 1)), pa.array(pos[r0] - o0 + MATCH), none(k, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r0]), pa.array(key[r0]), pa.array(pos[r0] - (o1 - 1)), pa.array(pos[r0] - o0 + MATCH), none(k, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary())], names=names)
         if forwards:
             on = np.flatnonzero(held.any(axis=1))
             k = len(on)
             part = t.take(pa.array(on)).combine_chunks()
             column = lambda n: part.column(n).combine_chunks() if k else none(0, part.schema.field(n).type)
             packed = [x.tobytes() for x in np.packbits(held[on], axis=1)]
-            yield pa.RecordBatch.from_arrays([column("doc_id"), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), column("pos"), column("after"), column("before"), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([column(DOC), column(KEY), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), column("pos"), column("after"), column("before"), pa.array(packed, pa.binary())], names=names)
             return
         oi, oo = np.nonzero(held)
         k = len(oi)
         bytes_after, bytes_before = (x.astype(">u8").view(np.uint8).reshape(m, -1) for x in (after, before))
         windows = [_window(bytes_after[i], bytes_before[i], o) for i, o in zip(oi.tolist(), oo.tolist(), strict=True)]
         begin = pos[oi] - oo
-        yield pa.RecordBatch.from_arrays([pa.array(doc[oi]), pa.array(begin), pa.array(begin + MATCH), pa.array(windows, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[oi]), pa.array(key[oi]), pa.array(begin), pa.array(begin + MATCH), pa.array(windows, pa.binary()), none(k, pa.int32()), none(k, pa.binary()), none(k, pa.binary()), none(k, pa.binary())], names=names)
 
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with what tells its documents apart: the id (rows without one last) and a hash of the text."""
+    return docs.withColumn(DOC, F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn(KEY, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """``(doc_id, begin, end)``: byte intervals whose every byte is in a window that also starts earlier; they may overlap."""
+    """``(DOC, KEY, begin, end)``: byte intervals whose every byte is in a window that also starts earlier; they may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = _keyed(docs).select(DOC, KEY, F.coalesce("text", F.lit("")).alias("text"))
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     listed = docs.mapInArrow(_list(buckets), "bucket int, entries binary")
-    anchored = materialize(listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "doc_id long, pos int, open boolean"), "anchors")
-    whole = anchored.where("not open").select("doc_id", (F.col("pos") - BEFORE).cast("long").alias("begin"), (F.col("pos") + MATCH).cast("long").alias("end"))
-    places = anchored.where("open").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    suffixes = materialize(docs.join(places, "doc_id").mapInArrow(_surroundings, "doc_id long, pos int, after binary, before binary"), "suffixes")
-    ranged = suffixes.repartitionByRange("after", "before", "doc_id", "pos")
-    found = materialize(ranged.mapInArrow(_sorted_range(True), _FOUND), "windows")
+    anchored = materialize(listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, f"{DOC} long, {KEY} long, pos int, open boolean"), "anchors")
+    whole = anchored.where("not open").select(DOC, KEY, (F.col("pos") - BEFORE).cast("long").alias("begin"), (F.col("pos") + MATCH).cast("long").alias("end"))
+    places = anchored.where("open").groupBy(DOC, KEY).agg(F.collect_set("pos").alias("places"))
+    suffixes = materialize(docs.join(places, [DOC, KEY]).mapInArrow(_surroundings, f"{DOC} long, {KEY} long, pos int, after binary, before binary"), "suffixes")
+    place = [DOC, KEY, "pos"]
+    found = materialize(suffixes.repartitionByRange("after", "before", *place).mapInArrow(_sorted_range(True), _FOUND), "windows")
     discard(suffixes)
-    onward = found.where("offs is not null").select("doc_id", "pos", "after", "before", "offs")
-    across = materialize(onward.repartitionByRange("before", "after", "doc_id", "pos").mapInArrow(_sorted_range(False), _FOUND), "windows-across")
+    onward = found.where("offs is not null").select(*place, "after", "before", "offs")
+    across = materialize(onward.repartitionByRange("before", "after", *place).mapInArrow(_sorted_range(False), _FOUND), "windows-across")
     found = found.where("offs is null").unionByName(across)
     edges = found.where("window is not null")
-    first = materialize(edges.groupBy("window").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
-    crossing = edges.join(first, "window").where(F.struct("doc_id", "begin") != F.col("first")).select("doc_id", "begin", "end")
-    return whole.unionByName(found.where("window is null").select("doc_id", "begin", "end")).unionByName(crossing)
+    first = materialize(edges.groupBy("window").agg(F.min(F.struct(DOC, KEY, "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-windows")
+    interval = [DOC, KEY, "begin", "end"]
+    crossing = edges.join(first, "window").where(F.struct(DOC, KEY, "begin") != F.col("first")).select(*interval)
+    return whole.unionByName(found.where("window is null").select(*interval)).unionByName(crossing)
 
 
 def _merged(size: int, spans: np.ndarray) -> list[tuple[int, int]]:
@@ -369,21 +447,29 @@ def _cut(batches):
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = repeated_intervals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias(SPANS))
-    return docs.join(spans, "doc_id", "left")
+    spans = repeated_intervals(docs).groupBy(DOC, KEY).agg(F.collect_list(F.struct("begin", "end")).alias(SPANS))
+    return _keyed(docs).join(spans, [DOC, KEY], "left").drop(DOC, KEY)
 
 
-def op7_suffix_array(spark, sf_dir: str) -> DataFrame:
-    """Null and empty texts have no bytes; texts under 100 bytes stay whole; rows
-    that repeat a ``doc_id`` are one document and share its intervals."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def removed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs`` (``doc_id``, ``text``).
+
+    Null and empty texts have no bytes; texts under 100 bytes stay whole.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _with_spans(docs).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def op7_suffix_array(spark, sf_dir: str) -> DataFrame:
+    return removed(table(spark, sf_dir, "documents"))
+
+
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated passages go from the texts; documents of which nothing stays go too.
 
     A character that a cut divides goes whole.  ``n_chars`` follows the text.
+    Rows without an id, and rows with one id and unlike texts, are documents
+    like others; rows that repeat an id and a text are one, and all stay.
     """
     joined = _with_spans(docs).select(*docs.columns, SPANS)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {CUT} boolean"

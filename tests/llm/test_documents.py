@@ -54,7 +54,7 @@ def test_near_duplicate_rows_that_repeat(spark):
 def test_repeats(spark, texts):
     want = brute.repeats(texts)
     df = frame(spark, texts)
-    rows = suffix_dedup._with_spans(df).mapInArrow(suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    rows = suffix_dedup.removed(df).collect()
     assert {r.doc_id: tuple(r)[1:] for r in rows} == want
     assert sum(w[1] for w in want.values()) > 1000
 
@@ -66,12 +66,41 @@ def test_repeats_across_ranges(spark):
     old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        rows = suffix_dedup._with_spans(frame(spark, texts)).mapInArrow(suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+        rows = suffix_dedup.removed(frame(spark, texts)).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
     assert {r.doc_id: tuple(r)[1:] for r in rows} == brute.repeats(texts)
 
 
+def test_repeats_of_long_texts(spark, texts, monkeypatch):
+    """Texts that are cut while their anchors are listed give what whole ones give."""
+    monkeypatch.setattr(suffix_dedup, "PART", 700)
+    some = {i: t for i, t in texts.items() if i < 60} | {500: " ".join(texts[i] for i in range(40)), 501: "ab" * 3000}
+    batch = pa.RecordBatch.from_pydict({"text": list(some.values()), suffix_dedup.DOC: list(some), suffix_dedup.KEY: [0] * len(some)})
+    parts = [e for out in suffix_dedup._list(1)([batch]) for e in out.column("entries").to_pylist()]
+    got = np.concatenate([np.frombuffer(e, suffix_dedup._ENTRY) for e in parts])
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 20)
+    parts = [e for out in suffix_dedup._list(1)([batch]) for e in out.column("entries").to_pylist()]
+    want = np.concatenate([np.frombuffer(e, suffix_dedup._ENTRY) for e in parts])
+    plain = lambda x: sorted(x[["text", "more", "right", "left", "doc", "pos"]].tolist())
+    assert plain(got) == plain(want)
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Rows are told apart by id and text; rows without an id come last; rows that repeat both are one document."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(map(str, rng.integers(10**6, 10**7, n)))
+    a, b, c, x = text(38), text(38), text(38), text(30)
+    mixed = b[:120] + "~and~" + a[40:200]
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, x), (4, mixed), (4, mixed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.removed(df).collect()), key=repr)
+    assert got == sorted([(1, len(a), 0), (2, len(a), len(a)), (2, len(b), 0), (3, len(c), 0), (3, len(c), 0), (None, len(c), len(c)), (None, len(x), 0), *[(4, len(mixed), 280)] * 2], key=repr)
+    full = df.select("doc_id", "text", *(F.lit(n).alias(n) for n in CLASH))
+    kept = sorted((r.doc_id or 0, r.text) for r in suffix_dedup.cut_repeats(spark, full, "").collect())
+    assert kept == sorted([(1, a), (2, b), (3, c), (3, c), (0, x), (4, "~and~"), (4, "~and~")])
+
+
 def test_statistics(spark, texts):
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.statistics(frame(spark, texts)).collect()}
     assert got == {i: brute.counts(t) for i, t in texts.items()}
@@ -154,15 +183,34 @@ def test_packing(spark, texts):
 
 
 def test_word_ids_are_the_library_s(texts):
-    import numpy as np
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     model = packing.WordTokenizer(public_tokenizers.path(packing.VOCABULARY))
-    odd = ["", " \x1c\x85 a", "don't 'll I'VE", "Σς İ ½² é́ 漢🙂 x\x00y", "a<|endoftext|>b", *(t or "" for t in texts.values())]
-    want = [e.ids for e in model.model.encode_batch(odd, add_special_tokens=False)]
+    odd = ["", " \x1c\x85 a", "don't 'll I'VE", "Σς İ ½² é́ 漢🙂 x\x00y", "a<|endoftext|>b", "a <|endoftext|> b", "<|startoftext|><|ENDOFTEXT|> <|endof text|>", *(t or "" for t in texts.values())]
+    want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)).encode_batch(odd, add_special_tokens=False)]
     assert [np.frombuffer(b, "<u4").tolist() for b in model.encode([t.encode() for t in odd])] == want
 
 
+def test_pieces_are_the_library_s(spark):
+    """Cuts, starts, lengths and checksums of the query's pieces, from the library's ids."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    exact = "word " * (packing.CAPACITY - 1)
+    rows = [(1, None), (2, ""), (3, "a <|endoftext|> b"), (4, "Long words here! " * 2500), (5, exact), (6, exact + "x"), (7, "one"), (7, "two 2"), (None, "none")]
+    want = []
+    for i, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, at, len(p), zlib.crc32(p.tobytes())) for k, at in enumerate(range(0, len(ids), packing.CAPACITY)) for p in [ids[at : at + packing.CAPACITY]]]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("x")).withColumn("block", F.lit(1))).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out), key=repr) == sorted(want, key=repr)
+    assert len({r.sequence_id for r in out}) == naive_best_fit([w[3] for w in want], packing.CAPACITY)
+
+
 @pytest.mark.parametrize("stage", [quality.keep_good, near_dup.keep_one_of_each, suffix_dedup.cut_repeats, secret_scan.redact])
 def test_stage_keeps_columns(spark, sf_dir, stage):
     for texts in ({}, {1: None, 2: "", 3: "word " * 80, 4: "word " * 80}):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import textwrap
@@ -118,6 +119,25 @@ def test_bpe_equals_library(spark):
     assert ids == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
     back = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(df)).collect()}
     assert all(bytes(back[i]) == t.encode() for i, t in enumerate(texts))
+    # the query's own columns, from the library; rows that repeat an id, or have none, are each by itself
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    odd = [(7, "one"), (7, "two words"), (None, "three"), (8, None), (9, ""), *enumerate(texts[:300])]
+    rows = bpe.digests(spark.createDataFrame(odd, "doc_id long, text string").withColumn("ids_sha256", F.lit(1)).withColumn("n_tokens", F.lit("x"))).collect()
+    want = [(i, len(x), sha(",".join(map(str, x)).encode()), sha((t or "").encode())) for i, t in odd for x in [library.encode_ordinary(t or "")]]
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
+    assert bpe.digests(df.limit(0)).count() == 0
+
+
+def test_bpe_merges_of_random_bytes():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"abcde \xc3\xa9\xe6") for _ in range(rng.randint(1, 30))) for _ in range(5000)] + [t for t in bpe.replay(path).token if t] + [b"a" * 999, b"ab" * 500]
+    ids, at = bpe.replay(path).encode(words)
+    assert all(ids[at[i] : at[i + 1]].tolist() == library._encode_single_piece(w) for i, w in enumerate(words))
 
 
 def test_licence_sample_is_the_smallest_hashes(spark):
