@@ -70,7 +70,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         left = hooks.select(F.col("a").alias("x"), F.col("r").alias("rx"))
         right = hooks.select(F.col("a").alias("y"), F.col("r").alias("ry"))
         moved = materialize(edges.join(left, edges.a == left.x).select("rx", "b"), "moved")
-        lifted = moved.join(right, moved.b == right.y, "left").select("rx", F.coalesce("ry", "b").alias("ry")).where("rx <> ry")
+        # links whose root is their own other end are done; the rest is one row for each root and node, however many links that node has
+        open_ones = moved.where("rx <> b").distinct()
+        lifted = open_ones.join(right, open_ones.b == right.y, "left").select("rx", F.coalesce("ry", "b").alias("ry")).where("rx <> ry")
         lifted = materialize(lifted.select(F.greatest("rx", "ry").alias("a"), F.least("rx", "ry").alias("b")).distinct(), "edges")
         if labels is None:
             # nodes without a smaller neighbour stand for themselves so far

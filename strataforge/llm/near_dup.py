@@ -4,9 +4,10 @@ Each of ``TREES`` sorted orders lists the documents by a label of ``DEPTH``
 MinHash values.  Neighbours that share a prefix of at least ``SHALLOW`` values
 become candidates.  Regions where that prefix is shared by more documents than
 the neighbour window holds are compared whole: their members form clusters, a
-cluster is cut into small blocks, and each pair of blocks is one group that
-compares the documents which are not yet in one component.  Every link is
-confirmed on full shingle sets.
+cluster is cut into small blocks.  Documents outside its largest component first
+meet a block of that component; those that are still apart then meet all blocks
+of the cluster, and each pair of blocks is one group that compares the documents
+which are not yet in one component.  Every link is confirmed on full shingle sets.
 
 The chance that a pair shares no prefix of four values in 20 orders is 4e-7 at
 a similarity of 0.85 and 3e-5 at 0.80, in crowded regions as elsewhere.
@@ -18,20 +19,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .shared import materialize, small_batches, table, with_ids
+from .shared import materialize, small_batches, table, text_key, with_ids, without_rows
 from .textvec import Words, slices, strings
 
 TREES, DEPTH, SHALLOW, WINDOW = 20, 6, 4, 4
-#: Documents in a block of a crowded cluster; a group holds two blocks.
+#: Documents in a block of a crowded cluster, on average; a group holds two blocks.
 BLOCK = 64
+#: Labels in one stretch of a sorted order, which a task holds.
+STRETCH = 200_000
 _RNG = np.random.Generator(np.random.PCG64(977))
 _A = _RNG.integers(0, 2**63, size=TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**64, size=TREES * DEPTH, dtype=np.uint64)
-_SIGNED = "doc_id long, n_shingles long, set_key binary, signature binary"
+_SIGNED = "doc_id long, text_key long, n_shingles long, set_key binary, signature binary"
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -45,22 +48,26 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(">u2")
 
 
+def _set_key(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def _sign(shingle: int):
     def run(batches):
         for batch in slices(batches, "text"):
             sizes, keys, signatures = [], [], []
             for s in Words(batch.column("text"), lower=True).shingles(shingle):
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(_set_key(s.tobytes()))
                 signatures.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "signature"])
 
     return run
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row per document: set size, a 128-bit key of the set, and its MinHash values (null for an empty set)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign(shingle), _SIGNED)
+    """One row per document: a key of the text, set size, a 128-bit key of the set, and its MinHash values (null for an empty set)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(_sign(shingle), _SIGNED)
 
 
 def _neighbours(batches):
@@ -98,7 +105,7 @@ def _sets(shingle: int):
     def run(batches):
         for batch in slices(batches, "text"):
             packed = [s.tobytes() for s in Words(batch.column("text"), lower=True).shingles(shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(_set_key, packed)), pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "set_key", "words"])
 
     return run
 
@@ -129,25 +136,63 @@ def _confirm(percent: int):
 def _blocks(percent: int):
     def run(group: pa.Table) -> pa.Table:
         """Links between documents of two blocks that are not in one component yet: a spanning forest of them."""
-        doc, comp = group.column("doc_id").to_pylist(), group.column("component").to_numpy()
-        side = group.column("side").to_numpy()
+        node, comp, side = (group.column(c).to_numpy() for c in ("node", "component", "side"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("words").combine_chunks()]
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint16).reshape(len(doc), -1)
         forest, out = Forest(), []
-        one = bool((side == 0).all())
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
-        for i in first:
-            alike = (sig[second] == sig[i]).mean(axis=1)
-            for j in second[np.argsort(-alike, kind="stable")]:
-                if i != j and forest.find(int(comp[i])) != forest.find(int(comp[j])) and linked(sets[i], sets[j], percent):
+        second = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            for j in second:
+                if node[i] != node[j] and forest.find(int(comp[i])) != forest.find(int(comp[j])) and linked(sets[i], sets[j], percent):
                     forest.join(int(comp[i]), int(comp[j]))
-                    out.append((doc[i], doc[j]))
+                    out.append((node[i], node[j]))
         got = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
     return run
 
 
+def verdicts(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """:func:`near_duplicates`, with the ``text_key`` of each row."""
+    small_batches(docs.sparkSession)
+    signed = materialize(signatures(docs, shingle), "signatures")
+    live = signed.where("n_shingles > 0 and doc_id is not null")
+    # sets that are equal: the smallest document stands for all of them
+    classes = materialize(live.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    own = live.select("doc_id", F.col("set_key").alias("own"), "signature").join(classes.withColumnRenamed("rep", "doc_id"), "doc_id").where("own = set_key").dropDuplicates(["doc_id", "set_key"])
+    # a node is the smallest document; where one id stands for several sets, the further ones get numbers below zero
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("set_key"))
+    node = F.when(nth == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "set_key").bitwiseOR(F.lit(-(2**63))))
+    reps = materialize(own.select(node.alias("node"), "doc_id", "set_key", "signature"), "representatives")
+    label = [F.struct(F.lit(t).cast("byte").alias("tree"), F.substring("signature", 1 + 2 * t * DEPTH, 2 * DEPTH).alias("label")) for t in range(TREES)]
+    rows = reps.select(F.col("node").alias("doc_id"), F.explode(F.array(*label)).alias("x")).select("x.tree", "x.label", "doc_id")
+    stretches = max(1, -(-reps.count() * TREES // STRETCH))
+    found = rows.repartitionByRange(stretches, "tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours, "a long, b long, crowded boolean")
+    found = materialize(found, "candidates")
+    crowd = found.where("crowded").select(F.col("a").alias("node"), F.col("b").alias("region"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def full(of: DataFrame) -> DataFrame:
+        """``(node, words)``: shingle sets of nodes, from the whole texts."""
+        wanted = materialize(of.select("node").distinct().join(reps.select("node", "doc_id", "set_key"), "node"), "wanted")
+        sets = with_ids(texts, wanted).mapInArrow(_sets(shingle), "doc_id long, set_key binary, words binary").dropDuplicates(["doc_id", "set_key"])
+        return sets.join(wanted, ["doc_id", "set_key"]).select("node", "words")
+
+    pairs = materialize(found.where("not crowded").select("a", "b").distinct(), "pairs")
+    words = materialize(full(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+    xs = words.select(F.col("node").alias("a"), F.col("words").alias("xs"))
+    ys = words.select(F.col("node").alias("b"), F.col("words").alias("ys"))
+    links = materialize(pairs.join(xs, "a").join(ys, "b").select("a", "b", "xs", "ys").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    labels = _crowded(crowd, links, full, percent)
+    rep = reps.select("node", "set_key", F.col("doc_id").alias("rep")).join(labels, "node", "left").select("set_key", "rep", F.coalesce("component", "node").alias("component"))
+    if not reps.where("node <> doc_id").isEmpty():
+        rep = materialize(rep, "classes")
+        low = rep.groupBy("component").agg(F.min("rep").alias("low"))
+        rep = rep.join(low, "component").select("set_key", F.col("low").alias("component"))
+    member = live.select("doc_id", "text_key", "n_shingles", "set_key").join(rep, "set_key").select("doc_id", "text_key", "n_shingles", F.col("component").alias("component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    return member.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -156,64 +201,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     and a null or blank text has an empty set, links with nothing and is kept.
     Documents link when 100 * intersection >= percent * union.  ``component_id``
     is the smallest ``doc_id`` that links reach, and that document is kept.
-    Equal sets always link; repeated ``doc_id`` values share their verdict.
-    Rows with a null ``doc_id`` are not part of the result.
+    Equal sets always link.  Rows that repeat an id are judged each by its own
+    text, and kept if their id is the smallest.  Rows without an id link with
+    nothing, have no component and are kept.
     """
-    small_batches(docs.sparkSession)
-    docs = docs.where("doc_id is not null")
-    signed = materialize(signatures(docs, shingle), "signatures")
-    # sets that are equal: the smallest document stands for all of them
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes, "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), F.col("set_key").alias("own")).join(signed.where("n_shingles > 0"), "doc_id").where("own = set_key").select("doc_id", "n_shingles", "signature").dropDuplicates(["doc_id"])
-    reps = materialize(reps, "representatives")
-    label = [F.struct(F.lit(t).cast("byte").alias("tree"), F.substring("signature", 1 + 2 * t * DEPTH, 2 * DEPTH).alias("label")) for t in range(TREES)]
-    rows = reps.select("doc_id", F.explode(F.array(*label)).alias("x")).select("x.tree", "x.label", "doc_id")
-    found = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id").mapInArrow(_neighbours, "a long, b long, crowded boolean")
-    found = materialize(found, "candidates")
-    pairs = found.where("not crowded").select("a", "b").distinct()
-    crowd = found.where("crowded").select(F.col("a").alias("doc_id"), F.col("b").alias("region"))
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return verdicts(docs, shingle, percent).drop("text_key")
 
-    def full(of: DataFrame) -> DataFrame:
-        return with_ids(sets, of.distinct()).mapInArrow(_sets(shingle), "doc_id long, words binary").dropDuplicates(["doc_id"])
 
-    pairs = materialize(pairs, "pairs")
-    words = materialize(full(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
-    xs = words.select(F.col("doc_id").alias("a"), F.col("words").alias("xs"))
-    ys = words.select(F.col("doc_id").alias("b"), F.col("words").alias("ys"))
-    links = materialize(pairs.join(xs, "a").join(ys, "b").select("a", "b", "xs", "ys").mapInArrow(_confirm(percent), "a long, b long"), "links")
+def _crowded(crowd: DataFrame, links: DataFrame, full, percent: int) -> DataFrame:
+    """Components, after the rest of the crowded regions is compared: nodes of one cluster that are in different components."""
     labels = components(links, "a", "b")
-    links, labels = _crowded(crowd, reps, links, labels, full, percent)
-    member = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "set_key")
-    member = member.join(classes, "set_key").join(labels, F.col("rep") == F.col("node"), "left")
-    member = member.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return member.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _crowded(crowd: DataFrame, reps: DataFrame, links: DataFrame, labels: DataFrame, full, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare the rest of the crowded regions: documents of one cluster that are in different components."""
     sizes = crowd.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
     crowd = materialize(crowd.join(sizes, "region", "left_semi"), "crowd")
     if crowd.isEmpty():
-        return links, labels
+        return labels
     # regions that share a document belong to one cluster: its smallest document names it
-    anchor = materialize(crowd.groupBy("region").agg(F.min("doc_id").alias("low")), "anchors")
-    cluster = components(crowd.join(anchor, "region").where("doc_id <> low").select("doc_id", "low").distinct(), "doc_id", "low")
-    cluster = cluster.withColumnRenamed("component", "cluster")
-    member = materialize(cluster.join(labels, "node", "left").select(F.col("node").alias("doc_id"), "cluster", F.coalesce("component", "node").alias("component")), "clusters")
-    open_ones = member.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ones = materialize(open_ones, "open")
-    if open_ones.isEmpty():
-        return links, labels
-    member = member.join(open_ones, "cluster").join(reps.select("doc_id", "signature"), "doc_id").join(full(member.join(open_ones, "cluster", "left_semi").select("doc_id")), "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "component", "signature", "words")
-    more = member.groupBy("cluster", "i", "j").applyInArrow(_blocks(percent), "a long, b long")
-    links = materialize(links.select("a", "b").unionByName(more), "links")
-    return links, components(links, "a", "b")
+    anchor = materialize(crowd.groupBy("region").agg(F.min("node").alias("low")), "anchors")
+    cluster = components(crowd.join(anchor, "region").where("node <> low").select("node", "low").distinct(), "node", "low")
+    cluster = materialize(cluster.select("node", F.col("component").alias("cluster")), "clusters")
+    words = None
+    for first in (True, False):
+        member = materialize(cluster.join(labels, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component")), "members")
+        parts = materialize(member.groupBy("cluster", "component").agg(F.count("*").alias("n")), "parts")
+        # clusters of several components: the largest one, and what is outside of it, in blocks
+        total = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("k")).where("k > 1")
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        total = materialize(total.select("cluster", "main", blocks(F.col("all") - F.col("most")).alias("outside"), blocks(F.col("most")).alias("mains"), blocks(F.col("all")).alias("alls")), "open")
+        if total.isEmpty():
+            return labels
+        member = member.join(total, "cluster")
+        if words is None:
+            words = materialize(full(member.select("node")), "crowd-sets")
+        hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        apart = F.col("component") != F.col("main")
+        other = F.lit(0) if first else every("alls")
+        left = member.where(apart).select("cluster", hashed("outside").alias("i"), other.alias("j"), F.lit(0).alias("side"), "node", "component")
+        # at first one block of the largest component, then all of the cluster
+        right = member.where(~apart & (hashed("mains") == 0)) if first else member
+        right = right.select("cluster", every("outside").alias("i"), (F.lit(0) if first else hashed("alls")).alias("j"), F.lit(1).alias("side"), "node", "component")
+        more = left.unionByName(right).join(words, "node").groupBy("cluster", "i", "j").applyInArrow(_blocks(percent), "a long, b long")
+        links = materialize(links.select("a", "b").unionByName(more), "links")
+        labels = components(links, "a", "b")
+    return labels
 
 
 def op2_minhash_forest(spark, sf_dir: str) -> DataFrame:
@@ -221,6 +251,6 @@ def op2_minhash_forest(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five words, 0.8) one document stays."""
-    verdict = materialize(near_duplicates(docs, shingle=5, percent=80), "verdicts")
-    return with_ids(docs, verdict.where("not kept"), "left_anti").select(docs.columns)
+    """Pipeline stage: of each group of near copies (five words, 0.8) one document stays, each row by its own text."""
+    verdict = materialize(verdicts(docs, shingle=5, percent=80), "verdicts")
+    return without_rows(docs, verdict.where("not kept")).select(docs.columns)

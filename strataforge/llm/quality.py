@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_batches, table, with_ids
+from .shared import materialize, small_batches, table, text_key, without_rows
 from .textvec import Words, slices
 
 #: Labelled rows that the learner may see at most; it runs on the driver.
 TRAIN_ROWS = 20_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_distinct")
-_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
+_SCHEMA = "doc_id long, text_key long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -96,13 +96,13 @@ def _statistics(batches):
             "n_marks": _totals(_MARK[data], at),
             "n_distinct": distinct_words(words),
         }
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(columns[c], pa.int64()) for c in COUNTS)], names=["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(columns[c], pa.int64()) for c in COUNTS)], names=["doc_id", "text_key", *COUNTS])
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text; a null text counts as empty."""
+    """Counts of every whole text, with its ``text_key``; a null text counts as empty."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(_statistics, _SCHEMA)
 
 
 def base_failed() -> Column:
@@ -193,7 +193,9 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[Rul
     if not total:
         return []
     share = min(1.0, rows / total)
-    sample = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows).toPandas().sort_values("doc_id", ignore_index=True)
+    # about ``rows`` of them pass the hash; those with the smallest hashes are the same ones in every run
+    place = F.pmod(F.xxhash64("doc_id", "quality", *names), F.lit(1 << 30))
+    sample = found.withColumn("place", place).where(F.col("place") <= int(min(1.0, 1.1 * share) * (1 << 30))).orderBy("place", "doc_id", *names).limit(rows).toPandas().sort_values(["doc_id", "place"], ignore_index=True)
     x = {n: sample[n].to_numpy(float) for n in names}
     bad = sample["quality"].to_numpy() == 0
     fold = (sample["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % 3
@@ -230,6 +232,6 @@ def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the base test or the decision list rejects go."""
+    """Pipeline stage: documents that the base test or the decision list rejects go, each row by its own text."""
     verdicts = judge(docs, table(spark, sf_dir, "labels"))
-    return with_ids(docs, verdicts.where("not kept"), "left_anti").select(docs.columns)
+    return without_rows(docs, verdicts.where("not kept")).select(docs.columns)

@@ -42,8 +42,8 @@ RULES = (
 BASE = 3
 #: The column of found spans, named so that it clashes with none of the documents'.
 SECRETS = "strataforge_secrets"
-#: A match of these is dropped for its length alone, so a shorter search finds the same ones.
-_QUICK = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}
+#: By pattern, group and least length: a match is dropped for its length alone, so this search finds the same ones.
+_QUICK = {(r"[0-9a-f]+", 0, 16): r"[0-9a-f]{16,}", (r"AKIA[A-Z0-9]+", 0, 18): r"AKIA[A-Z0-9]{14,}"}
 #: Strings that one stretch of a pattern may stand for before it is no longer followed.
 _MOST_STRINGS = 64
 
@@ -127,9 +127,13 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     return met.join(F.broadcast(needs), ["kind", "part"]).where("met = needed").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _searched(rule: Rule) -> str:
+    return _QUICK.get((rule.pattern, rule.group, rule.least), rule.pattern)
+
+
 def _matches(rule: Rule) -> Column:
     """Lengths of the texts between the matches, of the matches, and of the group that must be long enough."""
-    text = _QUICK.get(rule.kind, rule.pattern)
+    text = _searched(rule)
     pattern = F.lit(text)
     gaps = F.transform(F.split("text", text, -1), F.length)
     whole = F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.length)
@@ -150,8 +154,7 @@ def spans(docs: DataFrame, rules=RULES) -> DataFrame:
     known = docs.join(found, "doc_id", "left")
     lists = []
     for n, rule in enumerate(rules):
-        pattern = _QUICK.get(rule.kind, rule.pattern)
-        open_to = F.col("text").rlike(pattern)
+        open_to = F.col("text").rlike(_searched(rule))
         if mandatory(rule.pattern):
             asked = F.coalesce(F.array_contains("kinds", rule.kind), F.col("doc_id").isNull())
             open_to = asked & open_to

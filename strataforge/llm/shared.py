@@ -5,20 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a temporary folder is
-    chosen and recorded on the session.
+    Only where the setting is absent and all tasks run on this machine, as in
+    local tests, a temporary folder is chosen and recorded on the session; on a
+    cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.strataforge.shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataforge-")
         spark.conf.set("spark.strataforge.shared", found)
     return found.rstrip("/")
@@ -75,3 +78,18 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most: int
     """
     ids = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
     return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
+
+
+def text_key() -> Column:
+    """What tells texts apart, besides their ids."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` without the rows whose id (null is one, too) and text are in ``rows`` (``doc_id``, ``text_key``).
+
+    Other rows that only share an id stay.  The rows are broadcast up to ``most``.
+    """
+    gone = materialize(rows.select(F.col("doc_id").alias("strataforge_doc"), F.col("text_key").alias("strataforge_key")).distinct(), "rows")
+    small = F.broadcast(gone) if gone.count() <= most else gone
+    return docs.join(small, F.col("doc_id").cast("long").eqNullSafe(F.col("strataforge_doc")) & (text_key() == F.col("strataforge_key")), "left_anti")

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _SPAN = 64
+#: Bytes of words that are hashed at a time.
+_STRETCH = 4 << 20
 _TABLE = _RNG.integers(0, 2**64, size=_SPAN * 256, dtype=np.uint64)
 #: Odd multipliers by place in a shingle; they tell apart the orders of words.
 _PLACES = _RNG.integers(0, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,10 +83,15 @@ class Words:
             if not len(size):
                 self._hash = np.zeros(0, np.uint64)
                 return self._hash
-            begin = np.cumsum(size) - size
-            chars = self.data[self.live]
-            place = np.arange(len(chars)) - np.repeat(begin, size)
-            out = np.bitwise_xor.reduceat(_TABLE[((place & (_SPAN - 1)) << 8) | chars], begin)
+            out, begin, total = np.empty(len(size), np.uint64), np.cumsum(size) - size, int(size.sum())
+            # long texts are hashed a stretch of words at a time, as the tables are eight times their bytes
+            cuts = np.unique(np.searchsorted(begin, np.arange(0, total, _STRETCH), "right") - 1)
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(size)], strict=True):
+                a, b = self.start[i], self.end[j - 1]
+                chars = self.data[a:b][self.live[a:b]]
+                own = begin[i:j] - begin[i]
+                place = np.arange(len(chars)) - np.repeat(own, size[i:j])
+                out[i:j] = np.bitwise_xor.reduceat(_TABLE[((place & (_SPAN - 1)) << 8) | chars], own)
             for i in np.flatnonzero(size > _SPAN):
                 out[i] = int.from_bytes(blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
             self._hash = out

@@ -47,8 +47,14 @@ def test_crowded_region(spark):
 
 def test_near_duplicate_rows_that_repeat(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b C d")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(rows, 3, 85).collect()), key=repr) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=repr)
+    # one id on unlike texts: each row by its own text
+    words = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, words("a")), (3, words("a")), (3, words("b")), (3, words("c")), (4, words("b") + " x"), (5, words("c")), (6, words("d"))], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(rows, 3, 85).collect())
-    assert got == [(1, 1, True), (1, 1, True), (2, 1, False)]
+    assert got == [(1, 1, True), (3, 1, False), (3, 3, True), (3, 3, True), (4, 3, False), (5, 3, False), (6, 6, True)]
+    left = sorted((r.doc_id, r.text[0]) for r in near_dup.keep_one_of_each(spark, rows.withColumn("kept", F.lit(False)), "").collect())
+    assert left == [(1, "a"), (3, "b"), (3, "c"), (6, "d")]
 
 
 def test_repeats(spark, texts):
@@ -238,9 +244,33 @@ def test_crowds_of_a_shallow_prefix_are_regions():
     assert len({r["b"] for r in crowd}) == 1
 
 
-def test_blocks_compare_pairs_of_low_estimate():
+def test_blocks_compare_what_is_apart():
     rng = np.random.default_rng(3)
     x = np.sort(rng.choice(2**62, 100, replace=False).astype(np.uint64))
-    low = bytes(2 * near_dup.TREES * near_dup.DEPTH)
-    group = pa.table({"doc_id": [1, 2], "component": [1, 2], "side": [0, 0], "words": pa.array([x.tobytes(), x[:85].tobytes()], pa.binary()), "signature": pa.array([low, b"\1" * len(low)], pa.binary())})
-    assert near_dup._blocks(80)(group).num_rows == 1
+    sets = pa.array([x.tobytes(), x[:85].tobytes(), x[:79].tobytes(), x.tobytes()], pa.binary())
+    group = pa.table({"node": [1, 2, 3, 4], "component": [1, 2, 3, 1], "side": [0, 1, 1, 1], "words": sets})
+    assert near_dup._blocks(80)(group).to_pylist() == [{"a": 1, "b": 2}]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, sf_dir):
+    good = " ".join(f"word{i} and" for i in range(40))
+    rows = spark.createDataFrame([(1, good), (1, "bad"), (None, "bad"), (None, good)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    verdicts = quality.judge(rows, none)
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in verdicts.collect()) == [(0, 1, False), (0, 80, True), (1, 1, False), (1, 80, True)]
+    assert sorted((r.doc_id or 0, r.text) for r in quality.keep_good(spark, rows, sf_dir).collect()) == [(0, good), (1, good)]
+
+
+def test_secret_rules_of_one_kind(spark):
+    rules = (secret_scan.Rule("hex", "ZZZZ-[0-9]+"), secret_scan.Rule("short", "[0-9a-f]+", 0, 3))
+    found = secret_scan.spans(frame(spark, {1: "ZZZZ-12 abc ff", 2: "zzzz-12"}), rules).collect()
+    assert sorted((r.doc_id, r.kind, r.start, r.end) for r in found) == [(1, "hex", 0, 7), (1, "short", 8, 11)]
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    from strataforge.llm import textvec
+
+    column = pa.array([" ".join(f"w{i % 97}" * (i % 40) for i in range(500)), None, "", "a b", "x" * 999])
+    want = textvec.Words(column).hash
+    monkeypatch.setattr(textvec, "_STRETCH", 50)
+    assert (textvec.Words(column).hash == want).all()
