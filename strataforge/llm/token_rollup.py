@@ -1,14 +1,19 @@
 """Token counts that are kept up to date by signed deltas.
 
 A batch turns document events into one row of sums for each source, language
-and tokenizer version, and commits it under the batch's name.  A batch that is
-committed again replaces itself, so retries change nothing; totals are the sum
-of all committed rows, and many small batches can be compacted into one.
+and tokenizer version.  A commit writes the batch's sums and the new running
+totals into fresh folders and then publishes a manifest that names both, by one
+rename; readers follow the newest manifest and never see half a commit, and a
+writer that is lost leaves folders that no manifest names.  A batch that is
+committed again takes its old sums back out of the totals, so retries change
+nothing.  :meth:`Rollup.compact` folds old batches into the totals for good.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 from functools import cache
 
 import pyarrow as pa
@@ -60,11 +65,44 @@ def events(counts: DataFrame, sign: int, docs: int = 1) -> DataFrame:
     return rows.select("source", "lang", "v.tokenizer", F.lit(sign * docs).cast("long").alias("n_docs"), (F.lit(sign) * F.col("v.n")).alias("n_tokens"), (F.lit(sign) * F.col("n_bytes")).alias("n_bytes"))
 
 
+_TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
+
+
 class Rollup:
-    """Additive totals in a folder, one sub-folder for each committed batch."""
+    """Additive totals in a folder that one writer at a time commits to and any number reads."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(folder).getFileSystem(conf)
+
+    def manifest(self) -> dict:
+        """``version``; ``batches``, the folder of each; ``totals``, the folder of the running totals; ``folded``, the batches that compaction closed."""
+        versions = self._path(self.folder, "manifests")
+        if not self._store.exists(versions):
+            return {"version": 0, "batches": {}, "totals": None, "folded": []}
+        newest = max(x.getPath().getName() for x in self._store.listStatus(versions) if x.getPath().getName().endswith(".json"))
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.folder}/manifests/{newest}").collect()))
+
+    def _publish(self, manifest: dict) -> None:
+        name = f"{manifest['version']:012d}.json"
+        hidden, shown = self._path(f"{self.folder}/.{name}-{uuid.uuid4().hex}"), self._path(f"{self.folder}/manifests/{name}")
+        out = self._store.create(hidden, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._store.mkdirs(shown.getParent())
+        if self._store.exists(shown) or not self._store.rename(hidden, shown):
+            raise RuntimeError(f"another writer has committed version {manifest['version']}")
+
+    def _written(self, rows: DataFrame, kind: str) -> str:
+        path = f"{self.folder}/{kind}/{uuid.uuid4().hex}"
+        # a row per source, language and tokenizer version
+        rows.coalesce(1).write.parquet(path)
+        return path
+
+    def _read(self, path: str | None) -> DataFrame:
+        return self.spark.createDataFrame([], _TOTALS) if path is None else self.spark.read.schema(_TOTALS).parquet(path)
 
     def commit(self, batch: str, deltas: DataFrame) -> None:
         """Commit ``deltas`` (``KEYS`` and ``SUMS``) as ``batch``; the same batch again replaces what it wrote.
@@ -73,30 +111,40 @@ class Rollup:
         """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"not a batch name: {batch!r}")
+        old = self.manifest()
+        if batch in old["folded"]:
+            raise ValueError(f"batch {batch!r} is compacted and cannot be sent again")
         parts = deltas.groupBy(*KEYS, F.spark_partition_id().__mod__(PARTS).alias("part")).agg(*(F.sum(c).alias(c) for c in SUMS))
-        parts.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{batch}")
-
-    def _committed(self) -> DataFrame | None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        store = root.getFileSystem(conf)
-        if not store.exists(root):
-            return None
-        # a batch counts once its writer has left the mark of success
-        names = [x.getPath().toString() for x in store.listStatus(root) if store.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
-        return self.spark.read.parquet(*names) if names else None
+        path = self._written(parts.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)), "batches")
+        taken = self._read(old["batches"].get(batch)).select(*KEYS, *((-F.col(c)).alias(c) for c in SUMS))
+        both = self._read(old["totals"]).unionByName(self._read(path)).unionByName(taken)
+        totals = self._written(both.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS)), "totals")
+        self._publish(old | {"version": old["version"] + 1, "batches": old["batches"] | {batch: path}, "totals": totals})
+
+    def compact(self) -> None:
+        """Fold all batches into the running totals for good, and delete what no manifest needs any more.
+
+        The totals stay as they are; batches that are folded are refused if they are sent again.
+        """
+        old = self.manifest()
+        new = old | {"version": old["version"] + 1, "batches": {}, "folded": sorted({*old["folded"], *old["batches"]})}
+        self._publish(new)
+        for kind in ("batches", "totals"):
+            where = self._path(f"{self.folder}/{kind}")
+            for x in self._store.listStatus(where) if self._store.exists(where) else []:
+                if new["totals"] is None or x.getPath().getName() != new["totals"].rsplit("/", 1)[1]:
+                    self._store.delete(x.getPath(), True)
 
     def totals(self) -> DataFrame:
         """Totals of all committed batches; keys whose sums are all zero are gone."""
-        rows = self._committed()
-        if rows is None:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long")
-        out = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
-        return out.where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+        return self._read(self.manifest()["totals"]).where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
 
 
 def later_copies(counts: DataFrame) -> DataFrame:
-    """Counted documents whose text an earlier document has: all but the smallest id of each text."""
+    """Counted documents whose text an earlier document has: all but the smallest id of each text.
+
+    Rows that repeat an id and a text are no copies of each other, and rows without an id are none at all.
+    """
     first = materialize(counts.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("text_key", "first"), "first-copies")
     return counts.join(first, "text_key").where(F.col("doc_id") > F.col("first")).drop("first")
 

@@ -155,8 +155,36 @@ class BadRecord(ValueError):
     pass
 
 
+#: Record types of WARC 1.1; others are errors.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+_SKIPPABLE = range(0x184D2A50, 0x184D2A60)
+
+
+def _page_of(urn: str | None) -> int | None:
+    """The page that a record's id names; null for ids of other kinds, such as ``urn:uuid``."""
+    prefix = "<urn:x-page:"
+    number = urn[len(prefix) : -1] if urn and urn.startswith(prefix) and urn.endswith(">") else ""
+    return int(number) if number.isascii() and number.lstrip("-").isdigit() else None
+
+
+def _digest_of(value: str | None) -> bytes | None:
+    """SHA-1 of a digest header, in base 32 or hexadecimal; null for none or another algorithm."""
+    if value is None:
+        return None
+    name, _, text = value.partition(":")
+    if name.lower() != "sha1":
+        return None
+    try:
+        digest = bytes.fromhex(text) if len(text) == 40 else base64.b32decode(text.upper())
+    except ValueError as e:
+        raise BadRecord("digest is not SHA-1") from e
+    if len(digest) != 20:
+        raise BadRecord("digest is not SHA-1")
+    return digest
+
+
 def frames(data: bytes):
-    """Records of an archive, one frame each, decoded with the dictionary of its leading frame."""
+    """Records of an archive, one frame each, decoded with the dictionary of its leading frame; later skippable frames are passed over."""
     view = memoryview(data)
     if len(data) < 8 or struct.unpack_from("<I", data)[0] != DICTIONARY_MAGIC:
         raise BadRecord("no dictionary frame")
@@ -169,6 +197,11 @@ def frames(data: bytes):
         words = zstd.ZstdDecompressor().decompress(words)
     unpack = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(words))
     while at < len(data):
+        if at + 8 <= len(data) and struct.unpack_from("<I", data, at)[0] in _SKIPPABLE:
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            if at > len(data):
+                raise BadRecord("skippable frame is cut short")
+            continue
         one, parts = unpack.decompressobj(), []
         while not one.eof:
             if at >= len(data):
@@ -181,7 +214,13 @@ def frames(data: bytes):
 
 
 def parse(raw: bytes) -> dict:
-    """Fields of one record, its headers, lengths and digests validated."""
+    """Fields of one record, its headers, lengths and digests validated.
+
+    All record types of WARC 1.1 are read, with record ids of any kind: ``page_id``
+    and ``refers_to`` are null where no page is named.  Digests that are absent or
+    of another algorithm than SHA-1 are not compared.  Whatever else is wrong is a
+    :class:`BadRecord`.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "strict").split("\r\n")
     if not gap or not lines[0].startswith("WARC/1."):
@@ -198,21 +237,28 @@ def parse(raw: bytes) -> dict:
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BadRecord("content-length differs")
     block = rest[:-4]
-    if fields.get("warc-block-digest", _sha1(block)) != _sha1(block):
+    kind = fields["warc-type"].lower()
+    if kind not in TYPES:
+        raise BadRecord("unknown record type")
+    if _digest_of(fields.get("warc-block-digest")) not in (None, hashlib.sha1(block).digest()):
         raise BadRecord("block digest differs")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    sizes = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    if not gap or len(sizes) != 1 or not sizes[0].isdigit():
-        raise BadRecord("no HTTP header")
-    response = fields["warc-type"] == "response"
-    if response and (int(sizes[0]) != len(payload) or fields.get("warc-payload-digest") != _sha1(payload)):
+    out = {"page_id": _page_of(fields["warc-record-id"]), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": _page_of(fields.get("warc-refers-to"))}
+    digest, payload, size = _digest_of(fields.get("warc-payload-digest")), block, len(block)
+    if kind in ("response", "revisit") and fields.get("content-type", "").lower().startswith("application/http"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        sizes = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        if not gap or len(sizes) > 1 or sizes and not sizes[0].isdigit():
+            raise BadRecord("no HTTP header")
+        size = int(sizes[0]) if sizes else len(payload)
+    if kind == "revisit":
+        # its payload is that of another record; what the block holds of it is not the whole
+        if digest is None:
+            raise BadRecord("revisit without a payload digest")
+        return out | {"payload_bytes": size, "payload_digest": digest.hex(), "error": None, "payload": None}
+    own = hashlib.sha1(payload).digest()
+    if size != len(payload) or digest not in (None, own):
         raise BadRecord("payload differs from its length or digest")
-    number = lambda urn: int(urn[len("<urn:x-page:") : -1] or -1) if urn else None
-    page = fields["warc-record-id"][len("<urn:x-page:") : -1]
-    return {
-        "page_id": int(page) if page else None, "record_type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "refers_to": number(fields.get("warc-refers-to")),
-        "payload_bytes": int(sizes[0]), "payload_digest": base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex(), "error": None, "payload": payload if response else None,
-    }
+    return out | {"payload_bytes": size, "payload_digest": own.hex(), "error": None, "payload": payload}
 
 
 def _read(with_payload: bool):
@@ -230,7 +276,7 @@ def _read(with_payload: bool):
                     for raw in frames(content.as_py()):
                         try:
                             rows.append(parse(raw))
-                        except (BadRecord, UnicodeDecodeError) as e:
+                        except (ValueError, KeyError) as e:
                             rows.append({"error": str(e)})
                         if not with_payload:
                             rows[-1].pop("payload", None)
@@ -238,7 +284,7 @@ def _read(with_payload: bool):
                         if held > 16 << 20:
                             yield batch_of(rows)
                             rows, held = [], 0
-                except (BadRecord, zstd.ZstdError) as e:
+                except (ValueError, zstd.ZstdError) as e:
                     rows.append({"error": str(e)})
                 yield batch_of(rows)
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import struct
 import textwrap
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -61,6 +63,32 @@ def test_warc_faults():
             warc.parse(broken)
 
 
+def test_foreign_records(spark, tmp_path):
+    """Records of other writers are read, bad ones are rows with ``error``; none stops the job."""
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\n\r\nhi"
+
+    def made(kind, block, *more, record_id="<urn:uuid:6d05b0b4-5f0a-4a4e-9c8c-1f1c4b1f0b5e>"):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response"
+    sha = hashlib.sha1(b"hi").hexdigest()
+    raws = [
+        made("response", body, http), made("response", body, http, f"WARC-Payload-Digest: sha1:{sha}"), made("warcinfo", b"software: x\r\n"), made("revisit", body[:-2], http),
+        made("revisit", body[:-2], http, "WARC-Payload-Digest: sha1:!!!"), made("revisit", body[:-2], http, f"WARC-Payload-Digest: sha1:{sha}", "WARC-Refers-To: <urn:uuid:1>"),
+        made("response", body, http, "WARC-Payload-Digest: sha256:abc", record_id="<urn:x-page:7>"), made("poem", b"x"), made("response", body, http, record_id="<urn:x-page:x>"), b"\xff\xfe", made("response", b"\xff", http),
+    ]
+    archive = warc.Archive(b"WARC/1.0\r\nWARC-Type: response\r\n" * 20)
+    for raw in raws:
+        archive.add(raw)
+        archive.parts.append(struct.pack("<II", 0x184D2A53, 3) + b"abc")
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(archive.parts))
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.error is None) for r in warc.read_archives(spark, [f"file://{tmp_path}"]).collect()]
+    bad = (None, None, None, None, None, False)
+    fine = (None, "response", None, 2, sha, True)
+    assert got == [fine, fine, (None, "warcinfo", None, 13, hashlib.sha1(b"software: x\r\n").hexdigest(), True), bad, bad, (None, "revisit", None, 2, sha, True), (7, *fine[1:]), bad, fine, bad, bad]
+
+
 def _vectors(seed=3, n=300, width=16):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(40, width))
@@ -105,7 +133,6 @@ def test_no_embeddings(spark):
 
 
 def test_bpe_equals_library(spark):
-    import public_tokenizers
     import tiktoken
 
     path = public_tokenizers.path(bpe.VOCABULARY)
@@ -129,7 +156,6 @@ def test_bpe_equals_library(spark):
 
 
 def test_bpe_merges_of_random_bytes():
-    import public_tokenizers
     import tiktoken
 
     path = public_tokenizers.path(bpe.VOCABULARY)
@@ -201,11 +227,35 @@ def test_rollup(spark):
     assert words()[("s", "en")] == (1, 2, 3)
     rollup.commit("three", token_rollup.events(counts.where("doc_id = 4"), -1))
     assert (None, "en") not in words()
+    # a writer that is lost before its manifest leaves no trace
+    before = words()
+    rollup._written(token_rollup.events(counts, 1), "batches")
+    assert words() == before
+    reader = rollup.manifest()
+    rollup.compact()
+    assert words() == before and rollup.manifest()["batches"] == {} and len(rollup.manifest()["folded"]) == 3
+    with pytest.raises(ValueError):
+        rollup.commit("one", token_rollup.events(counts, 1))
+    with pytest.raises(RuntimeError):
+        rollup._publish(reader | {"version": reader["version"] + 1})
+    rollup.commit("four", token_rollup.events(counts.where("doc_id = 4"), 1))
+    assert words() == before | {(None, "en"): (1, 1, 1)}
+
+
+def test_rollup_of_nothing(spark):
+    none = token_rollup.counted(spark.createDataFrame([], "doc_id long, text string, source string, lang string"))
+    rollup = token_rollup.Rollup(spark, shared.fresh_path(spark, "rollup"))
+    rollup.commit("none", token_rollup.events(none, 1))
+    assert rollup.totals().count() == 0
+    rows = [(1, "a b", "s", "en", 3), (1, "a b", "s", "en", 3), (1, "c", "s", "en", 3), (2, "a b", "s", "en", 3), (None, "a b", "s", "en", 3)]
+    counts = token_rollup.counted(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_words int"))
+    assert [r.doc_id for r in token_rollup.later_copies(counts).collect()] == [2]
 
 
 def test_rollup_query(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").toPandas() for t in ("documents", "labels"))
-    toxic, seen, want = set(labels[labels.toxic == 1].doc_id), set(), {}
+    toxic, seen, want, ids = set(labels[labels.toxic == 1].doc_id), set(), {}, {}
+    library = token_rollup._encoding(public_tokenizers.path(token_rollup.VOCABULARY))
     for r in docs.sort_values("doc_id").itertuples():
         if r.text not in seen:
             seen.add(r.text)
@@ -214,8 +264,10 @@ def test_rollup_query(spark, sf_dir):
             if r.doc_id not in toxic:
                 t[1] += len(brute.WORD.findall(r.text))
                 t[2] += len(r.text.encode())
-    got = token_rollup.op9_token_rollup(spark, sf_dir).where(F.col("tokenizer") == token_rollup.WORDS).collect()
-    assert {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_bytes] for r in got} == want
+                ids[(r.source, r.lang)] = ids.get((r.source, r.lang), 0) + len(library.encode_ordinary(r.text))
+    got = token_rollup.op9_token_rollup(spark, sf_dir).collect()
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_bytes] for r in got if r.tokenizer == token_rollup.WORDS} == want
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_bytes] for r in got if r.tokenizer == token_rollup.BYTES} == {k: [t[0], ids.get(k, 0), t[2]] for k, t in want.items()}
 
 
 def test_pipeline(spark, sf_dir):
