@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import struct
 import textwrap
 
@@ -185,6 +186,47 @@ def test_licences(spark):
     assert found == {1: ["mit"], 2: ["apache-2.0"], 3: ["gpl-3.0"], 4: ["cc-by-nc"], 5: ["reserved"], 9: ["mit"]}
 
 
+UNKNOWN_NOTICES = {
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "boost": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.',
+    "eclipse": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "made up": "Permission is granted to redistribute this library under the Fictional Community License, and no warranty of any kind is given by its copyright holders.",
+}
+
+
+def test_notices_of_no_known_family_are_unknown(spark):
+    rows = [(10 * i + j, f"the end of the day\n{textwrap.fill(t, w) if w else t}\nand the rest") for i, t in enumerate(UNKNOWN_NOTICES.values()) for j, w in enumerate((0, 75))]
+    rows += [(100 + i, t) for i, t in enumerate(["He lost his driving license.", "They had permission to stay, and the warranty was void.", "plain words"])]
+    plain = {200 + i: t for i, t in brute.corpus(5).items()}
+    found = {}
+    for r in license_scan.licence_paragraphs(spark.createDataFrame([*rows, *plain.items()], "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, set()).add(r.family)
+    assert found == {i: {"unknown"} for i, _ in rows if i < 100}
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert license_scan.licence_paragraphs(none).count() == 0
+
+
+def test_licence_scores_are_the_sums_of_weights(spark):
+    texts = [t for _, t in license_scan.TEMPLATES] + [t for _, t in license_scan.OTHERS] + ["no words of the kind", "copyright"]
+    assert all(any(w in t.lower() for w in license_scan.WORDS) for t in texts[:-2])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights, intercepts, _ = license_scan.fit(df)
+    table = {r.gram: r.weights for r in weights.collect()}
+
+    def plain(text):
+        words = ["^", *[w for w in re.split(r"[\W_]+", text.lower()) if w], "$"]
+        grams = {" ".join(words[i : i + k]) for k in (2, 3) for i in range(len(words) - k + 1)} | {w for w in words if w in license_scan.GENERAL}
+        s = np.array([b + sum(table[g][c] for g in grams if g in table) for c, b in enumerate(intercepts.values())])
+        return list(intercepts)[s.argmax()], 1 / np.exp(s - s.max()).sum()
+
+    grams = license_scan._n_grams(df.withColumnRenamed("text", "paragraph"), "doc_id").distinct().groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+    got = {r.doc_id: (r.best, r.p) for r in license_scan._predict(grams, weights, list(intercepts.values()), ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        best, p = plain(t)
+        assert got[i][0] == best and abs(got[i][1] - p) < 1e-9
+
+
 LONG_NOTICES = {
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
     "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
