@@ -98,13 +98,16 @@ def _compare(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, guard: float | None = GUARD, most_cells: int = MOST_CELLS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors`` (``vec_id``, ``embedding``).
 
     Cosines are in double precision.  Vectors that are null, empty, zero or hold
     a null or a non-finite component link with nothing and are kept; so do
     vectors of unlike lengths with each other.  Equal vectors count as links of
-    each other.  Rows that repeat a ``vec_id`` are vectors of their own.
+    each other.  Rows that repeat a ``vec_id`` are vectors of their own; rows
+    without one link with nothing.  With ``guard`` None every border is guarded
+    in full: each link is found, at the price of more visits.  ``most_cells``
+    bounds the index; beyond its square the work of a cell grows with the input.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -116,7 +119,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     found = None
     for (width,) in distinct.select(F.size("vector").alias("w")).distinct().collect():
         one = distinct.where(F.size("vector") == width)
-        pairs = _links_of(one, one.count() if total else 0, threshold)
+        pairs = _links_of(one, one.count() if total else 0, threshold, guard, most_cells)
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -129,15 +132,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links_of(distinct: DataFrame, total: int, threshold: float) -> DataFrame:
+def _links_of(distinct: DataFrame, total: int, threshold: float, guard: float | None, most_cells: int) -> DataFrame:
     """``(a, b, n)``: numbers of links by vector (``b`` null) and linking pairs (``n`` 0), for vectors of one length."""
     share = min(1.0, FIT_ROWS / max(total, 1))
-    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("rep", "vector").limit(FIT_ROWS).toArrow().sort_by("rep").combine_chunks()
+    sample = distinct.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).toArrow().sort_by("rep").combine_chunks()
     batch = sample.to_batches()[0] if sample.num_rows else None
-    cells = min(MOST_CELLS, max(1, round(math.sqrt(total))), sample.num_rows)
+    cells = min(most_cells, max(1, round(math.sqrt(total))), sample.num_rows)
     centres = fit_centres(_unit(batch), cells)
     width = len(sample.column("vector")[0])
-    reach = math.sqrt(1 - threshold**2) * min(1.0, GUARD / math.sqrt(width))
+    reach = math.sqrt(1 - threshold**2) * (1.0 if guard is None else min(1.0, guard / math.sqrt(width)))
     placed = materialize(distinct.select("rep", "copies", "vector").mapInArrow(_assign(centres, reach), "cell int, native boolean, rep long, copies long, unit binary"), "cells")
     # at most MOST_CELLS rows
     size = F.count("*"), F.count_if("native")

@@ -42,6 +42,20 @@ def near(texts: dict, k: int, percent: int) -> dict:
     return groups(links, ids)
 
 
+def without_repeats(texts: dict, size: int = 100) -> dict:
+    """What is left of the texts' bytes, by id."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        b = texts[i].encode()
+        keep = bytearray(b"\1" * len(b))
+        for p in range(len(b) - size + 1):
+            if b[p : p + size] in seen:
+                keep[p : p + size] = bytes(size)
+            seen.add(b[p : p + size])
+        out[i] = bytes(c for c, f in zip(b, keep, strict=True) if f)
+    return out
+
+
 def repeats(texts: dict, size: int = 100) -> dict:
     """``n_bytes, n_removed, n_spans, sha256`` by id."""
     seen, out = set(), {}
@@ -84,6 +98,23 @@ def secrets(text: str | None) -> list:
     return sorted(out)
 
 
+ADDED_SECRETS = (
+    (r"gh[opsru]_[A-Za-z0-9]+", 40), (r"xox[abprs]-[A-Za-z0-9-]+", 15), (r"AIza[A-Za-z0-9_-]+", 39),
+    (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30), ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
+)
+
+
+def redacted(text: str) -> str:
+    """The text with ``[SECRET]`` for each run of overlapping spans."""
+    spans = [(a, b) for a, _, b, _ in secrets(text)] + [m.span() for rx, n in ADDED_SECRETS for m in re.finditer(rx, text) if len(m[0]) >= n]
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def corpus(seed: int, n: int = 120) -> dict:
     """Texts with copies, near copies, shared passages, blanks and repeats."""
     rng = random.Random(seed)

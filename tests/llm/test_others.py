@@ -8,12 +8,14 @@ import random
 import re
 import struct
 import textwrap
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from strataforge.llm import bpe, embedding_dedup, license_scan, shared, token_rollup, warc
 from tests.llm import brute
@@ -123,6 +125,14 @@ def test_embeddings(spark):
     assert np.mean([got[i].component_id == label[i] for i in rows]) >= 0.99
 
 
+def test_embeddings_with_full_borders(spark):
+    rows = {i: v for i, v in _vectors(seed=8, n=250, width=24).items() if v and len(v) == 24 and None not in v and all(map(math.isfinite, v)) and any(v)}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows.items()}
+    want = {i: sum(1 for j in rows if i != j and unit[i] @ unit[j] >= 0.95) for i in rows}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
+    assert {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, guard=None).collect()} == want
+
+
 def test_embeddings_query(spark, sf_dir, con):
     assert difference(embedding_dedup.op3_embedding_cells(spark, sf_dir), con, embedding_dedup.ORACLE) == ""
 
@@ -313,9 +323,32 @@ def test_rollup_query(spark, sf_dir):
 
 
 def test_pipeline(spark, sf_dir):
+    """Every stage against a plain version of it, on what the stage before it kept."""
     import corpus_pipeline
+    from strataforge.llm import packing, quality
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "suffix_dedup", "secret_scan", "packing"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    # the learned list is applied by plain code: its conditions on plain counts
+    stats = quality.statistics(docs)
+    rules = quality.fit(stats, labels)
+    features = {r.doc_id: r for r in stats.select("doc_id", *(c.alias(n) for n, c in quality.features().items())).collect()}
+    plain = {i: brute.counts(t) for i, t in texts.items()}
+    bad = {i for i, c in plain.items() if c[0] < 50 or 100 * c[4] > 50 * c[0]}
+    bad |= {i for i, f in features.items() if any(all(f[n] >= t if up else f[n] <= t for n, up, t in r.tests) for r in rules)}
+    kept = {i: t for i, t in texts.items() if i not in bad}
+    component = brute.near(kept, 5, 80)
+    kept = {i: t for i, t in kept.items() if component[i] == i}
+    cut = {i: b.decode("utf-8", "ignore") for i, b in brute.without_repeats(kept).items()}
+    cut = {i: t for i, t in cut.items() if t == kept[i] or t.strip(" ")}
+    clean = {i: brute.redacted(t) for i, t in cut.items()}
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    want = []
+    for i, t in clean.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, len(p), zlib.crc32(p.tobytes())) for k, at in enumerate(range(0, len(ids), packing.CAPACITY)) for p in [ids[at : at + packing.CAPACITY]]]
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
-    assert len(out) and (out.groupby("sequence_id").length.sum() <= 2048).all()
-    assert set(out.doc_id) <= {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert (out.groupby("sequence_id").length.sum() <= 2048).all()
+    assert sorted(zip(out.doc_id, out.piece, out.length, out.ids_crc32, strict=True)) == sorted(want)
