@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.scalars import folded_name
 from strataforge.operators import tree
 
-# Fields that name a resource, and the kinds of resource each one takes.
-RESOURCE_FIELDS = {"imageId": "image", "audioId": "audio", "animationId": "animation", "videoId": "video", "resourceId": "media", "mediaId": "media", "spriteId": "image"}
-MEDIA = ("image", "audio", "animation", "video")
-# Older names of fields and of condition operators.
+# Fields that name a resource, and the kind of resource each one takes.
+RESOURCE_FIELDS = {
+    "resourceId": "image", "imageId": "image", "soundId": "audio", "musicId": "audio", "animId": "animation",
+    "skinId": "image", "frontResourceId": "image", "backResourceId": "image", "mediaId": "media",
+}
+MEDIA = ("image", "video", "audio", "media")
+# Operators of conditions.
 OPERATORS = ("eq", "ne", "gt", "lt", "gte", "lte", "in", "contains")
+# Parameters that a command of a type must have.
+REQUIRED = {
+    "SET_VARIABLE": ("key", "value"), "WAIT": ("duration",), "MOVE_TO": ("elementId", "x", "y"), "SHOW_IMAGE": ("elementId", "resourceId"),
+    "SHOW_TEXT": ("elementId", "text"), "UPDATE_TEXT": ("elementId", "text"), "SHOW_CHOICES": ("elementId", "options"), "SET_ELEMENT_STYLE": ("elementId", "style"),
+    "IF_CONDITION": ("condition", "trueCommands", "falseCommands"), "JUMP_TO": ("target",), "LOOP": ("commands",), "EMIT_SIGNAL": ("signal",), "BGM_PLAY": ("musicId",),
+    "SE_PLAY": ("soundId",), "SCENE_REDIRECT": ("url",),
+}
+#: Commands that make an element, and those that need one.  Fixed values.
+CREATORS, DEPENDENTS = ("SHOW_IMAGE", "SHOW_TEXT"), ("MOVE_TO", "UPDATE_TEXT", "SET_ELEMENT_STYLE")
 
 
 def scene_levels(scenes: DataFrame, path: str, json: str) -> DataFrame:
@@ -25,11 +39,15 @@ def scene_levels(scenes: DataFrame, path: str, json: str) -> DataFrame:
     )
 
 
+def _event_name(event: str) -> Column:
+    return F.expr(f"coalesce(try_variant_get({event}, '$.id', 'string'), try_variant_get({event}, '$.name', 'string'))")
+
+
 def level_commands(levels: DataFrame) -> DataFrame:
-    """All commands of levels, those of events in streams ``event/<name>``; ``context`` is main, event or nested."""
+    """All commands of levels, those of events in streams ``event/<id>`` (or name); ``context`` is main, event or nested."""
     main = tree.index_commands(levels, "level_key", "level_json")
-    events = levels.select("level_key", F.explode(F.expr("try_variant_get(parse_json(level_json), '$.events', 'array<variant>')")).alias("e"))
-    events = events.select(F.concat_ws("\x1f", "level_key", F.expr("try_variant_get(e, '$.name', 'string')")).alias("both"), F.expr("to_json(e)").alias("event_json"))
+    events = levels.select("level_key", F.explode(F.expr("try_variant_get(try_parse_json(level_json), '$.events', 'array<variant>')")).alias("e"))
+    events = events.select(F.concat_ws("\x1f", "level_key", _event_name("e")).alias("both"), F.expr("to_json(e)").alias("event_json"))
     inside = tree.index_commands(events, "both", "event_json")
     split = F.split("tree_key", "\x1f")
     inside = inside.withColumn("stream_key", F.concat(F.lit("event/"), split[1], F.substring("stream_key", 5, 1 << 20))).withColumn("event", split[1]).withColumn("tree_key", split[0])
@@ -49,14 +67,28 @@ def resource_references(commands: DataFrame, key: str = "command_key") -> DataFr
 
 
 def reference_problems(references: DataFrame, catalog: DataFrame) -> DataFrame:
-    """References to no resource (``unresolved``), or to one of another kind; ``media`` takes all four kinds."""
+    """References to no resource (``unresolved``), or to one of another kind; ``media`` takes four kinds."""
     joined = references.join(catalog.select(F.col("id").alias("resource_id"), F.col("type").alias("kind")), "resource_id", "left")
     fits = F.when(F.col("wanted") == "media", F.col("kind").isin(*MEDIA)).otherwise(F.col("kind") == F.col("wanted"))
     return joined.withColumn("problem", F.when(F.col("kind").isNull(), "unresolved").when(~fits, "wrong_kind")).where("problem is not null")
 
 
-def _text(path: str) -> Column:
-    return F.expr(f"coalesce(try_variant_get(parse_json(command_json), '$.parameters.{path}', 'string'), try_variant_get(parse_json(command_json), '$.{path}', 'string'))")
+def level_resources(references: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Declared and used resources of each level, sorted, with stand-ins (``placeholder``) for those that no catalog has."""
+    level = F.regexp_extract("command_key", r"^(.*?::\d+::.*?)::(main|event/)", 1)
+    used = references.select(level.alias("level_key"), "resource_id", "wanted").distinct()
+    joined = used.join(catalog.select(F.col("id").alias("resource_id"), F.col("type").alias("kind")), "resource_id", "left")
+    rows = joined.groupBy("level_key", "resource_id").agg(F.coalesce(F.min("kind"), F.min("wanted")).alias("kind"), F.min(F.col("kind").isNull()).alias("placeholder"))
+    return rows.select("level_key", "resource_id", "kind", "placeholder")
+
+
+def _text(path: str, json: str = "command_json") -> Column:
+    return F.expr(f"coalesce(try_variant_get(try_parse_json({json}), '$.parameters.{path}', 'string'), try_variant_get(try_parse_json({json}), '$.{path}', 'string'))")
+
+
+def _size(path: str) -> Column:
+    """Entries of a list, null where there is none."""
+    return F.expr(f"size(try_variant_get(try_parse_json(command_json), '$.parameters.{path}', 'array<variant>'))")
 
 
 def signal_graph(commands: DataFrame, levels: DataFrame) -> DataFrame:
@@ -66,65 +98,129 @@ def signal_graph(commands: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def listeners(levels: DataFrame) -> DataFrame:
-    events = levels.select("level_key", F.explode(F.expr("try_variant_get(parse_json(level_json), '$.events', 'array<variant>')")).alias("e"))
-    triggers = events.select("level_key", F.expr("try_variant_get(e, '$.name', 'string')").alias("event"), F.explode(F.expr("try_variant_get(e, '$.triggers', 'array<variant>')")).alias("t"))
+    events = levels.select("level_key", F.explode(F.expr("try_variant_get(try_parse_json(level_json), '$.events', 'array<variant>')")).alias("e"))
+    triggers = events.select("level_key", _event_name("e").alias("event"), F.explode(F.expr("try_variant_get(e, '$.triggers', 'array<variant>')")).alias("t"))
     return triggers.where("try_variant_get(t, '$.type', 'string') = 'custom'").select("level_key", "event", F.expr("try_variant_get(t, '$.target', 'string')").alias("signal")).distinct()
 
 
-def idle_levels(commands: DataFrame) -> DataFrame:
-    """Levels to drop: a signal but no event, a condition with two empty branches, or a loop that only waits or breaks."""
-    empty = lambda f: F.expr(f"coalesce(size(try_variant_get(parse_json(command_json), '$.parameters.{f}', 'array<variant>')), 0) = 0")
-    signals = commands.groupBy("level_key").agg(F.count_if(F.col("type") == "EMIT_SIGNAL").alias("signals"), F.count_if(F.col("event").isNotNull()).alias("in_events"))
-    deaf = signals.where("signals > 0 and in_events = 0").select("level_key", F.lit("signal_without_event").alias("reason"))
+def signal_problems(commands: DataFrame, levels: DataFrame, mode: str = "complete_patch") -> DataFrame:
+    """Signals that only one side knows: errors in a complete patch, warnings where the level around it may have the other side."""
+    emits = commands.where("type = 'EMIT_SIGNAL'").select("level_key", _text("signal").alias("signal")).where("signal is not null").distinct()
+    heard = listeners(levels).select("level_key", "signal").distinct()
+    both = emits.withColumn("emitted", F.lit(True)).join(heard.withColumn("heard", F.lit(True)), ["level_key", "signal"], "full").where("emitted is null or heard is null")
+    severity = {"complete_patch": "error", "level_context": "warning"}[mode]
+    return both.select("level_key", "signal", F.when(F.col("heard").isNull(), "no_listener").otherwise("never_emitted").alias("problem"), F.lit(severity).alias("severity"))
+
+
+def reachable_events(commands: DataFrame, levels: DataFrame, save) -> DataFrame:
+    """Events that the main commands of a level set off, over any number of signals: a join a round until nothing is new.
+
+    ``save(df)`` writes a table and reads it back, so that a round does not repeat those before it.
+    """
+    emits = commands.where("type = 'EMIT_SIGNAL'").select("level_key", "event", _text("signal").alias("signal"))
+    edges = save(emits.join(listeners(levels).withColumnRenamed("event", "target"), ["level_key", "signal"]).select("level_key", "event", "target").distinct())
+    found = save(edges.where("event is null").select("level_key", F.col("target").alias("event"), F.lit(1).alias("round")))
+    front, number = found, 1
+    while not front.isEmpty():
+        number += 1
+        step = front.select("level_key", "event").join(edges, ["level_key", "event"]).select("level_key", F.col("target").alias("event")).distinct()
+        front = save(step.join(found, ["level_key", "event"], "left_anti").withColumn("round", F.lit(number)))
+        found = save(found.unionByName(front))
+    return found
+
+
+def idle_levels(commands: DataFrame, levels: DataFrame) -> DataFrame:
+    """Levels to drop: a signal in the top list but no event, a condition with two empty branches, or a loop that only waits or breaks."""
+    events = levels.select("level_key", F.expr("coalesce(size(try_variant_get(try_parse_json(level_json), '$.events', 'array<variant>')), 0)").alias("events"))
+    deaf = commands.where("type = 'EMIT_SIGNAL' and stream_key = 'main'").select("level_key").distinct().join(events.where("events = 0"), "level_key").select("level_key", F.lit("signal_without_event").alias("reason"))
+    empty = lambda f: F.coalesce(_size(f), F.lit(0)) == 0
     hollow = commands.where("type = 'IF_CONDITION'").where(empty("trueCommands") & empty("falseCommands")).select("level_key", F.lit("empty_condition").alias("reason"))
-    body = F.expr("transform(coalesce(try_variant_get(parse_json(command_json), '$.parameters.commands', 'array<variant>'), array()), c -> upper(try_variant_get(c, '$.type', 'string')))")
+    body = F.expr("transform(coalesce(try_variant_get(try_parse_json(command_json), '$.parameters.commands', 'array<variant>'), array()), c -> upper(try_variant_get(c, '$.type', 'string')))")
     loops = commands.where("type = 'LOOP'").withColumn("body", body).where(F.size("body") > 0).where(F.size(F.array_except("body", F.array(F.lit("BREAK"), F.lit("WAIT")))) == 0).select("level_key", F.lit("idle_loop").alias("reason"))
     return deaf.unionByName(hollow).unionByName(loops).distinct()
 
 
 def repaired_condition(json: Column) -> Column:
-    """Condition parameters with today's names: ``then``/``else``, ``variable``/``left`` and ``right`` are read where the new field is absent."""
-    v = F.parse_json(json)
-    first = lambda *paths: F.coalesce(*(F.try_variant_get(v, f"$.{p}", "string") for p in paths))
+    """A command's condition with today's names.
+
+    Older names are read where the new field is absent: branches ``then`` /
+    ``thenCommands`` / ``commands`` and ``else`` / ``elseCommands``, in the
+    parameters or beside them; ``variable`` or ``left`` for the key, ``right``
+    for the value.
+    """
+    v = F.try_parse_json(json)
+    first = lambda *paths: F.coalesce(*(F.try_variant_get(v, f"$.parameters.condition.{p}", "string") for p in paths))
+    branch = lambda *names: F.coalesce(*(F.to_json(F.try_variant_get(v, f"$.{at}{n}", "array<variant>")) for n in names for at in ("parameters.", "")), F.lit("[]"))
     return F.struct(
-        first("key", "variable", "left").alias("key"), F.coalesce(first("operator"), F.lit("eq")).alias("operator"), first("value", "right").alias("value"),
-        F.coalesce(F.to_json(F.try_variant_get(v, "$.trueCommands", "variant")), F.to_json(F.try_variant_get(v, "$.then", "variant")), F.lit("[]")).alias("true_commands"),
-        F.coalesce(F.to_json(F.try_variant_get(v, "$.falseCommands", "variant")), F.to_json(F.try_variant_get(v, "$.else", "variant")), F.lit("[]")).alias("false_commands"),
+        F.coalesce(first("type"), F.lit("variable")).alias("type"), first("key", "variable", "left").alias("key"), F.coalesce(first("operator"), F.lit("eq")).alias("operator"), first("value", "right").alias("value"),
+        branch("trueCommands", "thenCommands", "then", "commands").alias("true_commands"), branch("falseCommands", "elseCommands", "else").alias("false_commands"),
     )
 
 
 def compare(value: Column, operator: Column, wanted: Column) -> Column:
-    """The eight condition operators on texts; orderings hold between numbers only, ``in`` takes a comma-separated list."""
-    a, b = F.try_to_number(value, F.lit("S999999999999D999999")), F.try_to_number(wanted, F.lit("S999999999999D999999"))
-    a, b = F.coalesce(a.cast("double"), value.try_cast("double")), F.coalesce(b.cast("double"), wanted.try_cast("double"))
+    """The eight condition operators on JSON texts, without conversions: ``1`` and ``"1"`` differ.
+
+    Orderings hold between numbers, or between strings; ``in`` asks a list;
+    ``contains`` compares as text.  Anything else is false, an unknown operator null.
+    """
+    a, b = F.try_parse_json(value), F.try_parse_json(wanted)
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get(v, "$", "double"))
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    plain = lambda v: F.try_variant_get(v, "$", "string")
+    kind = lambda v: F.when(number(v).isNotNull(), "number").otherwise(F.schema_of_variant(v))
+    same = (kind(a) == kind(b)) & F.when(number(a).isNotNull(), number(a) == number(b)).otherwise(plain(a).eqNullSafe(plain(b)))
+    ordered = lambda f: F.coalesce(f(number(a), number(b)), f(string(a), string(b)), F.lit(False))
+    inside = F.exists(F.try_variant_get(b, "$", "array<variant>"), lambda x: (kind(x) == kind(a)) & F.when(number(a).isNotNull(), number(x) == number(a)).otherwise(plain(x).eqNullSafe(plain(a))))
+    held = F.contains(F.coalesce(plain(a), value), F.coalesce(plain(b), wanted))
+    no = lambda c: F.coalesce(c, F.lit(False))
     return (
-        F.when(operator == "eq", value == wanted).when(operator == "ne", value != wanted).when(operator == "gt", a > b).when(operator == "lt", a < b)
-        .when(operator == "gte", a >= b).when(operator == "lte", a <= b).when(operator == "in", F.array_contains(F.transform(F.split(wanted, ","), lambda x: F.trim(x)), value))
-        .when(operator == "contains", F.contains(value, wanted))
+        F.when(operator == "eq", no(same)).when(operator == "ne", ~no(same)).when(operator == "gt", ordered(lambda x, y: x > y)).when(operator == "lt", ordered(lambda x, y: x < y))
+        .when(operator == "gte", ordered(lambda x, y: x >= y)).when(operator == "lte", ordered(lambda x, y: x <= y)).when(operator == "in", no(inside)).when(operator == "contains", no(held))
     )
 
 
 def command_errors(commands: DataFrame) -> DataFrame:
-    """Every broken rule of every command: its type, its id, its condition, its loop."""
+    """Every broken rule of every command: its type, id and required parameters, its condition, its loop."""
     ids = F.count("*").over(Window.partitionBy("level_key", "id_"))
-    rows = commands.withColumn("id_", F.expr("try_variant_get(parse_json(command_json), '$.id', 'string')")).withColumn("same_", ids)
-    a_list = lambda f: F.expr(f"try_variant_get(parse_json(command_json), '$.parameters.{f}', 'array<variant>') is not null")
-    is_if, is_loop = F.col("type") == "IF_CONDITION", F.col("type") == "LOOP"
+    rows = commands.withColumn("v_", F.try_parse_json("command_json")).withColumn("id_", F.expr("try_variant_get(v_, '$.id', 'string')")).withColumn("same_", ids)
+    at = lambda p, kind="string": F.expr(f"try_variant_get(v_, '$.parameters.{p}', '{kind}')")
+    is_if, is_loop, condition = F.col("type") == "IF_CONDITION", F.col("type") == "LOOP", at("condition.type")
+    variable = is_if & (condition == "variable")
+    missing = lambda p: at(p, "variant").isNull() | F.coalesce(at(p) == "", F.lit(False))
     problems = {
-        "no_type": F.col("type") == "", "no_id": F.col("id_").isNull(), "id_twice": F.col("id_").isNotNull() & (F.col("same_") > 1),
-        "branches_not_lists": is_if & ~(a_list("trueCommands") & a_list("falseCommands")), "no_condition_key": is_if & _text("key").isNull(),
-        "unknown_operator": is_if & ~F.coalesce(_text("operator"), F.lit("eq")).isin(*OPERATORS), "loop_without_body": is_loop & ~a_list("commands"),
+        "no_type": F.col("type") == "", "no_id": F.trim(F.coalesce("id_", F.lit(""))) == "", "id_twice": F.col("id_").isNotNull() & (F.col("same_") > 1),
+        "branches_not_lists": is_if & (at("trueCommands", "array<variant>").isNull() | at("falseCommands", "array<variant>").isNull()),
+        "old_branch_names": is_if & F.coalesce(*(at(p, "variant") for p in ("then", "else", "thenCommands", "elseCommands"))).isNotNull(),
+        "condition_type": is_if & ~F.coalesce(condition.isin("variable", "expression"), F.lit(False)),
+        "condition_incomplete": variable & (missing("condition.key") | missing("condition.operator") | missing("condition.value")),
+        "condition_old_names": variable & F.coalesce(*(at(f"condition.{p}", "variant") for p in ("variable", "left", "right"))).isNotNull(),
+        "condition_operator": variable & at("condition.operator").isNotNull() & ~at("condition.operator").isin(*OPERATORS),
+        "empty_expression": is_if & (condition == "expression") & (F.trim(F.coalesce(at("condition.expression"), F.lit(""))) == ""),
+        "empty_loop": is_loop & (F.coalesce(F.size(at("commands", "array<variant>")), F.lit(0)) == 0),
     }
-    errors = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in problems.items())))
+    needed = [F.when((F.col("type") == kind) & missing(p), F.lit(f"missing:{p}")) for kind, ps in REQUIRED.items() for p in ps]
+    errors = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in problems.items()), *needed))
     return rows.withColumn("errors", errors).where(F.size("errors") > 0).select("command_key", "level_key", "type", "errors")
 
 
+def missing_elements(commands: DataFrame) -> DataFrame:
+    """Commands that use an element which no command of their level makes."""
+    made = commands.where(F.col("type").isin(*CREATORS)).select("level_key", _text("elementId").alias("element")).distinct()
+    used = commands.where(F.col("type").isin(*DEPENDENTS)).select("level_key", "command_key", _text("elementId").alias("element"))
+    return used.join(made, ["level_key", "element"], "left_anti").select("command_key", "element")
+
+
 def unbounded_loops(commands: DataFrame) -> DataFrame:
-    """While loops whose condition key no command below them writes; what is below shares the loop's path as a prefix."""
-    loops = commands.where("type = 'LOOP'").select("level_key", "command_key", F.concat_ws("/", "stream_key", F.col("ordinal").cast("string"), F.lit("")).alias("prefix"), _text("conditionKey").alias("key")).where("key is not null")
-    writes = commands.where("type = 'SET_VARIABLE'").select("level_key", F.col("stream_key").alias("at"), _text("key").alias("key")).distinct()
-    met = loops.join(writes, ["level_key", "key"]).where(F.startswith("at", "prefix")).select("command_key").distinct()
-    return loops.join(met, "command_key", "left_anti").select("command_key", "key")
+    """Loops without an end: no condition, or one on a variable that no command below them writes.
+
+    What is below a loop shares its path as a prefix; an expression counts as an end.
+    """
+    loops = commands.where("type = 'LOOP'").select("level_key", "command_key", F.concat_ws("/", "stream_key", F.col("ordinal").cast("string"), F.lit("commands")).alias("prefix"), F.coalesce(_text("condition.type"), F.lit("")).alias("kind"), _text("condition.key").alias("key"), _text("condition.expression").alias("expression"))
+    bad = loops.where("kind <> 'variable' and not (kind = 'expression' and trim(coalesce(expression, '')) <> '') or kind = 'variable' and key is null")
+    asked = loops.where("kind = 'variable' and key is not null")
+    writes = commands.where("type = 'SET_VARIABLE'").where(_text("op").isin("add", "sub", "mul", "div", "set")).select("level_key", F.col("stream_key").alias("at"), _text("key").alias("key")).distinct()
+    met = asked.join(writes, ["level_key", "key"]).where((F.col("at") == F.col("prefix")) | F.startswith("at", F.concat("prefix", F.lit("/")))).select("command_key").distinct()
+    return asked.join(met, "command_key", "left_anti").unionByName(bad).select("command_key", "key")
 
 
 def readable(commands: DataFrame) -> DataFrame:
@@ -135,12 +231,32 @@ def readable(commands: DataFrame) -> DataFrame:
     return rows.select("level_key", F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("text"))
 
 
-def with_modifiers(commands: DataFrame, modifiers: DataFrame) -> DataFrame:
-    """Commands with those that modifiers place before them: ``modifiers`` has ``type``, ``place`` and ``insert`` (a type)."""
-    before = commands.join(F.broadcast(modifiers.select("type", "place", "insert")), "type").select("level_key", "stream_key", "ordinal", F.col("place").cast("int").alias("place"), F.col("insert").alias("type"), F.lit(True).alias("inserted"))
-    own = commands.select("level_key", "stream_key", "ordinal", F.lit(1 << 30).alias("place"), "type", F.lit(False).alias("inserted"))
+def with_modifiers(commands: DataFrame, modifiers: list[dict]) -> DataFrame:
+    """Commands with those that modifiers place before them; what is inserted is not modified again.
+
+    ``modifiers``: ``type`` (of the commands to find, aliases folded), ``insert``
+    (the types to place before each, in order), and ``filter``, a map of paths
+    and values that must all be equal: dotted paths from the command, plain ones
+    from its parameters.  They are configuration, so they become one expression.
+    """
+    v = F.try_parse_json("command_json")
+
+    def equal(path: str, wanted) -> Column:
+        found = F.try_variant_get(v, f"$.{path}" if "." in path else f"$.parameters.{path}", "variant")
+        return compare(F.coalesce(F.to_json(found), F.lit("")), F.lit("eq"), F.lit(json.dumps(wanted)))
+
+    cases = []
+    for m in modifiers:
+        fits = folded_name(F.lit(m["type"])) == F.col("type")
+        for path, wanted in (m.get("filter") or {}).items():
+            if path.strip():
+                fits = fits & equal(path.strip(), wanted)
+        cases.append(F.when(fits, F.array(*(F.lit(t) for t in m["insert"]))).otherwise(F.array().cast("array<string>")))
+    before = F.concat(*cases) if cases else F.array().cast("array<string>")
+    new = F.concat(F.transform(before, lambda t: F.struct(t.alias("type"), F.lit(True).alias("inserted"))), F.array(F.struct("type", F.lit(False).alias("inserted"))))
+    rows = commands.select("level_key", "stream_key", "ordinal", F.posexplode(new).alias("place", "c"))
     order = Window.partitionBy("level_key", "stream_key").orderBy("ordinal", "place")
-    return own.unionByName(before).withColumn("new_ordinal", F.row_number().over(order) - 1).drop("place")
+    return rows.select("level_key", "stream_key", "ordinal", "c.type", "c.inserted", (F.row_number().over(order) - 1).alias("new_ordinal"))
 
 
 def variable_types(writes: DataFrame) -> DataFrame:

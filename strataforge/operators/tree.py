@@ -1,65 +1,269 @@
-"""Nested command trees as relations, on VARIANT columns."""
+"""Nested trees in JSON columns as relations, and back.
+
+A walk over one document needs no other document, so each operator here is a
+single pass without a shuffle: Arrow batches go through plain Python that holds
+one document at a time, to any depth.  Documents that are no JSON give no rows;
+:func:`broken` lists them.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fields of a command that hold commands.  Fixed values.
 NESTED = ("commands", "trueCommands", "falseCommands", "onSelectedCommands", "onCancelSelectedCommands")
+_COLUMNS = "stream_key string, ordinal int, type string, depth int, command_json string"
+
+
+def _parsed(text: str | None):
+    try:
+        return None if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _text(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def lists_of(command: dict):
+    """``(field, list)`` of the lists of commands inside a command; fields of ``parameters`` hide those beside it."""
+    inner = command.get("parameters")
+    inner = inner if isinstance(inner, dict) else {}
+    for field in NESTED:
+        found = inner.get(field) if isinstance(inner.get(field), list) else command.get(field)
+        if isinstance(found, list):
+            yield field, found
+    options = inner.get("options")
+    for i, option in enumerate(options if isinstance(options, list) else []):
+        if isinstance(option, dict) and isinstance(option.get("commands"), list):
+            yield f"options/{i}", option["commands"]
+
+
+def walk(commands):
+    """``(stream_key, ordinal, depth, command)`` in pre-order; entries that are no objects count but are left out."""
+    stack = [("main", commands, 0, 0)]
+    while stack:
+        stream, items, at, depth = stack.pop()
+        if at >= len(items):
+            continue
+        stack.append((stream, items, at + 1, depth))
+        command = items[at]
+        if isinstance(command, dict):
+            yield stream, at, depth, command
+            stack += [(f"{stream}/{at}/{field}", inner, 0, depth + 1) for field, inner in reversed(list(lists_of(command)))]
+
+
+def _type(command: dict) -> str:
+    kind = command.get("type")
+    return "" if kind is None else (kind if isinstance(kind, str) else _text(kind)).upper()
+
+
+def _per_row(names: list[str], of, schema: pa.Schema):
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for row in of(t):
+                    out.append((k, *row))
+                if len(out) >= 20_000:
+                    yield _batch(out, names, batch.schema.field(0).type, schema)
+                    out = []
+            yield _batch(out, names, batch.schema.field(0).type, schema)
+
+    return run
+
 
+def _batch(rows: list[tuple], names: list[str], kind: pa.DataType, schema: pa.Schema) -> pa.RecordBatch:
+    kinds = [kind, *schema.types]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-def index_commands(trees: DataFrame, key: str, tree: str, most_depth: int = 50) -> DataFrame:
-    """One row per command of JSON trees: stream, ordinal, type, depth, path and JSON text.
 
-    A level of all trees is one step, so the number of steps is the depth of the
-    deepest tree, whatever their number.  ``stream_key`` is ``main`` for the top
-    list and ``parent/ordinal/field`` below; ordinals count list entries from 0.
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
+
+
+def _expanded(df: DataFrame, key: str, text: str, of, columns: str, key_as: str) -> DataFrame:
+    """The rows that ``of`` makes of each text, beside the row's key."""
+    fields = [c.split() for c in columns.split(", ")]
+    schema = pa.schema([(n, _ARROW[t]) for n, t in fields])
+    rows = df.select(F.col(key).alias(key_as), F.col(text).cast("string").alias("text_"))
+    return rows.mapInArrow(_per_row([key_as, *(n for n, _ in fields)], of, schema), f"`{key_as}` {rows.schema[0].dataType.simpleString()}, {columns}")
+
+
+def broken(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Keys of texts that are no JSON, with the reason."""
+    return df.where(F.col(text).isNotNull() & F.try_parse_json(text).isNull()).select(key, F.lit("not JSON").alias("error"))
+
+
+def index_commands(trees: DataFrame, key: str, tree: str) -> DataFrame:
+    """One row per command of JSON trees: stream, ordinal, type, depth and JSON text.
+
+    ``stream_key`` is ``main`` for the top list and ``parent/ordinal/field``
+    below; ordinals count list entries from 0.  A tree without a list of
+    ``commands`` has no rows.
     """
-    level = trees.select(F.col(key).alias("tree_key"), F.lit("main").alias("stream_key"), F.expr(f"variant_get(parse_json({tree}), '$.commands', 'array<variant>')").alias("list"))
-    found: list[DataFrame] = []
-    for depth in range(most_depth):
-        rows = level.select("tree_key", "stream_key", F.posexplode("list").alias("ordinal", "command"))
-        rows = rows.where(F.expr("startswith(schema_of_variant(command), 'OBJECT')"))
-        found.append(rows.select("tree_key", "stream_key", "ordinal", F.expr("upper(coalesce(try_variant_get(command, '$.type', 'string'), ''))").alias("type"), F.lit(depth).alias("depth"), F.expr("to_json(command)").alias("command_json")))
-        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.expr(f"coalesce(try_variant_get(command, '$.parameters.{f}', 'array<variant>'), try_variant_get(command, '$.{f}', 'array<variant>'))").alias("list")) for f in NESTED))
-        options = F.expr("transform(coalesce(try_variant_get(command, '$.parameters.options', 'array<variant>'), array()), (o, i) -> struct(concat('options/', i) as field, try_variant_get(o, '$.commands', 'array<variant>') as list))")
-        below = rows.select("tree_key", "stream_key", "ordinal", F.explode(F.concat(fields, options)).alias("b")).where("b.list is not null")
-        level = below.select("tree_key", F.concat_ws("/", "stream_key", F.col("ordinal").cast("string"), "b.field").alias("stream_key"), F.col("b.list").alias("list"))
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
-
-
-def leaves(df: DataFrame, key: str, json: str, most_depth: int = 50) -> DataFrame:
+
+    def of(text):
+        doc = _parsed(text)
+        top = doc.get("commands") if isinstance(doc, dict) else None
+        for stream, at, depth, command in walk(top if isinstance(top, list) else []):
+            yield stream, at, _type(command), depth, _text(command)
+
+    return _expanded(trees, key, tree, of, _COLUMNS, "tree_key")
+
+
+def leaves(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, path, value)``: every scalar leaf of JSON texts with its path."""
-    level = df.select(F.col(key), F.lit("$").alias("path"), F.expr(f"try_parse_json({json})").alias("v")).where("v is not null")
-    found: list[DataFrame] = []
-    for _ in range(most_depth):
-        kind = F.expr("schema_of_variant(v)")
-        scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        found.append(level.where(scalar).select(key, "path", F.expr("try_variant_get(v, '$', 'string')").alias("value")))
-        inner = level.where(~scalar)
-        inside = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        step = F.when(F.col("key_").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key_")))
-        level = inside.toDF(key, "path", "v", "pos", "key_", "value").select(key, F.concat("path", step).alias("path"), F.col("value").alias("v"))
-        if level.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found)
-
-
-def script_lines(df: DataFrame, key: str, text: str, indent: int = 4, most_depth: int = 16) -> DataFrame:
+
+    def of(source):
+        doc = _parsed(source)
+        stack = [] if doc is None else [("$", doc)]
+        while stack:
+            path, value = stack.pop()
+            if isinstance(value, dict):
+                stack += [(f"{path}.{k}", v) for k, v in reversed(value.items())]
+            elif isinstance(value, list):
+                stack += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+            else:
+                yield path, value if value is None or isinstance(value, str) else _text(value)
+
+    return _expanded(df, key, text, of, "path string, value string", key)
+
+
+def rewritten(df: DataFrame, key: str, tree: str, change) -> DataFrame:
+    """``(tree_key, tree, changes)``: trees whose lists of commands went through ``change``, innermost first.
+
+    ``change(command)`` returns the commands that take its place and the number
+    of changes; it may edit the command, which is a copy of the row's own.
+    """
+
+    def edit(items: list) -> int:
+        total, out = 0, []
+        for command in items:
+            if not isinstance(command, dict):
+                out.append(command)
+                continue
+            total += sum(edit(inner) for _, inner in lists_of(command))
+            new, n = change(command)
+            out += new
+            total += n
+        items[:] = out
+        return total
+
+    def of(text):
+        doc = _parsed(text)
+        if isinstance(doc, dict):
+            lists = [doc.get("commands"), *(e.get("commands") for e in doc.get("events") or [] if isinstance(e, dict))]
+            total = sum(edit(x) for x in lists if isinstance(x, list))
+            yield _text(doc), total
+
+    return _expanded(df, key, tree, of, "tree string, changes int", "tree_key")
+
+
+def without_types(types: set[str]):
+    """A change that drops commands of ``types``, and conditions that have nothing left; a condition with only a false branch waits for nothing in its true one."""
+
+    def change(command: dict):
+        kind = _type(command)
+        if kind in types:
+            return [], 1
+        if kind == "IF_CONDITION":
+            inner = command.setdefault("parameters", {})
+            if not inner.get("trueCommands") and not inner.get("falseCommands"):
+                return [], 1
+            if not inner.get("trueCommands"):
+                inner["trueCommands"] = [{"id": f"{command.get('id', 'if')}_noop", "type": "WAIT", "parameters": {"duration": 0}}]
+        return [command], 0
+
+    return change
+
+
+def with_new_ids(fields: tuple[str, ...], mapping: dict[str, str]):
+    """A change that renames the resources which ``fields`` of the parameters, at any depth but in nested commands, name."""
+
+    def rename(value) -> int:
+        total = 0
+        if isinstance(value, dict):
+            for k, v in value.items():
+                if k in fields and isinstance(v, str) and v in mapping:
+                    value[k] = mapping[v]
+                    total += 1
+                elif k not in NESTED and k != "options":
+                    total += rename(v)
+        elif isinstance(value, list):
+            total += sum(map(rename, value))
+        return total
+
+    return lambda command: ([command], rename(command.get("parameters")))
+
+
+def rebuilt(commands: DataFrame, key: str = "tree_key") -> DataFrame:
+    """``(key, tree)``: the JSON tree of each group of :func:`index_commands` rows, entries in the order of their ordinals.
+
+    A tree is one document, so its rows meet in one place; what the rows changed
+    in ``command_json`` beside nested lists is kept, as are rows that are gone.
+    """
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (r["depth"], r["stream_key"], r["ordinal"]))
+        lists: dict[str, list] = {"main": []}
+        for r in rows:
+            command = json.loads(r["command_json"])
+            for field, inner in lists_of(command):
+                lists[f"{r['stream_key']}/{r['ordinal']}/{field}"] = inner
+                inner.clear()
+            if r["stream_key"] in lists:
+                lists[r["stream_key"]].append(command)
+        return pa.table({key: group.column(key).slice(0, 1), "tree": pa.array([_text({"commands": lists["main"]})])})
+
+    kind = commands.schema[key].dataType.simpleString()
+    return commands.select(key, "stream_key", "ordinal", "depth", "command_json").groupBy(key).applyInArrow(build, f"`{key}` {kind}, tree string")
+
+
+def memory_estimates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, bytes)`` of JSON values: two for a character of keys and strings, eight for a number, one for a truth value."""
+
+    def of(source):
+        total, stack = 0, [_parsed(source)]
+        while stack:
+            v = stack.pop()
+            if isinstance(v, bool):
+                total += 1
+            elif isinstance(v, (int, float)):
+                total += 8
+            elif isinstance(v, str):
+                total += 2 * len(v)
+            elif isinstance(v, list):
+                stack += v
+            elif isinstance(v, dict):
+                total += 2 * sum(map(len, v))
+                stack += v.values()
+        yield (total,)
+
+    return _expanded(df, key, text, of, "bytes long", key)
+
+
+def script_lines(df: DataFrame, key: str, text: str, indent: int = 4) -> DataFrame:
     """Lines of an indented script as rows: place, depth, head word, rest, and the line they stand under.
 
-    The parent is the last earlier line that is one step less indented.
+    The parent is the last earlier line that is one step less indented, with no
+    line of less depth in between; a line that skips a step has none.
     """
-    from pyspark.sql import Window
-
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw")).where("trim(raw) <> ''")
-    lines = lines.withColumn("depth", (F.length(F.regexp_extract("raw", "^( *)", 1)) / indent).cast("int")).withColumn("head", F.upper(F.regexp_extract("raw", r"^\s*(\S+)", 1))).withColumn("rest", F.trim(F.regexp_replace("raw", r"^\s*\S+", "")))
-    ahead = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.array(*(F.last(F.when(F.col("depth") == d, F.col("line")), ignorenulls=True).over(ahead) for d in range(most_depth)))
-    parent = F.when((F.col("depth") > 0) & (F.col("depth") <= most_depth), F.get(above, F.col("depth") - 1))
-    return lines.select(key, "line", "depth", "head", "rest", parent.alias("parent"))
+
+    def of(source):
+        above: list[int] = []
+        for n, raw in enumerate((source or "").split("\n")):
+            if not raw.strip(" "):
+                continue
+            depth = (len(raw) - len(raw.lstrip(" "))) // indent
+            head = re.match(r"\s*(\S*)\s*(.*)", raw, re.S)
+            parent = above[depth - 1] if 0 < depth <= len(above) else None
+            above[depth:] = [n] if depth <= len(above) else []
+            yield n, depth, head[1].upper(), head[2].strip(" "), parent
+
+    return _expanded(df, key, text, of, "line int, depth int, head string, rest string, parent int", key)

@@ -6,18 +6,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataforge.operators import commands as c
+from strataforge.operators import tree
 
 SCENE = {
     "levels": [
         {"id": "L1", "name": "one", "resources": ["b", "a"], "commands": [
-            {"id": "1", "type": "show-image", "parameters": {"imageId": "a"}},
-            {"id": "2", "type": "IF_CONDITION", "parameters": {"key": "x", "operator": "eq", "value": 1, "trueCommands": [{"id": "3", "type": "EMIT_SIGNAL", "parameters": {"signal": "go"}}], "falseCommands": []}},
-            {"id": "4", "type": "LOOP", "parameters": {"conditionKey": "n", "commands": [{"id": "5", "type": "SET_VARIABLE", "parameters": {"key": "n"}}]}},
-            {"id": "6", "type": "LOOP", "parameters": {"conditionKey": "m", "commands": [{"id": "7", "type": "WAIT"}]}},
-        ], "events": [{"name": "e1", "triggers": [{"type": "custom", "target": "go"}], "commands": [{"id": "8", "type": "PLAY", "parameters": {"mediaId": "zz"}}]}]},
+            {"id": "1", "type": "show-image", "parameters": {"elementId": "box", "resourceId": "a"}},
+            {"id": "2", "type": "IF_CONDITION", "parameters": {"condition": {"type": "variable", "key": "x", "operator": "eq", "value": 1}, "trueCommands": [{"id": "3", "type": "EMIT_SIGNAL", "parameters": {"signal": "go"}}], "falseCommands": []}},
+            {"id": "4", "type": "LOOP", "parameters": {"condition": {"type": "variable", "key": "n"}, "commands": [{"id": "5", "type": "SET_VARIABLE", "parameters": {"key": "n", "op": "add", "value": 1}}]}},
+            {"id": "6", "type": "LOOP", "parameters": {"condition": {"type": "variable", "key": "m"}, "commands": [{"id": "7", "type": "WAIT", "parameters": {"duration": 1}}]}},
+            {"id": "m1", "type": "MOVE_TO", "parameters": {"elementId": "ghost", "x": 1, "y": 2}},
+        ], "events": [{"id": "e1", "name": "first", "triggers": [{"type": "custom", "target": "go"}], "commands": [{"id": "8", "type": "BGM_PLAY", "parameters": {"musicId": "zz"}}, {"id": "e", "type": "EMIT_SIGNAL", "parameters": {"signal": "on"}}]},
+                      {"id": "e2", "name": "second", "triggers": [{"type": "custom", "target": "on"}], "commands": [{"id": "p", "type": "PLAY", "parameters": {"mediaId": "v"}}]}]},
         {"id": "L2", "name": "two", "commands": [
             {"id": "9", "type": "EMIT_SIGNAL", "parameters": {"signal": "nobody"}},
-            {"id": "9", "type": "IF_CONDITION", "parameters": {"trueCommands": [], "falseCommands": []}},
+            {"id": "9", "type": "IF_CONDITION", "parameters": {"condition": {"type": "variable", "left": "x", "operator": "eq", "right": 1}, "trueCommands": [], "falseCommands": []}},
+            {"type": "IF_CONDITION", "parameters": {"condition": {"type": "expression", "expression": " "}, "then": []}},
+            {"id": "w", "type": "WAIT", "parameters": {}},
         ]},
     ]
 }
@@ -38,42 +43,84 @@ def test_levels_and_commands(levels, table):
     got = {(r.command_key, r.type, r.context) for r in table.collect()}
     assert ("s.json::0::L1::main::0", "SHOW_IMAGE", "main") in got
     assert ("s.json::0::L1::main/1/trueCommands::0", "EMIT_SIGNAL", "nested") in got
-    assert ("s.json::0::L1::event/e1::0", "PLAY", "event") in got
-    assert len(got) == 10
+    assert ("s.json::0::L1::event/e1::0", "BGM_PLAY", "event") in got
+    assert len(got) == 15
 
 
 def test_references(spark, table):
-    catalog = spark.createDataFrame([("a", "audio")], "id string, type string")
+    catalog = spark.createDataFrame([("a", "audio"), ("v", "video")], "id string, type string")
     refs = c.resource_references(table)
-    assert {(r.resource_id, r.wanted) for r in refs.collect()} == {("a", "image"), ("zz", "media")}
+    assert {(r.resource_id, r.wanted) for r in refs.collect()} == {("a", "image"), ("zz", "audio"), ("v", "media")}
     assert {(r.resource_id, r.problem) for r in c.reference_problems(refs, catalog).collect()} == {("a", "wrong_kind"), ("zz", "unresolved")}
+    assert {(r.level_key, r.resource_id, r.kind, r.placeholder) for r in c.level_resources(refs, catalog).collect()} == {("s.json::0::L1", "a", "audio", False), ("s.json::0::L1", "zz", "audio", True), ("s.json::0::L1", "v", "video", False)}
 
 
 def test_signals_and_filters(levels, table):
-    assert [(r.signal, r.event) for r in c.signal_graph(table, levels).collect()] == [("go", "e1")]
-    assert {(r.level_key[-2:], r.reason) for r in c.idle_levels(table).collect()} == {("L2", "signal_without_event"), ("L2", "empty_condition"), ("L1", "idle_loop")}
+    assert {(r.signal, r.event) for r in c.signal_graph(table, levels).collect()} == {("go", "e1"), ("on", "e2")}
+    assert [(r.signal, r.problem, r.severity) for r in c.signal_problems(table, levels, "level_context").collect()] == [("nobody", "no_listener", "warning")]
+    assert {(r.event, r.round) for r in c.reachable_events(table, levels, lambda df: df.cache()).collect()} == {("e1", 1), ("e2", 2)}
+    assert {(r.level_key[-2:], r.reason) for r in c.idle_levels(table, levels).collect()} == {("L2", "signal_without_event"), ("L2", "empty_condition"), ("L1", "idle_loop")}
 
 
 def test_contract(table):
-    assert {(r.command_key[-6:], tuple(r.errors)) for r in c.command_errors(table).collect()} == {("main::0"[-6:], ("id_twice",)), ("main::1"[-6:], ("id_twice", "no_condition_key"))}
+    assert {(r.command_key.split("::", 2)[2], tuple(r.errors)) for r in c.command_errors(table).collect()} == {
+        ("L2::main::0", ("id_twice",)), ("L2::main::1", ("id_twice", "condition_incomplete", "condition_old_names")),
+        ("L2::main::2", ("no_id", "branches_not_lists", "old_branch_names", "empty_expression", "missing:trueCommands", "missing:falseCommands")), ("L2::main::3", ("missing:duration",)),
+    }
     assert [r.key for r in c.unbounded_loops(table).collect()] == ["m"]
+    assert [r.element for r in c.missing_elements(table).collect()] == ["ghost"]
 
 
-def test_readable_and_modifiers(spark, table):
-    text = {r.level_key[-2:]: r.text for r in c.readable(table).collect()}
-    assert text["L2"] == "EMIT_SIGNAL\nIF_CONDITION"
-    mods = spark.createDataFrame([("LOOP", 0, "LOG"), ("LOOP", 1, "WAIT")], "type string, place int, insert string")
+def test_readable_and_modifiers(table):
+    text = {r.level_key[-2:]: r.text for r in c.readable(table.where("event is null")).collect()}
+    assert text["L2"] == "EMIT_SIGNAL\nIF_CONDITION\nIF_CONDITION\nWAIT"
+    assert text["L1"].startswith("SHOW_IMAGE\nIF_CONDITION\n  EMIT_SIGNAL\nLOOP\n  SET_VARIABLE\n")
+    mods = [{"type": "loop", "insert": ["LOG", "WAIT"]}, {"type": "LOOP", "insert": ["STOP"], "filter": {"parameters.condition.key": "m"}}, {"type": "move to", "insert": ["LOG"], "filter": {"x": 1, "y": "2"}}]
     rows = c.with_modifiers(table.where("level_key like '%L1' and stream_key = 'main'"), mods).orderBy("new_ordinal").collect()
-    assert [r.type for r in rows] == ["SHOW_IMAGE", "IF_CONDITION", "LOG", "WAIT", "LOOP", "LOG", "WAIT", "LOOP"]
+    assert [r.type for r in rows] == ["SHOW_IMAGE", "IF_CONDITION", "LOG", "WAIT", "LOOP", "LOG", "WAIT", "STOP", "LOOP", "MOVE_TO"]
 
 
 def test_conditions(spark):
-    cases = [("5", "gt", "10", False), ("5", "lt", "10", True), ("a", "in", "b, a", True), ("abc", "contains", "bc", True), ("1", "eq", "1.0", False), ("x", "gt", "1", None), ("2", "gte", "2", True), ("a", "ne", "b", True)]
+    cases = [("5", "gt", "10", False), ("5", "lt", "10", True), ('"a"', "in", '["b", "a"]', True), ('"1"', "in", "[1]", False), ('"abc"', "contains", '"bc"', True), ("1", "eq", "1.0", True), ("1", "eq", '"1"', False), ("1", "ne", '"1"', True), ('"x"', "gt", "1", False), ("2", "gte", "2", True), ("true", "eq", "true", True), ('"b"', "gt", '"a"', True), ("1", "like", "1", None)]
     df = spark.createDataFrame(cases, "v string, op string, w string, want boolean")
     for r in df.withColumn("got", c.compare(F.col("v"), F.col("op"), F.col("w"))).collect():
         assert r.got == r.want, r
-    old = spark.createDataFrame([('{"variable": "x", "right": 3, "then": [1]}',)], "j string").select(c.repaired_condition(F.col("j")).alias("c")).first().c
-    assert (old.key, old.operator, old.value, old.true_commands, old.false_commands) == ("x", "eq", "3", "[1]", "[]")
+    old = ['{"parameters": {"condition": {"variable": "x", "right": 3}, "then": [1], "elseCommands": [2]}}', '{"parameters": {"condition": {"type": "variable", "key": "k", "left": "z", "value": 0}}, "thenCommands": [4]}', "no json"]
+    got = [tuple(r.c) for r in spark.createDataFrame([(x,) for x in old], "j string").select(c.repaired_condition(F.col("j")).alias("c")).collect()]
+    assert got == [("variable", "x", "eq", "3", "[1]", "[2]"), ("variable", "k", "eq", "0", "[4]", "[]"), ("variable", None, "eq", None, "[]", "[]")]
+
+
+def test_trees_of_any_depth_and_broken_ones(spark):
+    deep = {"id": "0", "type": "LOOP", "parameters": {"commands": []}}
+    for i in range(1, 130):
+        deep = {"id": str(i), "type": "loop", "parameters": {"commands": [deep, 7]}}
+    rows = [("deep", json.dumps({"commands": [deep]})), ("broken", "{"), ("none", None), ("odd", '{"commands": 5}'), ("list", "[1]"), ("option", '{"commands": [{"type": 3, "parameters": {"options": [{"commands": [{"type": "a"}]}]}}, 1, null]}')]
+    df = spark.createDataFrame(rows, "k string, t string")
+    got = tree.index_commands(df, "k", "t").groupBy("tree_key").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()
+    assert {(r.tree_key, r.n, r.d) for r in got} == {("deep", 130, 129), ("option", 2, 1)}
+    assert [tuple(r) for r in tree.broken(df, "k", "t").collect()] == [("broken", "not JSON")]
+    assert {r.stream_key for r in tree.index_commands(df.where("k = 'option'"), "k", "t").collect()} == {"main", "main/0/options/0"}
+    assert tree.leaves(df.where("k = 'deep'"), "k", "t").count() == 130 * 2 + 129
+    back = tree.rebuilt(tree.index_commands(df.where("k in ('deep', 'option')"), "k", "t")).collect()
+    want = {"deep": json.loads(rows[0][1]), "option": json.loads(rows[5][1])}
+
+    def objects(x):
+        return {k: objects(v) for k, v in x.items()} if isinstance(x, dict) else [objects(v) for v in x if isinstance(v, dict)] if isinstance(x, list) else x
+
+    assert {r.tree_key: json.loads(r.tree) for r in back} == {k: objects(v) for k, v in want.items()}
+
+
+def test_rewritten_trees(spark):
+    doc = {"commands": [{"id": "a", "type": "SE_PLAY"}, {"id": "i", "type": "IF_CONDITION", "parameters": {"trueCommands": [{"type": "SE_PLAY"}], "falseCommands": [{"type": "WAIT"}]}}, {"id": "j", "type": "IF_CONDITION", "parameters": {"trueCommands": [{"type": "SE_PLAY"}]}}], "events": [{"commands": [{"type": "SE_PLAY"}]}]}
+    df = spark.createDataFrame([("x", json.dumps(doc)), ("y", "{")], "k string, t string")
+    (row,) = tree.rewritten(df, "k", "t", tree.without_types({"SE_PLAY"})).collect()
+    assert row.changes == 5
+    assert json.loads(row.tree) == {"commands": [{"id": "i", "type": "IF_CONDITION", "parameters": {"trueCommands": [{"id": "i_noop", "type": "WAIT", "parameters": {"duration": 0}}], "falseCommands": [{"type": "WAIT"}]}}], "events": [{"commands": []}]}
+    named = {"commands": [{"type": "SHOW_IMAGE", "parameters": {"resourceId": "a", "ui": {"skinId": "b"}, "commands": [{"type": "SE_PLAY", "parameters": {"soundId": "a"}}], "text": "a"}}]}
+    (row,) = tree.rewritten(spark.createDataFrame([("x", json.dumps(named))], "k string, t string"), "k", "t", tree.with_new_ids(("resourceId", "skinId", "soundId"), {"a": "A", "b": "B"})).collect()
+    assert row.changes == 3 and '"text":"a"' in row.tree and row.tree.count('"A"') == 2
+    sizes = spark.createDataFrame([("x", '{"ab": [1, true, "cd", null]}'), ("y", None)], "k string, t string")
+    assert {tuple(r) for r in tree.memory_estimates(sizes, "k", "t").collect()} == {("x", 4 + 8 + 1 + 4), ("y", 0)}
 
 
 def test_variable_types(spark):
