@@ -202,6 +202,35 @@ def with_new_ids(fields: tuple[str, ...], mapping: dict[str, str]):
     return lambda command: ([command], rename(command.get("parameters")))
 
 
+def with_path(df: DataFrame, key: str, text: str, path: str, value) -> DataFrame:
+    """``(key, json)`` with the value at a dotted path set; parents that are missing, or no objects, are made.  With ``value`` None it is taken out, and parents that this empties go, too."""
+    parts = path.split(".")
+
+    def of(source):
+        doc = _parsed(source)
+        if not isinstance(doc, dict):
+            return
+        trail = [doc]
+        for part in parts[:-1]:
+            child = trail[-1].get(part)
+            if not isinstance(child, dict):
+                if value is None:
+                    break
+                child = trail[-1][part] = {}
+            trail.append(child)
+        if value is not None:
+            trail[-1][parts[-1]] = value
+        elif len(trail) == len(parts) and parts[-1] in trail[-1]:
+            del trail[-1][parts[-1]]
+            for parent, part in zip(reversed(trail[:-1]), reversed(parts[:-1]), strict=True):
+                if parent[part]:
+                    break
+                del parent[part]
+        yield (_text(doc),)
+
+    return _expanded(df, key, text, of, "json string", key)
+
+
 def rebuilt(commands: DataFrame, key: str = "tree_key") -> DataFrame:
     """``(key, tree)``: the JSON tree of each group of :func:`index_commands` rows, entries in the order of their ordinals.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assets, audits, curation, flows, reports, scenes
+from . import assets, audits, curation, datasets, flows, reports, scenes
 
-QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES | assets.QUERIES | scenes.QUERIES
-ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL | assets.SQL | scenes.SQL
+QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES | assets.QUERIES | scenes.QUERIES | datasets.QUERIES
+ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL | assets.SQL | scenes.SQL | datasets.SQL

@@ -24,6 +24,33 @@ def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_invalid"))
 
 
+def without_torn_tail(lines: DataFrame, order: str) -> DataFrame:
+    """``lines`` (``file``, ``valid``) without the last line of each file if that is broken; broken lines before it stay."""
+    last = lines.groupBy("file").agg(F.max_by("valid", order).alias("tail_"), F.max(order).alias("at_"))
+    return lines.join(last, "file").where(f"tail_ or {order} <> at_").drop("tail_", "at_")
+
+
+def numbered_lines(text: DataFrame, file: str, column: str) -> DataFrame:
+    """``(file, line, record, valid)`` of the non-blank lines of whole files."""
+    lines = text.select(F.col(file).alias("file"), F.posexplode(F.split(column, "\n")).alias("line", "raw")).where("trim(raw) <> ''")
+    return lines.withColumn("record", F.try_parse_json("raw")).withColumn("valid", F.col("record").isNotNull()).select("file", "line", "record", "valid")
+
+
+def env_rows(text: DataFrame, file: str, column: str) -> DataFrame:
+    """``(file, key, value)`` of ``KEY=VALUE`` lines: comments and lines without a key are left out, one pair of quotes is taken off, the last of a key counts."""
+    lines = text.select(F.col(file).alias("file"), F.posexplode(F.split(column, "\r?\n")).alias("line", "raw"))
+    key, value = F.trim(F.regexp_extract("raw", r"^([^#=]+)=(.*)$", 1)), F.trim(F.regexp_extract("raw", r"^([^#=]+)=(.*)$", 2))
+    plain = F.regexp_replace(F.regexp_replace(value, r'^"(.*)"$', "$1"), r"^'(.*)'$", "$1")
+    rows = lines.where(~F.trim("raw").startswith("#")).withColumn("key", F.regexp_replace(key, r"^export\s+", "")).withColumn("value", plain).where("key <> ''")
+    return rows.groupBy("file", "key").agg(F.max_by("value", "line").alias("value"))
+
+
+def settings_or_null(text: DataFrame, file: str, column: str) -> DataFrame:
+    """``(file, settings)``: a configuration document each, null where it is no JSON object."""
+    v = F.try_parse_json(column)
+    return text.select(F.col(file).alias("file"), F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v).alias("settings"))
+
+
 def documents(spark: SparkSession, path: str, suffix: str = "*.json") -> DataFrame:
     """Whole JSON files below a folder; files that don't parse are rows with a null record."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path)
