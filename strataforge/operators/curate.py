@@ -92,23 +92,31 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
+#: Keys that may be broadcast.
+BROADCAST_KEYS = 2_000_000
+
+
 def shared_word_grams(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, size: int) -> DataFrame:
-    """Pairs that share word runs of ``size``, with how many distinct ones: an equality join instead of all pairs."""
+    """Pairs that share word runs of ``size``, with how many distinct ones: an equality join instead of all pairs.
+
+    ``right`` is the smaller side.  Its runs go to all executors as long as they
+    are few (``BROADCAST_KEYS``), so that of ``left`` only matches are shuffled.
+    """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
         words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
         runs = F.expr(f"transform(sequence(1, greatest(size(w) - {size - 1}, 1)), i -> array_join(slice(w, i, {size}), ' '))")
         cut = df.select(key, words.alias("w")).where(F.size("w") >= size)
-        return cut.select(key, F.explode(runs).alias("gram")).distinct()
+        return cut.select(key, F.explode(runs).alias("gram"))
 
-    return grams(left, left_id).join(grams(right, right_id), "gram").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    wanted = grams(right, right_id).distinct()
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    return grams(left, left_id).join(small, "gram").distinct().groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
 #: A token is one letter of a script written without spaces, or a whole run of other letters and digits.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _TOKEN = rf"[{_UNSPACED}]|[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+"
-#: Keys that may be broadcast.
-BROADCAST_KEYS = 2_000_000
 
 
 def whole_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, size: int = 8) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +26,31 @@ def sessions(df: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     return df.groupBy(key, window.alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("start"), "n")
 
 
-def debounce(df: DataFrame, key: str, time: str, gap_ms: int) -> DataFrame:
+def debounce(df: DataFrame, key: str, time: str, gap_ms: int, tie: str | None = None) -> DataFrame:
     """Rows accepted when ``gap_ms`` has passed since the last accepted row of their key.
 
-    Rows stream through each task in order; only the last accepted time is held.
+    Rows stream through each task in order, those of one time by ``tie``; only
+    the last accepted time is held, so a frequent key needs no more memory than
+    others.  From an accepted row a search leads straight to the next one.
     """
 
     def run(frames):
         last_key, last = None, None
         for frame in frames:
-            keep = []
-            for k, t in zip(frame[key], frame["ms_"], strict=True):
-                ok = k != last_key or t - last >= gap_ms
-                if ok:
-                    last_key, last = k, t
-                keep.append(ok)
-            yield frame[pd.Series(keep, index=frame.index, dtype=bool)].drop(columns="ms_")
+            keys, ms = frame[key].to_numpy(), frame["ms_"].to_numpy()
+            keep = np.zeros(len(ms), dtype=bool)
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(ms) else []
+            for a, b in zip(first, [*first[1:], len(ms)], strict=True):
+                at = a if keys[a] != last_key else a + np.searchsorted(ms[a:b], last + gap_ms)
+                while at < b:
+                    keep[at] = True
+                    last = ms[at]
+                    at += np.searchsorted(ms[at:b], last + gap_ms)
+                last_key = keys[a]
+            yield frame[keep].drop(columns="ms_")
 
     rows = df.withColumn("ms_", F.unix_millis(F.col(time).cast("timestamp")))
-    return rows.repartition(key).sortWithinPartitions(key, "ms_").mapInPandas(run, df.schema)
+    return rows.repartition(key).sortWithinPartitions(key, "ms_", *([tie] if tie else [])).mapInPandas(run, df.schema)
 
 
 def fold(df: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:

@@ -92,10 +92,14 @@ def augmented_assets(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.array_join(ring, ",").alias("assets"))
 
 
+# Words of the language that a task must not name.
+LEAKS = r"(?iU)\b(VAR|IMAGE|TEXT|CLICK|SELECT|CHOICES|OPTION|WAIT|SIGNAL|AUTO|ON|SET_VARIABLE|SHOW_IMAGE|DSL|JSON|API)\b"
+
+
 def leaking_tasks(spark, d):
     """Benchmark texts that read like implementation, or are too short or too long."""
     items = _read(spark, d, "benchmark")
-    rows = items.select("item_id", F.col("text").rlike(r"(?i)\b(the|and)\b").alias("words"), F.length("text").between(8, 600).alias("fits"))
+    rows = items.select("item_id", F.col("text").rlike(LEAKS).alias("words"), F.length("text").between(8, 600).alias("fits"))
     return rows.select("item_id", F.array_join(F.array_compact(F.array(F.when(F.col("words"), "words"), F.when(~F.col("fits"), "length"))), ",").alias("problems"))
 
 
@@ -126,11 +130,11 @@ def worker_shards(spark, d):
 
 
 def stale_users(spark, d):
-    """Users whose last event is more than five days before the newest of all."""
-    rows = _read(spark, d, "events")
+    """Users whose last purchase is more than a day before the newest of all."""
+    rows = _read(spark, d, "events").where("event_type = 'purchase'")
     last = rows.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
     newest = rows.agg(F.max("ts").alias("newest"))
-    return last.crossJoin(F.broadcast(newest)).where("last_ts < newest - interval 5 days").select("user_id", "last_ts")
+    return last.crossJoin(F.broadcast(newest)).where("last_ts < newest - interval 1 day").select("user_id", "last_ts")
 
 
 def loop_until_break(spark, d):
@@ -185,13 +189,13 @@ SQL = {
         SELECT vec_id, zone::INT AS zone FROM p JOIN z ON x BETWEEN x0::DOUBLE AND x1::DOUBLE AND y BETWEEN y0::DOUBLE AND y1::DOUBLE""",
     "rewritten_variables": "SELECT doc_id, 'go {' || source || '} and {' || lang || '} or {' || lang || '}' AS text, 2::BIGINT AS changes FROM documents",
     "augmented_assets": f"SELECT doc_id, 'anim_' || s % 15 || ',anim_' || (s + 1) % 15 || ',anim_' || (s + 2) % 15 AS assets FROM (SELECT doc_id, {_SUM} % 15 AS s FROM documents)",
-    "leaking_tasks": r"""SELECT item_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\b(the|and)\b') THEN 'words' END, CASE WHEN NOT length(text) BETWEEN 8 AND 600 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS problems FROM benchmark""",
+    "leaking_tasks": r"""SELECT item_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])(VAR|IMAGE|TEXT|CLICK|SELECT|CHOICES|OPTION|WAIT|SIGNAL|AUTO|ON|SET_VARIABLE|SHOW_IMAGE|DSL|JSON|API)([^\p{L}\p{M}\p{N}_]|$)') THEN 'words' END, CASE WHEN NOT length(text) BETWEEN 8 AND 600 THEN 'length' END], lambda x: x IS NOT NULL), ',') AS problems FROM benchmark""",
     "input_rules": """SELECT c_custkey, array_to_string(list_filter([CASE WHEN trim(c_name) = '' THEN 'required' END, CASE WHEN NOT length(c_name) BETWEEN 5 AND 20 THEN 'length' END,
         CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]*[02468]$') THEN 'pattern' END, CASE WHEN NOT c_acctbal BETWEEN 0 AND 9000 THEN 'range' END], lambda x: x IS NOT NULL), ',') AS errors FROM customer""",
     "page_hosts": """SELECT host, count(*) AS paths, min(page_id) AS first_page FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace(url, '[/]+$', '') AS path, min(page_id) AS page_id FROM pages GROUP BY 1, 2) GROUP BY 1""",
     "history_ring": "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 100",
     "worker_shards": "SELECT (o_orderkey // 25 % 8)::INT AS worker, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1",
-    "stale_users": "SELECT user_id, max(ts) AS last_ts FROM events GROUP BY 1 HAVING last_ts < (SELECT max(ts) FROM events) - INTERVAL 5 DAY",
+    "stale_users": "SELECT user_id, max(ts) AS last_ts FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING last_ts < (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY",
     "loop_until_break": """SELECT l_orderkey, count(*) AS iterations FROM (SELECT l_orderkey, coalesce(max((l_returnflag = 'R')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broke FROM lineitem) WHERE broke = 0 GROUP BY 1""",
     "selected_in_group": "SELECT user_id AS group_id, max(event_id) AS selected, count(*) - 1 AS cancelled FROM events WHERE event_type = 'click' GROUP BY 1",
     "listeners_per_event": "SELECT event_type, count(DISTINCT user_id) AS listeners, count(*) AS emitted FROM events GROUP BY 1",

@@ -84,8 +84,9 @@ def both_sets(spark, d):
 
 
 def only_one_set(spark, d):
-    users = _read(spark, d, "events")
-    return users.where("event_type = 'click'").select("user_id").distinct().exceptAll(users.where("event_type = 'purchase'").select("user_id").distinct())
+    """Customers with an open order but none that is finished in the same year."""
+    orders = _read(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year"), "o_orderstatus")
+    return orders.where("o_orderstatus = 'O'").select("custkey", "year").subtract(orders.where("o_orderstatus = 'F'").select("custkey", "year"))
 
 
 def search_substring(spark, d):
@@ -130,10 +131,10 @@ def resource_subset(spark, d):
 
 
 def lattice(spark, d):
-    """A thousand slots by strides that share no factor with the lists they step through."""
-    slots = spark.range(1000).select(F.col("id").cast("int").alias("slot"))
+    """A slot for each part, by strides that share no factor with the lists they step through; 28 in 100 slots have a motif, evenly spread."""
+    slots = _read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("slot"))
     key = F.concat_ws("|", (F.col("slot") * 7 % 15).cast("string"), (F.col("slot") * 11 % 27).cast("string"), (F.col("slot") * 13 % 8).cast("string"))
-    return slots.select("slot", key.alias("lattice_key"), F.substring(F.sha1(key), 1, 16).alias("fingerprint"), (F.col("slot") * 28 % 100 < 28).alias("motif"))
+    return slots.select("slot", key.alias("lattice_key"), F.substring(F.sha1(key), 1, 16).alias("fingerprint"), (F.col("slot") * 28 % 100 < 28).alias("motif"), F.element_at(F.array(F.lit("build"), F.lit("change"), F.lit("fix")), (F.col("slot") % F.when(F.col("slot") % 2 == 0, 3).otherwise(2) + 1).cast("int")).alias("template"))
 
 
 def slot_grid(spark, d):
@@ -171,7 +172,7 @@ SQL = {
     "duplicate_keys": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING n > 1 OR o_custkey IS NULL",
     "resume_anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "both_sets": "SELECT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'",
-    "only_one_set": "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'",
+    "only_one_set": "SELECT o_custkey AS custkey, year(o_orderdate)::INT AS year FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, year(o_orderdate)::INT FROM orders WHERE o_orderstatus = 'F'",
     "search_substring": "SELECT doc_id, source FROM documents WHERE lang = 'en' AND text ILIKE '%license%' ORDER BY doc_id LIMIT 30",
     "leak_check_exact": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)",
     "leak_check_ngram": _GRAMS,
@@ -180,7 +181,7 @@ SQL = {
         FROM (SELECT item_id, text, unnest(range(1, item_id % 3 + 2)) AS v FROM benchmark)""",
     "context_frame": """SELECT conv_id, turn, (SELECT string_agg(b.role, ',' ORDER BY b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 1) AS context FROM conversations a""",
     "resource_subset": "SELECT p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_partkey IN (SELECT l_partkey FROM lineitem)",
-    "lattice": """SELECT slot, k AS lattice_key, left(sha1(k), 16) AS fingerprint, slot * 28 % 100 < 28 AS motif FROM (
-        SELECT i::INT AS slot, (i*7%15)::VARCHAR || '|' || (i*11%27)::VARCHAR || '|' || (i*13%8)::VARCHAR AS k FROM range(1000) t(i))""",
+    "lattice": """SELECT slot, k AS lattice_key, left(sha1(k), 16) AS fingerprint, slot * 28 % 100 < 28 AS motif, ['build', 'change', 'fix'][slot % CASE WHEN slot % 2 = 0 THEN 3 ELSE 2 END + 1] AS template FROM (
+        SELECT p_partkey::BIGINT AS slot, (p_partkey*7%15)::VARCHAR || '|' || (p_partkey*11%27)::VARCHAR || '|' || (p_partkey*13%8)::VARCHAR AS k FROM part)""",
     "slot_grid": "SELECT p_brand, i::INT AS slot, ['easy', 'medium', 'hard'][i % 3 + 1] AS difficulty FROM (SELECT DISTINCT p_brand FROM part), range(10) t(i)",
 }

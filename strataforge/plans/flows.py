@@ -72,13 +72,14 @@ def signal_edges(spark, d):
 
 
 def unresolved_edges(spark, d):
-    rows = _read(spark, d, "events")
-    return ev.unresolved_signals(rows.where("event_type = 'signup'"), rows.where("event_type = 'error'"), "user_id")
+    """Users' days: who signs up without an error that day, and the other way round."""
+    rows = _read(spark, d, "events").withColumn("signal", F.concat_ws("@", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
+    return ev.unresolved_signals(rows.where("event_type = 'signup'"), rows.where("event_type = 'error'"), "signal")
 
 
 def debounce(spark, d):
     rows = _read(spark, d, "events").select("user_id", "event_id", "ts")
-    return ev.debounce(rows, "user_id", "ts", 6 * 3_600_000).select("user_id", "event_id")
+    return ev.debounce(rows, "user_id", "ts", 6 * 3_600_000, "event_id").select("user_id", "event_id")
 
 
 def kv_fold(spark, d):
@@ -114,6 +115,7 @@ def moves(spark, d):
 
 def one_hot_choice(spark, d):
     rows = _read(spark, d, "lineitem")
+    # the chosen place is on, all others are off
     hot = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.when(i == F.col("l_linenumber"), "1").otherwise("0")), "")
     return rows.select("l_orderkey", "l_linenumber", hot.alias("choice"))
 
@@ -153,7 +155,9 @@ def used_before_created(spark, d):
 
 
 def one_sided_users(spark, d):
-    return rules.two_sided(_read(spark, d, "events"), "user_id", F.col("event_type"), "signup", "error")
+    """Users' days with one of two kinds of events but not the other."""
+    rows = _read(spark, d, "events").withColumn("user_day", F.concat_ws("@", F.col("user_id").cast("string"), F.to_date("ts").cast("string")))
+    return rules.two_sided(rows, "user_day", F.col("event_type"), "signup", "error")
 
 
 def _boxes(spark, d):
@@ -188,11 +192,11 @@ SQL = {
     "next_level": "SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next_order FROM orders",
     "as_of_join": "SELECT p.event_id, c.value AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts",
     "signal_edges": "SELECT DISTINCT a.user_id AS producer, a.ts::DATE AS day, b.user_id AS listener FROM events a JOIN events b ON a.ts::DATE = b.ts::DATE WHERE a.event_type = 'signup' AND b.event_type = 'purchase'",
-    "unresolved_edges": """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
-        SELECT user_id, 'not_heard' AS problem FROM a WHERE user_id NOT IN (FROM b) UNION ALL SELECT user_id, 'not_emitted' FROM b WHERE user_id NOT IN (FROM a)""",
-    "debounce": """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+    "unresolved_edges": """WITH e AS (SELECT user_id || '@' || ts::DATE AS signal, event_type FROM events), a AS (SELECT DISTINCT signal FROM e WHERE event_type = 'signup'), b AS (SELECT DISTINCT signal FROM e WHERE event_type = 'error')
+        SELECT signal, 'not_heard' AS problem FROM a ANTI JOIN b USING (signal) UNION ALL SELECT signal, 'not_emitted' FROM b ANTI JOIN a USING (signal)""",
+    "debounce": """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
         r(user_id, event_id, ms) AS (SELECT user_id, event_id, ms FROM o WHERE n = 1
-          UNION ALL SELECT user_id, event_id, ms FROM (SELECT o.user_id, o.event_id, o.ms, row_number() OVER (PARTITION BY o.user_id ORDER BY o.ms) AS k FROM r JOIN o ON o.user_id = r.user_id AND o.ms >= r.ms + 21600000) WHERE k = 1)
+          UNION ALL SELECT user_id, event_id, ms FROM (SELECT o.user_id, o.event_id, o.ms, row_number() OVER (PARTITION BY o.user_id ORDER BY o.ms, o.event_id) AS k FROM r JOIN o ON o.user_id = r.user_id AND o.ms >= r.ms + 21600000) WHERE k = 1)
         SELECT user_id, event_id FROM r""",
     "kv_fold": """WITH s AS (SELECT user_id, max(event_id) AS set_at, arg_max(value::DECIMAL(18,4), event_id) AS v FROM events WHERE event_type = 'signup' GROUP BY 1)
         SELECT user_id, round((coalesce(max(v), 0) + sum(CASE WHEN event_type = 'purchase' AND (set_at IS NULL OR event_id > set_at) THEN value::DECIMAL(18,4) ELSE 0 END))::DOUBLE, 4) AS value, count(*) AS ops FROM events LEFT JOIN s USING (user_id) GROUP BY 1""",
@@ -213,7 +217,7 @@ SQL = {
     "contract_errors": """SELECT error, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT l_quantity BETWEEN 1 AND 45 THEN 'quantity_range' END, CASE WHEN l_discount > 0.08 THEN 'discount_range' END,
         CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'flag_known' END, CASE WHEN l_extendedprice <= 0 THEN 'price_positive' END], lambda x: x IS NOT NULL)) AS error FROM lineitem) GROUP BY 1""",
     "used_before_created": "SELECT event_id, user_id FROM events e WHERE event_type <> 'signup' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.user_id = e.user_id AND f.event_type = 'signup' AND f.event_id <= e.event_id)",
-    "one_sided_users": "SELECT user_id, count(*) FILTER (event_type = 'signup') AS n_first, count(*) FILTER (event_type = 'error') AS n_second FROM events GROUP BY 1 HAVING (n_first > 0) <> (n_second > 0)",
+    "one_sided_users": "SELECT user_id || '@' || ts::DATE AS user_day, count(*) FILTER (event_type = 'signup') AS n_first, count(*) FILTER (event_type = 'error') AS n_second FROM events GROUP BY 1 HAVING (n_first > 0) <> (n_second > 0)",
     "rect_overlap": """WITH b AS (SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y FROM embeddings), r AS (SELECT vec_id, x, y, x + 0.1::DOUBLE AS x1, y + 0.1::DOUBLE AS y1 FROM b)
         SELECT l.vec_id AS left_id, r.vec_id AS right_id, round((least(l.x1, r.x1) - greatest(l.x, r.x)) * (least(l.y1, r.y1) - greatest(l.y, r.y)), 9) AS area
         FROM r l JOIN r ON l.vec_id % 2 = 0 AND r.vec_id % 2 = 1 AND l.x <= r.x1 AND r.x <= l.x1 AND l.y <= r.y1 AND r.y <= l.y1""",
