@@ -37,7 +37,7 @@ CAPACITY = 2048
 #: Id that ends every document.
 END = 0
 #: Distinct chunks that a worker remembers before it starts anew.
-MEMORY = 800_000
+MEMORY = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The vocabulary's own split of lower-case text; used on chunks of plain letters, digits and marks only.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

@@ -45,11 +45,11 @@ BEFORE = SPAN - 1
 #: A window keeps HALF bytes before its anchor at most, or HALF at least.
 HALF = BEFORE // 2
 #: Buckets for each shuffle partition.
-BUCKETS = 4
+BUCKETS = 8
 #: Columns beside those of the documents, named so that they clash with none.
 SPANS, CUT, DOC, KEY = "strataforge_spans", "strataforge_cut", "strataforge_doc", "strataforge_key"
 #: Bytes of texts that a task lists anchors of at a time; longer texts are cut, with an overlap that no anchor can see beyond.
-PART, OVERLAP = 1 << 20, 2 * MATCH
+PART, OVERLAP = 1 << 19, 2 * MATCH
 _RNG = np.random.Generator(np.random.PCG64(31337))
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CHARS = _RNG.integers(0, 2**64, size=(len(_BASES), 256), dtype=np.uint64)

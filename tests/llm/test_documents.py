@@ -85,7 +85,7 @@ def test_repeats_of_long_texts(spark, texts, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": list(some.values()), suffix_dedup.DOC: list(some), suffix_dedup.KEY: [0] * len(some)})
     parts = [e for out in suffix_dedup._list(1)([batch]) for e in out.column("entries").to_pylist()]
     got = np.concatenate([np.frombuffer(e, suffix_dedup._ENTRY) for e in parts])
-    monkeypatch.setattr(suffix_dedup, "PART", 1 << 20)
+    monkeypatch.setattr(suffix_dedup, "PART", 1 << 19)
     parts = [e for out in suffix_dedup._list(1)([batch]) for e in out.column("entries").to_pylist()]
     want = np.concatenate([np.frombuffer(e, suffix_dedup._ENTRY) for e in parts])
     plain = lambda x: sorted(x[["text", "more", "right", "left", "doc", "pos"]].tolist())
