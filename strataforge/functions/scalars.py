@@ -44,6 +44,12 @@ def guarded_divide(current: Column, by: Column) -> Column:
     return F.when(by == 0, current).otherwise(current / by)
 
 
+def applied(current: Column, op: Column, by: Column) -> Column:
+    """A number after one operation: ``set``, ``add``, ``sub``, ``mul``, ``div``; missing numbers are 0, a division by zero and other operations change nothing."""
+    x, y = F.coalesce(current, F.lit(0.0)), F.coalesce(by, F.lit(0.0))
+    return F.when(op == "set", y).when(op == "add", x + y).when(op == "sub", x - y).when(op == "mul", x * y).when((op == "div") & (y != 0), x / y).otherwise(x)
+
+
 def clamp_score(x: Column, low: float = 0, high: float = 10, places: int = 0) -> Column:
     """Cut to a range, ties of rounding to the even neighbour."""
     return F.bround(F.greatest(F.lit(low), F.least(F.lit(high), x)), places)

@@ -75,6 +75,19 @@ def overlay(base: DataFrame, repairs: DataFrame, key: str, fields: list[str], ac
     return joined.withColumn("repaired", F.col("action_").isNotNull()).drop("action_", *(f"new_{f}" for f in fields))
 
 
+def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Distinct ``keys`` with ``place``, their number in the order in which they first come up (ties by the keys); distinct values are few, rows may be many."""
+    seen = df.groupBy(*keys).agg(F.min(order).alias("first_"))
+    return seen.withColumn("place", F.row_number().over(Window.orderBy("first_", *keys))).drop("first_")
+
+
+def set_relations(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key of two sets with where it is: ``left``, ``right`` or ``both``; null keys are equal."""
+    rows = left.select(*keys, F.lit(1).alias("l_"), F.lit(0).alias("r_")).unionByName(right.select(*keys, F.lit(0).alias("l_"), F.lit(1).alias("r_")))
+    side = F.when((F.max("l_") == 1) & (F.max("r_") == 1), "both").when(F.max("l_") == 1, "left").otherwise("right")
+    return rows.groupBy(*keys).agg(side.alias("side"))
+
+
 def key_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one of two ledgers has."""
     a = left.select(key).distinct().withColumn("in_left", F.lit(True))

@@ -64,6 +64,20 @@ def fold(df: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:
     return joined.groupBy(key).agg((F.coalesce(F.max(f"s.{value}"), F.lit(0)) + added).alias("value"), F.count("*").alias("ops"))
 
 
+def enqueued(tasks: DataFrame, wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The queue after a batch is put in: tasks that are there are not put in twice, those whose result exists are done, and failed or abandoned (running) ones start again.
+
+    ``tasks`` has ``key``, ``status`` and ``attempts``; ``wanted`` and ``done`` have ``key``.
+    """
+    old = tasks.select(key, "status", "attempts")
+    asked = wanted.select(key).distinct().withColumn("asked", F.lit(True))
+    have = done.select(key).distinct().withColumn("have", F.lit(True))
+    rows = old.join(asked, key, "full").join(have, key, "left")
+    again = F.col("asked").isNotNull() & F.col("status").isin("failed", "running")
+    status = F.when(F.col("have").isNotNull(), "done").when(F.col("status").isNull() | again, "queued").otherwise(F.col("status"))
+    return rows.select(key, status.alias("status"), F.when(again, 0).otherwise(F.coalesce("attempts", F.lit(0))).alias("attempts"))
+
+
 def queue_next_state(tasks: DataFrame, attempts: str, status: str, most: int) -> DataFrame:
     """The next state of each task: done stays, failures are tried again until ``most`` attempts."""
     again = F.when(F.col(attempts) < most, "queued").otherwise("failed")

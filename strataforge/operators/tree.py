@@ -183,6 +183,23 @@ def without_types(types: set[str]):
     return change
 
 
+def without_matching(rules: list[tuple[str, str, str]]):
+    """A change that drops commands of a type whose parameter (a dotted path) a pattern finds: ``(type, path, pattern)`` each."""
+    compiled = [(kind, path.split("."), re.compile(pattern)) for kind, path, pattern in rules]
+
+    def found(command: dict) -> bool:
+        for kind, path, pattern in compiled:
+            if _type(command) == kind:
+                value = command.get("parameters")
+                for part in path:
+                    value = value.get(part) if isinstance(value, dict) else None
+                if value is not None and pattern.search(value if isinstance(value, str) else _text(value)):
+                    return True
+        return False
+
+    return lambda command: ([], 1) if found(command) else ([command], 0)
+
+
 def with_new_ids(fields: tuple[str, ...], mapping: dict[str, str]):
     """A change that renames the resources which ``fields`` of the parameters, at any depth but in nested commands, name."""
 

@@ -147,7 +147,7 @@ def loop_until_break(spark, d):
 def selected_in_group(spark, d):
     """The selection that holds in each single-choice group: the last one made."""
     rows = _read(spark, d, "events").where("event_type = 'click'")
-    return rows.groupBy(F.col("user_id").alias("group_id")).agg(F.max_by("event_id", "event_id").alias("selected"), (F.count("*") - 1).alias("cancelled"))
+    return rows.groupBy(F.col("user_id").alias("group_id")).agg(F.max_by("value", "event_id").alias("selected"), (F.count("*") - 1).alias("cancelled"))
 
 
 def listeners_per_event(spark, d):
@@ -197,7 +197,7 @@ SQL = {
     "worker_shards": "SELECT (o_orderkey // 25 % 8)::INT AS worker, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1",
     "stale_users": "SELECT user_id, max(ts) AS last_ts FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING last_ts < (SELECT max(ts) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY",
     "loop_until_break": """SELECT l_orderkey, count(*) AS iterations FROM (SELECT l_orderkey, coalesce(max((l_returnflag = 'R')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broke FROM lineitem) WHERE broke = 0 GROUP BY 1""",
-    "selected_in_group": "SELECT user_id AS group_id, max(event_id) AS selected, count(*) - 1 AS cancelled FROM events WHERE event_type = 'click' GROUP BY 1",
+    "selected_in_group": "SELECT user_id AS group_id, arg_max(value, event_id) AS selected, count(*) - 1 AS cancelled FROM events WHERE event_type = 'click' GROUP BY 1",
     "listeners_per_event": "SELECT event_type, count(DISTINCT user_id) AS listeners, count(*) AS emitted FROM events GROUP BY 1",
     "kinds_of_files": """SELECT CASE WHEN e IN ('png', 'jpg', 'jpeg', 'gif', 'webp', 'svg') THEN 'image' WHEN e IN ('mp3', 'ogg', 'wav') THEN 'audio' WHEN e IN ('mp4', 'webm') THEN 'video' ELSE 'other' END AS kind, count(*) AS n
         FROM (SELECT lower(regexp_extract(link, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM (SELECT unnest(regexp_extract_all(html, '(?:src|href)="([^"]+)"', 1)) AS link FROM pages)) GROUP BY 1""",

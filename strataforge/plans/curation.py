@@ -89,6 +89,22 @@ def only_one_set(spark, d):
     return orders.where("o_orderstatus = 'O'").select("custkey", "year").subtract(orders.where("o_orderstatus = 'F'").select("custkey", "year"))
 
 
+def types_first_seen(spark, d):
+    return curate.first_seen(_read(spark, d, "events"), ["event_type"], "event_id")
+
+
+def set_relations(spark, d):
+    """Customers and years by whether they have open orders, finished ones, or both."""
+    orders = _read(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.year("o_orderdate").alias("year"), "o_orderstatus")
+    return curate.set_relations(orders.where("o_orderstatus = 'O'"), orders.where("o_orderstatus = 'F'"), ["custkey", "year"])
+
+
+def benchmark_cases(spark, d):
+    """Benchmark items as cases, with what they leave out."""
+    items = _read(spark, d, "benchmark").select("item_id", "text", F.when(F.col("item_id") % 3 == 0, F.lit("hard")).alias("level"), F.when(F.col("item_id") % 2 == 0, F.lit(1280)).alias("width"))
+    return items.select(F.format_string("case-%04d", "item_id").alias("id"), F.trim("text").alias("task"), F.coalesce("level", F.lit("medium")).alias("level"), F.coalesce("width", F.lit(1920)).alias("width"), F.lit("(none)").alias("assets"))
+
+
 def search_substring(spark, d):
     docs = _read(spark, d, "documents")
     return docs.where("lang = 'en' and text ilike '%license%'").orderBy("doc_id").limit(30).select("doc_id", "source")
@@ -142,7 +158,7 @@ def slot_grid(spark, d):
     return kinds.crossJoin(spark.range(10).select(F.col("id").cast("int").alias("slot"))).select("p_brand", "slot", F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), F.col("slot") % 3 + 1).alias("difficulty"))
 
 
-QUERIES = {f.__name__: f for f in (exact_dedup, normalized_dedup, dispositions, hash_order_split, sticky_split, split_leakage, blind_position, quota_sample, source_cap, ledger_overlay, ledger_mismatch, duplicate_keys, resume_anti_join, both_sets, only_one_set, search_substring, leak_check_exact, leak_check_ngram, chat_rows, query_variants, context_frame, resource_subset, lattice, slot_grid)}
+QUERIES = {f.__name__: f for f in (exact_dedup, normalized_dedup, dispositions, hash_order_split, sticky_split, split_leakage, blind_position, quota_sample, source_cap, ledger_overlay, ledger_mismatch, duplicate_keys, resume_anti_join, both_sets, only_one_set, types_first_seen, set_relations, benchmark_cases, search_substring, leak_check_exact, leak_check_ngram, chat_rows, query_variants, context_frame, resource_subset, lattice, slot_grid)}
 
 _DIGITS = "list_sum(list_transform(string_split(sha256(doc_id::VARCHAR), ''), lambda c: instr('0123456789abcdef', c) - 1))"
 _LAST = "(instr('0123456789abcdef', right(sha256(doc_id::VARCHAR), 1)) - 1)"
@@ -173,6 +189,9 @@ SQL = {
     "resume_anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "both_sets": "SELECT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'",
     "only_one_set": "SELECT o_custkey AS custkey, year(o_orderdate)::INT AS year FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey, year(o_orderdate)::INT FROM orders WHERE o_orderstatus = 'F'",
+    "types_first_seen": "SELECT event_type, (row_number() OVER (ORDER BY min(event_id), event_type))::INT AS place FROM events GROUP BY 1",
+    "set_relations": """SELECT o_custkey AS custkey, year(o_orderdate)::INT AS year, CASE WHEN count(DISTINCT o_orderstatus) = 2 THEN 'both' WHEN min(o_orderstatus) = 'O' THEN 'left' ELSE 'right' END AS side FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY 1, 2""",
+    "benchmark_cases": "SELECT printf('case-%04d', item_id) AS id, trim(text) AS task, CASE WHEN item_id % 3 = 0 THEN 'hard' ELSE 'medium' END AS level, (CASE WHEN item_id % 2 = 0 THEN 1280 ELSE 1920 END)::INT AS width, '(none)' AS assets FROM benchmark",
     "search_substring": "SELECT doc_id, source FROM documents WHERE lang = 'en' AND text ILIKE '%license%' ORDER BY doc_id LIMIT 30",
     "leak_check_exact": "SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)",
     "leak_check_ngram": _GRAMS,

@@ -87,6 +87,12 @@ def manifest_counts(spark, d):
     return files.documents(spark, path).select(get("rows"), get("languages"), get("chars"))
 
 
+def markdown_report(spark, d):
+    """Events by type as a Markdown table."""
+    text = sinks.markdown(_read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), ["event_type"])
+    return spark.createDataFrame([(text,)], "report string")
+
+
 def markdown_tables(spark, d):
     """A table of nations below a heading for each region, and its rows with their headings."""
     row = F.concat(F.lit("| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |"))
@@ -161,7 +167,7 @@ def path_edits(spark, d):
     return new.join(gone, "n_nationkey")
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, jsonl_absent, jsonl_broken_lines, torn_tails, tsv_round_trip, csv_round_trip, routed_round_trip, manifest_counts, markdown_tables, fenced_contents, env_settings, settings_documents, variable_reads, folded_names, asset_catalogs, variable_kinds, script_parents, json_sizes, path_edits)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, jsonl_absent, jsonl_broken_lines, torn_tails, tsv_round_trip, csv_round_trip, routed_round_trip, manifest_counts, markdown_report, markdown_tables, fenced_contents, env_settings, settings_documents, variable_reads, folded_names, asset_catalogs, variable_kinds, script_parents, json_sizes, path_edits)}
 
 SQL = {
     "jsonl_round_trip": "SELECT doc_id, lang, sha256(text) AS text_sha256 FROM documents",
@@ -173,6 +179,7 @@ SQL = {
     "csv_round_trip": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::INT AS s_nationkey FROM supplier",
     "routed_round_trip": "SELECT CASE WHEN n_chars < 200 THEN 'excluded' WHEN lang = 'en' THEN 'accepted' ELSE 'keep' END AS route, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",
     "manifest_counts": "SELECT count(*) AS rows, count(DISTINCT lang) AS languages, sum(n_chars)::BIGINT AS chars FROM documents",
+    "markdown_report": """SELECT '| event_type | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || event_type || ' | ' || n || ' |', chr(10) ORDER BY event_type) AS report FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
     "markdown_tables": "SELECT r_regionkey, r_name AS heading, n_nationkey::VARCHAR AS key, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "fenced_contents": """SELECT n_nationkey, b::INT AS block, CASE b WHEN 0 THEN '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' ELSE n_name END AS content FROM nation, (VALUES (0), (1)) t(b)""",
     "env_settings": "SELECT n_nationkey AS file, 'KEY' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'NUMBER', n_regionkey::VARCHAR FROM nation",

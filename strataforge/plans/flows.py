@@ -107,6 +107,21 @@ def queue_next_state(spark, d):
     return ev.queue_next_state(tasks, "attempts", "status", 3).select("o_orderkey", "next_state")
 
 
+def enqueued_tasks(spark, d):
+    """Orders as a queue, those of some customers asked for again, and those with a returned line done."""
+    orders = _read(spark, d, "orders")
+    tasks = orders.where("o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), (F.col("o_orderkey") % 5).cast("int").alias("attempts"))
+    done = _read(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return ev.enqueued(tasks, orders.where("o_custkey % 2 = 0"), done, "o_orderkey")
+
+
+def numeric_operations(spark, d):
+    op = F.element_at(F.array(*(F.lit(x) for x in ("set", "add", "sub", "mul", "div", "none"))), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    by = F.when(F.col("l_suppkey") % 4 > 0, (F.col("l_suppkey") % 4 - 1).cast("double"))
+    rows = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_partkey") % 5 > 0, F.col("l_quantity").cast("double")).alias("x"), op.alias("op"), by.alias("y"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scalars.applied(F.col("x"), F.col("op"), F.col("y")).alias("value"))
+
+
 def moves(spark, d):
     rows = _read(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     at = ev.running_since_reset(rows, "user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("value")), F.col("value"))
@@ -177,7 +192,7 @@ def nearest_radius(spark, d):
     return space.nearest_within(box, box, 0.05).select("point_id", "target_id", F.round("away", 9).alias("away"))
 
 
-QUERIES = {f.__name__: f for f in (latest_per_key, upsert_merge, best_per_group, last_rows, second_page, change_log, overwritten_rows, until_failure, schedule_offsets, next_level, as_of_join, signal_edges, unresolved_edges, debounce, kv_fold, sessions_30m, tumbling_day, sliding_hours, queue_next_state, moves, one_hot_choice, tag_strip, previews, string_leaves, tree_index, contract_errors, used_before_created, one_sided_users, rect_overlap, nearest_radius)}
+QUERIES = {f.__name__: f for f in (latest_per_key, upsert_merge, best_per_group, last_rows, second_page, change_log, overwritten_rows, until_failure, schedule_offsets, next_level, as_of_join, signal_edges, unresolved_edges, debounce, kv_fold, sessions_30m, tumbling_day, sliding_hours, queue_next_state, enqueued_tasks, numeric_operations, moves, one_hot_choice, tag_strip, previews, string_leaves, tree_index, contract_errors, used_before_created, one_sided_users, rect_overlap, nearest_radius)}
 
 SQL = {
     "latest_per_key": "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -205,6 +220,11 @@ SQL = {
     "tumbling_day": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "sliding_hours": "SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start, count(*) AS n FROM events, range(2) t(k) GROUP BY 1",
     "queue_next_state": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 5 < 3 THEN 'queued' ELSE 'failed' END ELSE 'queued' END AS next_state FROM orders""",
+    "enqueued_tasks": """WITH t AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'done' END AS status, (o_orderkey % 5)::INT AS attempts FROM orders WHERE o_orderkey % 3 <> 0), a AS (SELECT DISTINCT o_orderkey, true AS asked FROM orders WHERE o_custkey % 2 = 0)
+        SELECT coalesce(t.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN coalesce(t.o_orderkey, a.o_orderkey) IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) THEN 'done' WHEN status IS NULL OR asked AND status <> 'done' THEN 'queued' ELSE status END AS status,
+        CASE WHEN asked AND status <> 'done' THEN 0 ELSE coalesce(attempts, 0) END::INT AS attempts FROM t FULL JOIN a ON t.o_orderkey = a.o_orderkey""",
+    "numeric_operations": """WITH r AS (SELECT *, CASE WHEN l_partkey % 5 > 0 THEN l_quantity::DOUBLE ELSE 0 END AS x, CASE WHEN l_suppkey % 4 > 0 THEN (l_suppkey % 4 - 1)::DOUBLE ELSE 0 END AS y FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_linenumber % 6 WHEN 0 THEN y WHEN 1 THEN x + y WHEN 2 THEN x - y WHEN 3 THEN x * y WHEN 4 THEN CASE WHEN y = 0 THEN x ELSE x / y END ELSE x END::DOUBLE AS value FROM r""",
     "moves": """WITH e AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS era FROM events)
         SELECT event_id, round(sum(value) OVER (PARTITION BY user_id, era ORDER BY event_id), 4) AS position FROM e""",
     "one_hot_choice": "SELECT l_orderkey, l_linenumber, array_to_string(list_transform(range(1, 8), lambda i: CASE WHEN i = l_linenumber THEN '1' ELSE '0' END), '') AS choice FROM lineitem",

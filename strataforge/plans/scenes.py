@@ -115,6 +115,20 @@ def scene_pruned(spark, d):
     return pruned.select(F.col("tree_key").alias("level_key"), "changes").join(left, "level_key", "left").select("level_key", "changes", F.coalesce("left", F.lit(0)).alias("left"))
 
 
+def scene_cleaned(spark, d):
+    """Levels without sounds of ten resources and conditions on a first value, and what is left of either (nothing)."""
+    change = tree.without_matching([("BGM_PLAY", "musicId", "^r[0-9]$"), ("IF_CONDITION", "condition.key", "^v0$")])
+    cleaned = tree.rewritten(levels(spark, d), "level_key", "level_json", change)
+    rest = F.regexp_count("tree", F.lit('"musicId":"r[0-9]"|"key":"v0"'))
+    return cleaned.select(F.col("tree_key").alias("level_key"), "changes", rest.cast("int").alias("residue"))
+
+
+def scene_error_counts(spark, d):
+    """Errors of each level as counts in place of lists."""
+    errors = c.command_errors(c.level_commands(levels(spark, d)))
+    return errors.groupBy("level_key").agg(F.count("*").alias("commands"), F.sum(F.size("errors")).alias("errors"), F.first(F.lit(False)).alias("valid"))
+
+
 def scene_remapped(spark, d):
     """Levels whose first twenty resources have new names, and the references afterwards."""
     change = tree.with_new_ids(tuple(c.RESOURCE_FIELDS), {f"r{i}": f"asset_{i}" for i in range(20)})
@@ -142,7 +156,7 @@ def condition_results(spark, d):
     return rows.select("l_orderkey", "k", c.compare(value, op, wanted).alias("holds"))
 
 
-QUERIES = {f.__name__: f for f in (scene_commands, scene_references, scene_reference_problems, scene_level_resources, scene_signal_graph, scene_signal_problems, scene_reachable_events, scene_idle_levels, scene_command_errors, scene_unbounded_loops, scene_modifiers, scene_pruned, scene_remapped, scene_rebuilt, scene_readable, condition_results)}
+QUERIES = {f.__name__: f for f in (scene_commands, scene_references, scene_reference_problems, scene_level_resources, scene_signal_graph, scene_signal_problems, scene_reachable_events, scene_idle_levels, scene_command_errors, scene_unbounded_loops, scene_modifiers, scene_pruned, scene_cleaned, scene_error_counts, scene_remapped, scene_rebuilt, scene_readable, condition_results)}
 
 _LINES = """WITH ln AS (SELECT 'scene/' || l_orderkey || '::0::L' AS level_key, l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS k,
         l_returnflag AS flag, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q FROM lineitem),
@@ -177,6 +191,8 @@ SQL = {
         unnest(CASE WHEN type = 'LOOP' AND k = 1 THEN [0, 1, 2] WHEN type = 'SHOW_IMAGE' AND p % 40 = 3 OR type = 'BGM_PLAY' THEN [0, 2] ELSE [2] END) AS place FROM com)
         SELECT level_key, stream_key, type, place < 2 AS inserted, (row_number() OVER (PARTITION BY level_key, stream_key ORDER BY ordinal, place) - 1)::INT AS new_ordinal FROM x""",
     "scene_pruned": _LINES + """SELECT level_key, (count(*) FILTER (type = 'EMIT_SIGNAL' OR type = 'IF_CONDITION'))::INT AS changes, count(*) FILTER (type NOT IN ('EMIT_SIGNAL', 'IF_CONDITION')) AS left FROM com GROUP BY 1""",
+    "scene_cleaned": _LINES + """SELECT level_key, (count(*) FILTER (type = 'BGM_PLAY' AND p % 40 < 10 OR type = 'IF_CONDITION' AND k = 0 AND q % 5 <> 0))::INT AS changes, 0 AS residue FROM com GROUP BY 1""",
+    "scene_error_counts": _LINES + """SELECT level_key, count(*) AS commands, sum(CASE type WHEN 'WAIT' THEN 1 ELSE 2 END)::BIGINT AS errors, false AS valid FROM com WHERE type = 'WAIT' AND q % 13 = 0 OR type = 'IF_CONDITION' AND q % 5 = 0 GROUP BY 1""",
     "scene_remapped": _LINES + "SELECT command_key, CASE WHEN n < 20 THEN 'asset_' || n ELSE resource_id END AS resource_id FROM ref",
     "scene_rebuilt": _LINES + """, top AS (SELECT level_key, k, (row_number() OVER (PARTITION BY level_key ORDER BY k) - 1)::INT AS n, type FROM com WHERE stream_key = 'main' AND type <> 'SHOW_IMAGE')
         SELECT level_key AS tree_key, 'main' AS stream_key, n AS ordinal, type FROM top

@@ -33,6 +33,16 @@ def manifest(df: DataFrame, counts: dict[str, Column]) -> str:
     return json.dumps(row.asDict(), sort_keys=True)
 
 
+def markdown(report: DataFrame, order: list[str], most: int = 10_000) -> str:
+    """A report as a Markdown table, rows in order.  A table of more than ``most`` rows is no report and raises."""
+    rows = report.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [report.columns, ["---"] * len(report.columns), *([cell(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(line) + " |" for line in lines)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text as a file, by way of a second name, so that readers never see half of it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
