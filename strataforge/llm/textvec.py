@@ -7,6 +7,7 @@ these, so bytes and characters agree.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -41,6 +42,14 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine: workers live on, and the next task may be another operator's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:
@@ -51,6 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
 class Words:
