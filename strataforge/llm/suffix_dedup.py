@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize, small_batches, table
-from .textvec import slices, strings
+from .textvec import release, slices, strings
 
 MATCH, GRAM = 100, 32
 #: Starts of windows that can hold one anchor; bytes before an anchor that matter.
@@ -236,6 +236,8 @@ def _resolve(batches):
             parts.append(np.frombuffer(entries.as_buffer(), _ENTRY).copy())
     if parts:
         yield made(parts)
+    del parts
+    release()
 
 
 def _surroundings(batches):
