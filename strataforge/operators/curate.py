@@ -18,6 +18,12 @@ def squeezed_hash(text: Column) -> Column:
     return F.sha2(F.lower(F.regexp_replace(text, r"\s+", "")), 256)
 
 
+def structural_fingerprint(primary: Column, template: Column, intent: Column, skeleton: Column) -> Column:
+    """SHA-1 of a sample's kind, template, request without white space, and :func:`tree.skeleton`: samples that differ in values only are alike."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.sha1(F.concat_ws("|", text(primary), text(template), F.regexp_replace(text(intent), r"(?U)\s+", ""), text(skeleton)))
+
+
 def dispositions(df: DataFrame, order: str, text: str, least: int) -> DataFrame:
     """What becomes of each row: too short, a copy of an earlier one, or accepted."""
     first = df.where(F.length(text) >= least).groupBy(F.sha2(text, 256).alias("key")).agg(F.min(order).alias("first_"))

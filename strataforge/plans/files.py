@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.functions import scalars
 from strataforge.operators import assets, tree
 from strataforge.operators import commands as c
 from strataforge.sources import files, sinks
+from strataforge.sources.shared import folder as _folder
 
 
 def _read(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the cluster's shared one, or, where none is named, in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def jsonl_round_trip(spark, d):
     """Documents as JSON lines in two writes, read with a schema that a broken line would fail."""
     path = _folder(spark, "jsonl")

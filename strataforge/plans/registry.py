@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assets, audits, curation, datasets, files, flows, reports, scenes
+from . import assets, audits, coordination, curation, datasets, files, flows, reports, scenes, structure
 
-QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES | assets.QUERIES | scenes.QUERIES | datasets.QUERIES | files.QUERIES
-ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL | assets.SQL | scenes.SQL | datasets.SQL | files.SQL
+QUERIES = reports.QUERIES | curation.QUERIES | flows.QUERIES | audits.QUERIES | assets.QUERIES | scenes.QUERIES | datasets.QUERIES | files.QUERIES | coordination.QUERIES | structure.QUERIES
+ORACLE_SQL = reports.SQL | curation.SQL | flows.SQL | audits.SQL | assets.SQL | scenes.SQL | datasets.SQL | files.SQL | coordination.SQL | structure.SQL

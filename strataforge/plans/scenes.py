@@ -6,22 +6,12 @@ first line of most orders also makes an event that listens and plays a sound.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.operators import commands as c
 from strataforge.operators import tree
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """A table in the cluster's shared folder, or, where none is named, in the warehouse."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from strataforge.sources.shared import saved as _saved
 
 
 def _lines(spark, d) -> DataFrame:
