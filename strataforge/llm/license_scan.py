@@ -80,7 +80,7 @@ PROSE = (
     "The new car came with a warranty of three years.", "Nobody had permission to enter the room.", "The film fell into the public domain long ago.", "The court will redistribute the land among the heirs.",
     "A fishing licence costs twelve pounds a year.", "The warranty does not cover the battery.", "He wrote a book on copyright and its history.", "Dogs are not permitted in the garden.",
 )
-#: Every notice above holds one of these; they are features of their own, too.
+#: Texts that hold one of these lend no ordinary lines to the training.
 WORDS = ("licens", "licenc", "copyright", "permission", "permitted", "redistribut", "warrant", "public domain", "rights reserved", "cc by", "cc0")
 #: Words that speak of licences in general.
 GENERAL = ("license", "licence", "licensed", "copyright", "permission", "permitted", "redistribute", "redistribution", "warranty", "warranties", "liable", "distribute", "distributed", "hereby", "granted")
@@ -167,6 +167,17 @@ def speaks_of_licences() -> Column:
     return found
 
 
+def _like_a_notice(lines: DataFrame) -> DataFrame:
+    """Of ``lines`` (``h``, ``paragraph``) those whose n-grams a notice holds by half, or that hold half of a notice's: they train as no class."""
+    notices = lines.sparkSession.createDataFrame([(i, t) for i, (_, t) in enumerate((*TEMPLATES, *OTHERS))], "t int, paragraph string")
+    of = _n_grams(notices, "t").distinct()
+    of = of.join(of.groupBy("t").agg(F.count("*").alias("size")), "t")
+    own = _n_grams(lines, "h").distinct()
+    sizes = own.groupBy("h").agg(F.count("*").alias("n_own"))
+    shared = own.join(F.broadcast(of), "gram").groupBy("h", "t", "size").agg(F.count("*").alias("n")).join(sizes, "h")
+    return shared.where((F.col("n") >= CONFIRM * F.col("size")) | (F.col("n") >= CONFIRM * F.col("n_own"))).select("h").distinct()
+
+
 def _gist(notice: str) -> str:
     """The general words of a notice, apart from each other, if there are three: what a notice of an unseen family has in common with it."""
     words = [w for w in dict.fromkeys(re.split(r"[\W_]+", notice.lower())) if w in GENERAL]
@@ -191,12 +202,15 @@ def training(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     share = min(1.0, 8 * PLAIN_ROWS / max(known.count(), 1))
     some = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))) & ~speaks_of_licences())
-    plain = _sample(paragraphs(some), PLAIN_ROWS).select(F.lit(NONE).alias("family"), F.lit(False).alias("apart"), "paragraph").distinct()
+    plain = materialize(_sample(paragraphs(some), PLAIN_ROWS).select(F.xxhash64("paragraph").alias("h"), "paragraph").distinct(), "plain-lines")
+    plain = plain.join(_like_a_notice(plain), "h", "left_anti").select(F.lit(NONE).alias("family"), F.lit(False).alias("apart"), "paragraph")
     both = variants.unionByName(plain).withColumn("row", F.xxhash64("family", "paragraph"))
     return both.select("row", "family", "paragraph", (F.col("apart") | (F.col("family") != UNKNOWN) & (F.pmod("row", F.lit(4)) == 0)).alias("held_out"))
 
 
 CLASSES = [*FAMILIES, UNKNOWN, NONE]
+#: Stands for an absent id in joins.
+NO_ID = -(2**63)
 
 
 def _model(vectors: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, list[float]]:
@@ -303,9 +317,10 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     and empty texts have no paragraphs; rows that repeat an id and a text count
     once.  Of classes with equal scores the first in ``CLASSES`` counts.
     """
-    all_docs, docs = docs, docs.where(speaks_of_licences())
     spark = docs.sparkSession
-    weights, intercepts, least = fit(all_docs)
+    # rows without an id are told apart by their texts
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    weights, intercepts, least = fit(docs)
     classes = list(intercepts)
     template = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(TEMPLATES)], "t int, family string, paragraph string")
     template = template.withColumn("words", F.size(F.split("paragraph", _WORD)))
@@ -340,7 +355,8 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "text_key").orderBy("place")
     unknown = unknown.withColumn("new", F.when(F.col("place") - F.lag("place").over(order) == 1, 0).otherwise(1)).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     unknown = unknown.groupBy("doc_id", "text_key", "part").agg(F.min("place").alias("place"), F.max("p").alias("p")).select("doc_id", "text_key", "place", F.lit(UNKNOWN).alias("family"), "p", F.lit(False).alias("confirmed"))
-    return lines.where("confirmed").select(*wrapped.columns).unionByName(unknown).unionByName(wrapped).withColumn("p", F.round("p", 6))
+    every = lines.where("confirmed").select(*wrapped.columns).unionByName(unknown).unionByName(wrapped)
+    return every.withColumn("p", F.round("p", 6)).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op8_licence_classifier(spark, sf_dir: str) -> DataFrame:

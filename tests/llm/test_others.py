@@ -196,6 +196,29 @@ def test_licences(spark):
     assert found == {1: ["mit"], 2: ["apache-2.0"], 3: ["gpl-3.0"], 4: ["cc-by-nc"], 5: ["reserved"], 9: ["mit"]}
 
 
+#: Notices without any of the words that licences mostly hold.
+WORDLESS = {
+    1: ("cc-by-sa", "CC-BY-SA 4.0"),
+    2: ("mit", "free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
+}
+
+
+def test_notices_without_licence_words(spark, tmp_path):
+    """Every line is classified, whatever words it holds; the query's columns count what the operator finds, for any row."""
+    rows = [(i, f"the end of the day\n{t}\nand the rest of it") for i, (_, t) in WORDLESS.items()]
+    rows += [(3, "Licensed under CC BY-NC 4.0.\nwords between\nLicensed under CC BY-NC 4.0."), (4, "All rights reserved."), (4, "All rights reserved."), (None, "All rights reserved."), (4, "plain words"), (5, None), (6, "")]
+    rows += [(7, "plain words of a day\n" * 100_000 + "All rights reserved.")]
+    plain = [(200 + i, t) for i, t in brute.corpus(5).items()]
+    df = spark.createDataFrame([*rows, *plain], "doc_id long, text string")
+    found = license_scan.licence_paragraphs(df).where("doc_id < 100 or doc_id is null").collect()
+    assert {r.doc_id: r.family for r in found if r.doc_id in WORDLESS and r.confirmed} == {i: f for i, (f, _) in WORDLESS.items()}
+    df.withColumn("families", F.lit(1)).withColumn("place", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = license_scan.op8_licence_classifier(spark, str(tmp_path)).where("doc_id < 100 or doc_id is null").collect()
+    text = {(i, f, n) for i, f, n in ((r.doc_id, r.families, r.n_confirmed) for r in got)}
+    assert text == {(1, "cc-by-sa", 1), (2, "mit", 1), (3, "cc-by-nc", 2), (4, "reserved", 1), (4, "", 0), (None, "reserved", 1), (5, "", 0), (6, "", 0), (7, "reserved", 1)}
+    assert sum(r.families == "reserved" and r.doc_id == 4 for r in got) == 2 and len(got) == len(rows)
+
+
 UNKNOWN_NOTICES = {
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
