@@ -115,31 +115,37 @@ def _n_grams(rows: DataFrame, *keys: str) -> DataFrame:
     return cut.select(*keys, F.explode_outer(gram).alias("gram")).where("gram is not null")
 
 
-def _line_grams(docs: DataFrame) -> DataFrame:
+def _line_grams(docs: DataFrame, words: list[str]) -> DataFrame:
     """``(doc_id, text_key, place, own, gram)``: n-grams of each line, and (not ``own``) those that run into it over line ends.
 
     The latter start in the line before, or, where that has one word, in the two before; a blank line ends them.
+    Of n-grams within a line only those are made whose every word is in ``words``,
+    which holds all words of the n-grams asked for (and ``^`` and ``$``): words
+    outside it cut a line into stretches, and stretches of one word hold no n-gram.
     """
-    strip = lambda x: F.split(F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), _WORD)
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), F.transform(F.split("text", "\n"), strip).alias("ws"))
-    tails = F.transform("ws", lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), 2))
-    rows = rows.select("doc_id", "text_key", "ws", tails.alias("tails"))
-    blank = F.array(F.array(F.lit("")))
-    line = F.arrays_zip("ws", F.concat(blank, F.col("tails")).alias("p1"), F.concat(blank, blank, F.col("tails")).alias("p2"))
-    rows = rows.select("doc_id", "text_key", F.posexplode(line).alias("place", "x")).where("x.ws is not null and x.ws[0] <> ''")
-    last = F.element_at("x.p2", -1)
-    before = F.when(F.size("x.p1") == 2, F.col("x.p1")).when(F.col("x.p1")[0] != "", F.array(F.when(last == "", "^").otherwise(last), F.col("x.p1")[0]))
-    rows = rows.select("doc_id", "text_key", "place", F.concat(F.array(F.lit("^")), "x.ws", F.array(F.lit("$"))).alias("w_"), before.alias("b"))
-    size = F.size("w_")
-    pair = lambda a, b: F.concat_ws(" ", a, b)
-    pairs = F.zip_with(F.slice("w_", F.lit(1), size - 1), F.slice("w_", F.lit(2), size - 1), pair)
-    rows = rows.withColumn("pairs", pairs)
-    triples = F.zip_with(F.slice("pairs", F.lit(1), size - 2), F.slice("w_", F.lit(3), size - 2), pair)
-    b, w = F.col("b"), F.col("w_")
+    from pyspark.ml.feature import NGram
+
+    lines = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " "), "\n")
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), lines.alias("line"))
+    none = F.array(F.lit(""))
+    rows = rows.select("doc_id", "text_key", F.posexplode(F.arrays_zip("line", F.concat(none, "line").alias("p1"), F.concat(none, none, "line").alias("p2"))).alias("place", "x"))
+    rows = rows.select("doc_id", "text_key", "place", *(F.trim(f"x.{c}").alias(c) for c in ("line", "p1", "p2"))).where("line <> ''")
+    tail = F.split(F.substring_index("p1", " ", -2), " ")
+    before = F.when(F.size(tail) == 2, tail).when(F.col("p1") != "", F.array(F.when(F.col("p2") == "", "^").otherwise(F.substring_index("p2", " ", -1)), F.col("p1")))
+    rows = rows.select("doc_id", "text_key", "place", F.split(F.concat(F.lit("^ "), "line", F.lit(" $")), " ").alias("w_"), before.alias("b"))
+    w, b = F.col("w_"), F.col("b")
+    known = F.transform(w, lambda x: F.when(x.isin(*words), x).otherwise(""))
+    stretches = F.filter(F.split(F.concat_ws(" ", known), "  +"), lambda x: F.contains(F.trim(x), F.lit(" ")))
+    pair = lambda x, y: F.concat_ws(" ", x, y)
     over = F.when(b.isNotNull(), F.array(pair(b[1], w[1]), F.concat_ws(" ", b[0], b[1], w[1]), F.concat_ws(" ", b[1], w[1], w[2]))).otherwise(F.array().cast("array<string>"))
-    general = _general("w_")
-    rows = rows.select("doc_id", "text_key", "place", (2 * size - 3 + F.size(general)).alias("n_own"), F.posexplode(F.concat("pairs", triples, general, over)).alias("at", "gram"))
-    return rows.select("doc_id", "text_key", "place", (F.col("at") < F.col("n_own")).alias("own"), "gram")
+    general = F.array_intersect("w_", F.array(*(F.lit(x) for x in GENERAL)))
+    tagged = lambda tag, pieces: F.transform(pieces, lambda x: F.concat(F.lit(tag), x))
+    rows = rows.select("doc_id", "text_key", "place", F.explode(F.concat(tagged("=", stretches), tagged("=", general), tagged("+", over))).alias("piece"))
+    rows = rows.select("doc_id", "text_key", "place", F.startswith("piece", F.lit("=")).alias("own"), F.trim(F.substring("piece", 2, 1 << 30)).alias("piece"))
+    rows = rows.withColumn("v_", F.split("piece", " "))
+    rows = NGram(n=3, inputCol="v_", outputCol="triples").transform(NGram(n=2, inputCol="v_", outputCol="pairs").transform(rows))
+    grams = F.when(F.col("own") & F.contains("piece", F.lit(" ")), F.concat("pairs", "triples")).otherwise(F.array("piece"))
+    return rows.select("doc_id", "text_key", "place", "own", F.explode(grams).alias("gram"))
 
 
 def _sample(lines: DataFrame, most: int) -> DataFrame:
@@ -330,7 +336,8 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     lookup = held.join(sizes, "t").groupBy("gram").agg(F.collect_list(F.struct("t", "family", "size")).alias("held")).join(weights, "gram", "full")
     lookup = materialize(lookup, "licence-weights")
     keys = ["doc_id", "text_key", "place"]
-    known = materialize(_line_grams(docs).join(F.broadcast(lookup.select("gram")), "gram").distinct(), "licence-grams")
+    words = sorted({"^", "$"} | {w for r in lookup.select("gram").collect() for w in r["gram"].split(" ")})
+    known = materialize(_line_grams(docs, words).join(F.broadcast(lookup.select("gram")), "gram").distinct(), "licence-grams")
     hit = known.join(F.broadcast(lookup), "gram")
     scored = _scored(hit.where("own"), list(intercepts.values()), classes, keys).where(F.col("best") != NONE)
     shared = hit.select(*keys, "own", F.explode("held").alias("h")).groupBy(*keys, "h.t", "h.family", "h.size").agg(F.count("*").alias("n"), F.count_if("own").alias("n_own"))
