@@ -43,10 +43,12 @@ def interpolated(text: Column, values: Column) -> Column:
 
 
 def first_json(text: Column) -> Column:
-    """The JSON object in a reply: the whole text, else a fenced block, else what stands between the outer braces."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(*(F.when(F.try_parse_json(c).isNotNull() & F.startswith(F.trim(c), F.lit("{")), F.trim(c)) for c in (text, fenced, outer)))
+    """The first JSON object of a reply, from its first brace to the brace that closes it, with sorted keys; null where none begins there.
+
+    Fences and words around it, and whatever follows it, do not count: a parser
+    of VARIANT stops after the first value.
+    """
+    return F.to_json(F.try_parse_json(F.when(F.instr(text, "{") > 0, F.substring(text, F.instr(text, "{"), F.length(text)))))
 
 
 def category(text: Column, rules: list[tuple[str, str]], other: str = "other") -> Column:

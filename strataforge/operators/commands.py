@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataforge.functions.canonical import strict_variant
 from strataforge.functions.scalars import folded_name
 from strataforge.operators import tree
 
@@ -31,7 +32,7 @@ CREATORS, DEPENDENTS = ("SHOW_IMAGE", "SHOW_TEXT"), ("MOVE_TO", "UPDATE_TEXT", "
 
 def scene_levels(scenes: DataFrame, path: str, json: str) -> DataFrame:
     """Levels of scene documents: ``level_key`` (path::index::id), name, its commands and events as JSON, and its resources."""
-    rows = scenes.select(F.col(path).alias("scene_path"), F.posexplode(F.expr(f"try_variant_get(try_parse_json({json}), '$.levels', 'array<variant>')")).alias("level_index", "level"))
+    rows = scenes.select(F.col(path).alias("scene_path"), F.posexplode(F.try_variant_get(strict_variant(F.col(json)), "$.levels", "array<variant>")).alias("level_index", "level"))
     text = lambda p: F.expr(f"try_variant_get(level, '{p}', 'string')")
     return rows.select(
         "scene_path", "level_index", F.concat_ws("::", "scene_path", F.col("level_index").cast("string"), text("$.id")).alias("level_key"), text("$.name").alias("level_name"),
@@ -203,10 +204,10 @@ def command_errors(commands: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors).where(F.size("errors") > 0).select("command_key", "level_key", "type", "errors")
 
 
-def missing_elements(commands: DataFrame) -> DataFrame:
-    """Commands that use an element which no command of their level makes."""
-    made = commands.where(F.col("type").isin(*CREATORS)).select("level_key", _text("elementId").alias("element")).distinct()
-    used = commands.where(F.col("type").isin(*DEPENDENTS)).select("level_key", "command_key", _text("elementId").alias("element"))
+def missing_elements(commands: DataFrame, creators: tuple = CREATORS, dependents: tuple = DEPENDENTS) -> DataFrame:
+    """Commands that use an element which no command of their level makes, by the types of a contract."""
+    made = commands.where(F.col("type").isin(*creators)).select("level_key", _text("elementId").alias("element")).distinct()
+    used = commands.where(F.col("type").isin(*dependents)).select("level_key", "command_key", _text("elementId").alias("element"))
     return used.join(made, ["level_key", "element"], "left_anti").select("command_key", "element")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def first_by_two_keys(rows: DataFrame, order: str, first: str, second: str, save
     """
     key = lambda c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string"))
     left = save(rows.select(order, key(first).alias("k1"), key(second).alias("k2")))
-    decided = None
+    rounds: list[DataFrame] = []
     while not left.isEmpty():
         low = lambda k: left.where(f"{k} is not null").groupBy(k).agg(F.min(order).alias(f"low_{k}"))
         seen = left.join(low("k1"), "k1", "left").join(low("k2"), "k2", "left")
@@ -111,30 +112,61 @@ def first_by_two_keys(rows: DataFrame, order: str, first: str, second: str, save
         rest = seen.where("not accepted")
         gone = lambda k: taken.where(f"{k} is not null").select(F.col(k), F.lit(True).alias(f"gone_{k}"))
         rest = save(rest.join(gone("k1"), "k1", "left").join(gone("k2"), "k2", "left").select(order, "k1", "k2", (F.col("gone_k1").isNotNull() | F.col("gone_k2").isNotNull()).alias("out")))
-        new = taken.select(order, "accepted").unionByName(rest.where("out").select(order, F.lit(False).alias("accepted")))
-        decided = save(new if decided is None else decided.unionByName(new))
+        rounds += [taken.select(order, "accepted"), rest.where("out").select(order, F.lit(False).alias("accepted"))]
         left = save(rest.where("not out").select(order, "k1", "k2"))
-    return rows.join(decided, order, "left") if decided is not None else rows.withColumn("accepted", F.lit(True))
+    if not rounds:
+        return rows.withColumn("accepted", F.lit(True))
+    decided = rounds[0]
+    for one in rounds[1:]:
+        decided = decided.unionByName(one)
+    return rows.join(decided, order, "left")
+
+
+def _fold(batches):
+    """One value for each key of sorted rows, folded as they come; a task holds one number."""
+    key, x, any_row, out = None, 0.0, False, []
+    for batch in batches:
+        for k, op, v in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+            if not any_row or k != key:
+                if any_row:
+                    out.append((key, x))
+                key, x, any_row = k, 1.0 if op in ("mul", "div") else 0.0, True
+            if op == "set":
+                x = v
+            elif op == "add":
+                x += v
+            elif op == "sub":
+                x -= v
+            elif op == "mul":
+                x *= v
+            elif op == "div" and v != 0:
+                x /= v
+        yield _values_of(out, batch)
+        out = []
+    if any_row:
+        yield _values_of([(key, x)], batch)
+
+
+def _values_of(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], batch.schema.field(0).type), pa.array([x for _, x in rows], pa.float64())], names=[batch.schema.names[0], "value"])
 
 
 def fold_operations(rows: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:
     """The number that each key holds after its ``set``, ``add``, ``sub``, ``mul`` and ``div`` operations, in their order.
 
     A key starts at 1 if its first operation multiplies or divides, at 0
-    otherwise; a division by zero changes nothing.  Each operation is ``x -> a x
-    + b``; what follows the last one with ``a = 0`` is ``(x + sum of b_i / a_1..i) a_1..n``,
-    so that the fold is sums and products over a window.  Values are doubles.
+    otherwise; a division by zero changes nothing, and neither does an unknown
+    operation; a null value counts as 0.  Rows of one place are taken by
+    operation and value.  The operations are doubles, one after the other, as
+    sums and products would round differently.  What lies before the last
+    ``set`` of a key is dropped first, so that keys which are set now and then stay short.
     """
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    a = F.when(F.col(op) == "set", 0.0).when(F.col(op) == "mul", v).when((F.col(op) == "div") & (v != 0), 1 / v).otherwise(1.0)
-    b = F.when(F.col(op).isin("set", "add"), v).when(F.col(op) == "sub", -v).otherwise(0.0)
-    by = Window.partitionBy(key).orderBy(order)
-    rows = rows.select(key, order, op, a.alias("a"), b.alias("b")).withColumn("era", F.count(F.when(F.col("a") == 0, 1)).over(by))
-    inside = Window.partitionBy(key, "era").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("p", F.product(F.when(F.col("a") == 0, 1.0).otherwise(F.col("a"))).over(inside)).withColumn("last", F.max("era").over(Window.partitionBy(key)))
-    start = F.when((F.col("last") == 0) & F.min_by(op, order).isin("mul", "div"), 1.0).otherwise(0.0)
-    done = rows.where("era = last").groupBy(key, "last").agg(((start + F.sum(F.col("b") / F.col("p"))) * F.max_by("p", order)).alias("value"))
-    return done.select(key, "value")
+    rows = rows.select(F.col(key), F.col(op).alias("op_"), v.alias("v_"), F.col(order).alias("at_"))
+    since = rows.where("op_ = 'set'").groupBy(F.col(key).alias("k_")).agg(F.max("at_").alias("since_"))
+    rows = rows.join(since, F.col(key).eqNullSafe(F.col("k_")), "left").where("since_ is null or at_ >= since_").select(key, "op_", "v_", "at_")
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "at_", "op_", "v_").select(key, "op_", "v_").mapInArrow(_fold, f"`{key}` {kind}, value double")
 
 
 def repeated(rows: DataFrame, times: Column, most: int = 100_000) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stretches of a group at most.
-STRETCHES = 256
+STRETCHES = 64
 
 
 def nearest(n: Column, q: float) -> Column:
@@ -56,7 +56,6 @@ def order_statistics(df: DataFrame, group: list[str], value: str, wanted: dict[s
     cuts = counts.groupBy(*group).agg(F.sum("c_").alias("n"), F.array_distinct(F.percentile_approx("v_", F.array(*steps), F.lit(stretches * 40))).alias("cuts_"))
     theirs = cuts.select(*(F.col(g).alias(f"g_{g}") for g in group), "n", "cuts_")
     joined = counts.join(theirs, [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in group] or F.lit(True)).select(*group, "v_", "c_", "n", "cuts_")
-    # the number of cuts below a value, by halving the cuts' range
     placed = joined.withColumn("s_", F.size(F.filter("cuts_", lambda x: x < F.col("v_")))).drop("cuts_")
     sums = placed.groupBy(*group, "s_").agg(F.sum("c_").alias("in_"), F.first("n").alias("n"))
     # at most ``stretches`` rows a group

@@ -57,11 +57,11 @@ def two_key_dedup(spark, d):
 
 
 def kv_operations(spark, d):
-    """Five operations by event type, with values whose products are exact."""
+    """Five operations by event type; products sink below the smallest numbers."""
     op = F.element_at(F.create_map(*(F.lit(x) for x in ("signup", "set", "purchase", "add", "click", "mul", "view", "sub", "error", "div"))), F.col("event_type"))
-    number = F.when(F.col("event_type") == "click", F.when(F.col("event_id") % 2 == 0, 2.0).otherwise(0.5)).when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(2.0)).otherwise((F.col("event_id") % 8).cast("double"))
+    number = F.when(F.col("event_type") == "click", F.when(F.col("event_id") % 2 == 0, 1e-200).otherwise(0.3)).when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(2.0)).otherwise((F.col("event_id") % 8).cast("double"))
     rows = _read(spark, d, "events").select("user_id", "event_id", F.coalesce(op, F.lit("none")).alias("op"), number.alias("number"))
-    return ds.fold_operations(rows, "user_id", "event_id", "op", "number").select("user_id", F.round("value", 6).alias("value"))
+    return ds.fold_operations(rows, "user_id", "event_id", "op", "number")
 
 
 def loop_rounds(spark, d):
@@ -110,10 +110,10 @@ SQL = {
         r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, false AS accepted, []::VARCHAR[] AS sa, []::VARCHAR[] AS sb
           UNION ALL SELECT t.i, t.doc_id, NOT (list_contains(sa, a) OR list_contains(sb, b)), CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN sa ELSE list_append(sa, a) END, CASE WHEN list_contains(sa, a) OR list_contains(sb, b) THEN sb ELSE list_append(sb, b) END FROM r JOIN t ON t.i = r.i + 1)
         SELECT doc_id, accepted FROM r WHERE i > 0""",
-    "kv_operations": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type AS t, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 2.0 ELSE 0.5 END WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 2.0 END ELSE event_id % 8 END::DOUBLE AS v FROM events),
+    "kv_operations": """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type AS t, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 1e-200 ELSE 0.3::DOUBLE END WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 2.0 END ELSE event_id % 8 END::DOUBLE AS v FROM events),
         r AS (SELECT user_id, 0::BIGINT AS i, CASE WHEN t IN ('click', 'error') THEN 1.0 ELSE 0.0 END::DOUBLE AS x FROM e WHERE i = 1
           UNION ALL SELECT r.user_id, e.i, CASE e.t WHEN 'signup' THEN v WHEN 'purchase' THEN x + v WHEN 'view' THEN x - v WHEN 'click' THEN x * v WHEN 'error' THEN CASE WHEN v = 0 THEN x ELSE x / v END ELSE x END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
-        SELECT user_id, round(arg_max(x, i), 6) AS value FROM r GROUP BY 1""",
+        SELECT user_id, arg_max(x, i) AS value FROM r GROUP BY 1""",
     "loop_rounds": "SELECT p_partkey, unnest(range(0, p_size % 4))::INT AS round FROM part",
     "expression_values": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey * (l_linenumber - 3) - 1)::VARCHAR AS value FROM lineitem",
     "payload_arguments": """SELECT n_nationkey, '1,true,"x y",' || n_regionkey || ',null,-2.50,"' || n_name || '"' AS args FROM nation""",

@@ -33,9 +33,9 @@ def jsonl_absent(spark, d):
 
 
 def jsonl_broken_lines(spark, d):
-    """Lines by whether they are JSON: names of some nations are written without their closing quote, blank lines between."""
+    """Lines by whether they are JSON: names of some nations are written without their closing quote, or with a second value behind, blank lines between."""
     path = _folder(spark, "lines")
-    line = F.concat(F.lit('{"n": "'), "n_name", F.when(F.col("n_nationkey") % 4 == 0, "").otherwise('"}'), F.when(F.col("n_nationkey") % 3 == 0, "\n  ").otherwise(""))
+    line = F.concat(F.lit('{"n": "'), "n_name", F.when(F.col("n_nationkey") % 4 == 0, "").when(F.col("n_nationkey") % 5 == 0, '"} {"n": 1}').when(F.col("n_nationkey") % 7 == 0, '"} junk').otherwise('"}'), F.when(F.col("n_nationkey") % 3 == 0, "\n  ").otherwise(""))
     _read(spark, d, "nation").select(line.alias("value")).coalesce(1).write.text(path)
     return files.line_counts(files.jsonl_lines(spark, path)).select("n_valid", "n_invalid")
 
@@ -43,7 +43,7 @@ def jsonl_broken_lines(spark, d):
 def torn_tails(spark, d):
     """Files of lines whose last one may be cut short: that one goes, broken lines before it stay."""
     orders = _read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))).alias("x"))
-    line = lambda s: F.concat(F.lit('{"p":'), s["l_partkey"].cast("string"), F.when(s["l_returnflag"] == "R", "").otherwise("}"))
+    line = lambda s: F.concat(F.lit('{"p":'), s["l_partkey"].cast("string"), F.when(s["l_returnflag"] == "R", "").when((s["l_returnflag"] == "A") & (s["l_quantity"] > 40), '}{"p":1}').otherwise("}"))
     text = orders.select(F.col("l_orderkey").alias("file"), F.array_join(F.transform("x", line), "\n").alias("text"))
     kept = files.without_torn_tail(files.numbered_lines(text, "file", "text"), "line")
     return kept.groupBy("file").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"))
@@ -164,8 +164,8 @@ QUERIES = {f.__name__: f for f in (jsonl_round_trip, jsonl_absent, jsonl_broken_
 SQL = {
     "jsonl_round_trip": "SELECT doc_id, lang, sha256(text) AS text_sha256 FROM documents",
     "jsonl_absent": "SELECT n_nationkey::INT AS n_nationkey, n_name FROM nation",
-    "jsonl_broken_lines": "SELECT count(*) FILTER (n_nationkey % 4 <> 0) AS n_valid, count(*) FILTER (n_nationkey % 4 = 0) AS n_invalid FROM nation",
-    "torn_tails": """WITH o AS (SELECT l_orderkey, l_returnflag = 'R' AS bad, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_returnflag DESC) AS back FROM lineitem)
+    "jsonl_broken_lines": "SELECT count(*) FILTER (n_nationkey % 4 <> 0 AND n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0) AS n_valid, count(*) FILTER (n_nationkey % 4 = 0 OR n_nationkey % 5 = 0 OR n_nationkey % 7 = 0) AS n_invalid FROM nation",
+    "torn_tails": """WITH o AS (SELECT l_orderkey, l_returnflag = 'R' OR l_returnflag = 'A' AND l_quantity > 40 AS bad, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_returnflag DESC) AS back FROM lineitem)
         SELECT l_orderkey AS file, count(*) AS n, count(*) FILTER (NOT bad) AS n_valid FROM o WHERE NOT (bad AND back = 1) GROUP BY 1""",
     "tsv_round_trip": "SELECT n_nationkey::INT AS n_nationkey, trim(replace(n_name, 'A', ' ')) AS n_name FROM nation",
     "csv_round_trip": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, s_nationkey::INT AS s_nationkey FROM supplier",

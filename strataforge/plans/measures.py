@@ -77,7 +77,6 @@ def single_commands(spark, d):
 
 QUERIES = {f.__name__: f for f in (percentile_definitions, repair_judge_summary, load_test_summary, resembling_passages, script_blocks, tree_fragments, single_commands)}
 
-_SORTED = "list_sort(list(score))"
 SQL = {
     "percentile_definitions": """WITH s AS (SELECT lang, list_sort(list((CASE WHEN doc_id % 3 = 0 THEN 200 ELSE n_chars END)::DOUBLE)) AS v, count(*) AS n FROM documents GROUP BY 1)
         SELECT lang, n, v[ceil(n * 0.95::DOUBLE)::BIGINT] AS p95_nearest, v[ceil(n * 0.99::DOUBLE)::BIGINT] AS p99_nearest, v[round_even((n - 1) * 0.1::DOUBLE, 0)::BIGINT + 1] AS p10_even, v[round_even((n - 1) * 0.5::DOUBLE, 0)::BIGINT + 1] AS p50_even,

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strataforge.functions.canonical import is_json, strict_variant
+
 
 def jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, missing_ok: bool = False) -> DataFrame:
     """Records of JSON lines; a broken line fails the read; a missing path may count as empty."""
@@ -15,9 +17,9 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str,
 
 
 def jsonl_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Every non-blank line with its file, whether it is JSON, and its value (null if not)."""
+    """Every non-blank line with its file, whether it is exactly one JSON value, and its value (null if not, and if a key repeats)."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where("trim(line) <> ''")
-    return lines.withColumn("record", F.expr("try_parse_json(line)")).withColumn("valid", F.col("record").isNotNull())
+    return lines.withColumn("valid", is_json(F.col("line"))).withColumn("record", F.when(F.col("valid"), F.try_parse_json("line")))
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def without_torn_tail(lines: DataFrame, order: str) -> DataFrame:
 def numbered_lines(text: DataFrame, file: str, column: str) -> DataFrame:
     """``(file, line, record, valid)`` of the non-blank lines of whole files."""
     lines = text.select(F.col(file).alias("file"), F.posexplode(F.split(column, "\n")).alias("line", "raw")).where("trim(raw) <> ''")
-    return lines.withColumn("record", F.try_parse_json("raw")).withColumn("valid", F.col("record").isNotNull()).select("file", "line", "record", "valid")
+    return lines.withColumn("valid", is_json(F.col("raw"))).withColumn("record", F.when(F.col("valid"), F.try_parse_json("raw"))).select("file", "line", "record", "valid")
 
 
 def env_rows(text: DataFrame, file: str, column: str) -> DataFrame:
@@ -47,14 +49,14 @@ def env_rows(text: DataFrame, file: str, column: str) -> DataFrame:
 
 def settings_or_null(text: DataFrame, file: str, column: str) -> DataFrame:
     """``(file, settings)``: a configuration document each, null where it is no JSON object."""
-    v = F.try_parse_json(column)
+    v = strict_variant(F.col(column))
     return text.select(F.col(file).alias("file"), F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), v).alias("settings"))
 
 
 def documents(spark: SparkSession, path: str, suffix: str = "*.json") -> DataFrame:
     """Whole JSON files below a folder; files that don't parse are rows with a null record."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", suffix).text(path)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.expr("try_parse_json(value)").alias("record"))
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), strict_variant(F.col("value")).alias("record"))
 
 
 def code_statistics(spark: SparkSession, path: str, suffix: str) -> DataFrame:
