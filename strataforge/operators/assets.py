@@ -43,12 +43,18 @@ def interpolated(text: Column, values: Column) -> Column:
 
 
 def first_json(text: Column) -> Column:
-    """The first JSON object of a reply, from its first brace to the brace that closes it, with sorted keys; null where none begins there.
+    """The first JSON object of a reply, from its first brace to the brace that closes it; null where none begins there.
 
     Fences and words around it, and whatever follows it, do not count: a parser
-    of VARIANT stops after the first value.
+    of VARIANT stops after the first value.  The value has as many closing braces
+    as its text, so that brace is found by their number; only a text that
+    escapes braces is given anew, with sorted keys.
     """
-    return F.to_json(F.try_parse_json(F.when(F.instr(text, "{") > 0, F.substring(text, F.instr(text, "{"), F.length(text)))))
+    rest = F.when(F.instr(text, "{") > 0, F.substring(text, F.instr(text, "{"), F.length(text)))
+    value = F.to_json(F.try_parse_json(rest))
+    braces = F.length(value) - F.length(F.replace(value, F.lit("}")))
+    found = F.concat(F.call_function("substring_index", rest, F.lit("}"), braces), F.lit("}"))
+    return F.when(value.isNotNull(), F.when(F.contains(F.lower(rest), F.lit("\\u007d")), value).otherwise(found))
 
 
 def category(text: Column, rules: list[tuple[str, str]], other: str = "other") -> Column:
