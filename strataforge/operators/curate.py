@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +113,8 @@ def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return todo.join(done.select(*keys), keys, "left_anti")
 
 
-#: Keys that may be broadcast.
-BROADCAST_KEYS = 2_000_000
+#: Keys that may be broadcast, and items of fewer than three tokens in one pass over the texts, about.
+BROADCAST_KEYS, SHORT_ITEMS = 2_000_000, 2_000
 
 
 def shared_word_grams(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str, size: int) -> DataFrame:
@@ -154,7 +156,13 @@ def whole_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, te
     sizes = sorted(r["n"] for r in keys.select("n").distinct().collect())
     short = cut.where(F.size("w") <= 2).select("item", "item_text")
     held = F.contains(F.col(text), F.col("item_text"))
-    found = docs.select(doc_id, text).crossJoin(F.broadcast(short)).where(held).select(doc_id, F.col("item").alias(item_id))
+    # items without such a run are looked for in every text, a block of them at a time; blocks bound what is broadcast
+    blocks = max(1, math.ceil(short.count() / SHORT_ITEMS))
+    found = None
+    for b in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        one = docs.select(doc_id, text).crossJoin(F.broadcast(some)).where(held).select(doc_id, F.col("item").alias(item_id))
+        found = one if found is None else found.unionByName(one)
     if not sizes:
         return found
     grams = tokens(docs.select(doc_id, text)).select(F.col(doc_id).alias("doc"), F.explode(F.concat(*(F.expr(runs("w", n)) for n in sizes))).alias("key"))
