@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +45,13 @@ def markdown(report: DataFrame, order: list[str], most: int = 10_000) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text as a file, by way of a second name, so that readers never see half of it."""
+    """A small text as a file, by way of a second name that takes the place of the first in one step: readers find the old text or the new one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    end, half = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    store = end.getFileSystem(conf)
-    out = store.create(half, True)
+    end, half = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = half.getFileSystem(conf).create(half, True)
     out.write(bytearray(text.encode()))
     out.close()
-    store.delete(end, False)
-    store.rename(half, end)
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(half.getFileSystem(conf).getUri(), conf)
+    files.rename(half, end, over)

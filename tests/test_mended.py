@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from strataforge.operators import assets
 from strataforge.operators import commands as c
 from strataforge.operators import datasets as ds
-from strataforge.operators import tree
-from strataforge.sources import files
+from strataforge.operators import ledgers, tree
+from strataforge.sources import files, sinks
+from strataforge.sources.shared import saved
 
 
 def plain_fold(rows):
@@ -55,3 +57,34 @@ def test_lines_with_more_than_one_value(spark):
     scenes = spark.createDataFrame([("s1", scene), ("s2", scene + " junk"), ("s3", scene + scene)], "path string, doc string")
     assert [r.scene_path for r in c.scene_levels(scenes, "path", "doc").collect()] == ["s1"]
     assert sorted(r.path for r in tree.broken(scenes, "path", "doc").collect()) == ["s2", "s3"]
+
+
+def test_text_is_replaced_in_one_step(spark, tmp_path):
+    path = f"{tmp_path}/notes/report.json"
+    for text in ("one", "two é", ""):
+        sinks.write_text(spark, path, text)
+        assert (tmp_path / "notes" / "report.json").read_text() == text
+    assert [p.name for p in (tmp_path / "notes").iterdir() if not p.name.startswith(".")] == ["report.json"]
+
+
+def test_ledgers(spark):
+    base = spark.createDataFrame([("a", 5, "x"), ("b", 9, "y"), ("b", 3, "z")], "k string, at int, v string")
+    later = spark.createDataFrame([("b", 1, "w"), ("c", 7, None)], "k string, at int, v string")
+    got = ledgers.merged_ledger(base, later, "k", "at").orderBy("rank_of", "first_place").collect()
+    assert [tuple(r) for r in got] == [("b", 0, 3, "w"), ("a", 0, 5, "x"), ("c", 1, 7, None)]
+    log = spark.createDataFrame([("a", 1, "pass"), ("a", 2, "clear"), ("b", 1, "clear"), ("b", 2, "fail")], "k string, at int, v string")
+    assert [tuple(r) for r in ledgers.current_verdicts(log, "k", "at", "v").collect()] == [("b", "fail", 2)]
+
+
+def test_examples_of_levels(spark):
+    """Three consumers in the order of emission, each once; listeners fill up; the rest is derived in turn."""
+    emit = lambda *s: [{"id": f"e{x}", "type": "EMIT_SIGNAL", "parameters": {"signal": x}} for x in s]
+    event = lambda name, hears, *s: {"id": name, "triggers": [{"type": "custom", "target": h} for h in hears], "commands": emit(*s)}
+    many = {"commands": [{"type": "IF_CONDITION", "parameters": {"trueCommands": emit("p")}}, *emit("q", "p")], "events": [event("v0", "q", "r"), event("v1", "pq"), event("v2", "r"), event("v3", "p"), event("v4", "z")]}
+    few = {"commands": [], "events": [event("u0", "s", "t"), event("u1", "t"), event("u2", "", "s")]}
+    rows = spark.createDataFrame([(1, json.dumps(many)), (2, json.dumps(few)), (3, json.dumps({"commands": emit("p"), "events": []})), (4, "no")], "k int, t string")
+    got = sorted((r.k, r.number, r.pattern[:3], r.producer, r.signal, r.consumer) for r in ledgers.coordination_examples(rows, "k", "t", saved).collect())
+    assert got == [
+        (1, 1, "sig", "main", "p", "v1"), (1, 2, "sig", "main", "p", "v3"), (1, 3, "sig", "main", "q", "v0"), (1, 4, "der", None, None, "v0"), (1, 5, "der", None, None, "v1"), (1, 6, "der", None, None, "v2"),
+        (2, 1, "sig", "event", "t", "u1"), (2, 2, "sig", "event", "s", "u0"), (2, 3, "der", None, None, "u0"), (2, 4, "der", None, None, "u1"), (2, 5, "der", None, None, "u0"),
+    ]
