@@ -97,8 +97,8 @@ class Rollup:
 
     def _written(self, rows: DataFrame, kind: str) -> str:
         path = f"{self.folder}/{kind}/{uuid.uuid4().hex}"
-        # a row per source, language and tokenizer version
-        rows.coalesce(1).write.parquet(path)
+        # a row per source, language and tokenizer version; Spark merges small partitions, and many sources stay apart
+        rows.write.parquet(path)
         return path
 
     def _read(self, path: str | None) -> DataFrame:
