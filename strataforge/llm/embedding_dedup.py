@@ -112,9 +112,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, guard: float | Non
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.coalesce(F.expr("size(vector) > 0 and forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('Infinity')) and exists(vector, v -> v <> 0)"), F.lit(False))
-    rows = materialize(rows.withColumn("fine", fine).withColumn("key", F.when(F.col("fine"), F.sha1(F.to_json("vector")))), "vectors")
+    rows = materialize(rows.withColumn("fine", fine).withColumn("key", F.when(F.col("fine") & F.col("vec_id").isNotNull(), F.sha1(F.to_json("vector")))), "vectors")
     distinct = rows.where("fine and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     distinct = materialize(distinct, "distinct-vectors")
+    # where unlike vectors share an id, they are numbered in the order of their ids
+    shared = not distinct.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if shared:
+        distinct = materialize(distinct.orderBy("rep", "key").select("key", F.monotonically_increasing_id().alias("rep"), "copies", "vector", F.col("rep").alias("low")), "numbered-vectors")
     total = distinct.count()
     found = None
     for (width,) in distinct.select(F.size("vector").alias("w")).distinct().collect():
@@ -127,7 +131,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, guard: float | Non
     labels = components(found.where("b is not null"), "a", "b")
     numbers = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     reps = distinct.select("key", "rep", "copies").join(numbers, F.col("rep") == F.col("node"), "left").drop("node").join(labels, F.col("rep") == F.col("node"), "left")
-    reps = materialize(reps.select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "vector-classes")
+    reps = reps.select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    if shared:
+        names = distinct.select(F.col("rep").alias("component_id"), "low")
+        reps = reps.join(names, "component_id").select("key", "rep", "n_links", F.col("low").alias("component_id"))
+    reps = materialize(reps, "vector-classes")
     out = rows.join(reps, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
