@@ -45,14 +45,8 @@ def _event_name(event: str) -> Column:
 
 
 def level_commands(levels: DataFrame) -> DataFrame:
-    """All commands of levels, those of events in streams ``event/<id>`` (or name); ``context`` is main, event or nested."""
-    main = tree.index_commands(levels, "level_key", "level_json")
-    events = levels.select("level_key", F.explode(F.expr("try_variant_get(try_parse_json(level_json), '$.events', 'array<variant>')")).alias("e"))
-    events = events.select(F.concat_ws("\x1f", "level_key", _event_name("e")).alias("both"), F.expr("to_json(e)").alias("event_json"))
-    inside = tree.index_commands(events, "both", "event_json")
-    split = F.split("tree_key", "\x1f")
-    inside = inside.withColumn("stream_key", F.concat(F.lit("event/"), split[1], F.substring("stream_key", 5, 1 << 20))).withColumn("event", split[1]).withColumn("tree_key", split[0])
-    both = main.withColumn("event", F.lit(None).cast("string")).unionByName(inside)
+    """All commands of levels, those of events in streams ``event/<id>`` (or name, or place); ``context`` is main, event or nested."""
+    both = tree.index_level_commands(levels, "level_key", "level_json")
     context = F.when(F.col("depth") > 0, "nested").when(F.col("event").isNotNull(), "event").otherwise("main")
     key = F.concat_ws("::", "tree_key", "stream_key", F.col("ordinal").cast("string"))
     return both.withColumn("type", folded_name(F.col("type"))).withColumn("context", context).withColumn("command_key", key).withColumnRenamed("tree_key", "level_key")

@@ -69,13 +69,19 @@ def unchanged(before: DataFrame, after: DataFrame, key: str, json: str, allowed:
 
     Texts that are no JSON are compared as they stand.
     """
-    print_of = F.coalesce(canonical_hash(F.col(json)), F.sha2(F.coalesce(json, F.lit("")), 256))
-    a = before.select(key, print_of.alias("a"))
-    b = after.select(key, print_of.alias("b"))
+    return _compared(before, after, key, json, allowed).select(key, "state")
+
+
+def _compared(before: DataFrame, after: DataFrame, key: str, json: str, allowed: DataFrame) -> DataFrame:
+    """:func:`unchanged` with both texts, ``a_`` and ``b_``; only texts that differ are parsed."""
+    a = before.select(key, F.col(json).alias("a_"), F.lit(True).alias("in_a"))
+    b = after.select(key, F.col(json).alias("b_"), F.lit(True).alias("in_b"))
     may = allowed.select(key).distinct().withColumn("may", F.lit(True))
-    rows = a.join(b, key, "full").join(may, key, "left")
-    state = F.when(F.col("b").isNull(), "lost").when(F.col("a").isNull(), "new").when(F.col("a") == F.col("b"), "same").when(F.col("may"), "repaired").otherwise("changed")
-    return rows.select(key, state.alias("state"))
+    rows = a.join(b, key, "full").join(may, key, "left").withColumn("differ", ~F.col("a_").eqNullSafe(F.col("b_")))
+    print_of = lambda text: F.coalesce(canonical_hash(F.when(F.col("differ"), F.col(text))), F.sha2(F.coalesce(text, F.lit("")), 256))
+    same = ~F.col("differ") | (print_of("a_") == print_of("b_"))
+    state = F.when(F.col("in_b").isNull(), "lost").when(F.col("in_a").isNull(), "new").when(same, "same").when(F.col("may"), "repaired").otherwise("changed")
+    return rows.select(key, state.alias("state"), "a_", "b_")
 
 
 def first_reasons(found: DataFrame, key: str, ranks: list[str]) -> DataFrame:
@@ -98,9 +104,9 @@ def natural_view(records: DataFrame, key: str, intent: Column, reasons: DataFram
     tables must be unique.
     """
     drop = first_reasons(reasons, key, ranks)
-    state = unchanged(records.select(key, "output"), outputs.select(key, "output"), key, "output", repairs)
+    state = _compared(records, outputs, key, "output", repairs).select(key, "state", F.col("b_").alias("now_"))
     rows = records.withColumn("intent_", intent).join(drop, key, "left").join(fixed.select(key, F.col("intent").alias("fixed_")), key, "left")
-    rows = rows.join(state, key, "left").join(outputs.select(key, F.col("output").alias("now_")), key, "left")
+    rows = rows.drop("output").join(state, key, "left")
     kept = F.col("reason").isNull()
     said = without_names(F.coalesce("fixed_", "intent_"), names, stand_in)
     error = F.when(F.col("state").isin("changed", "lost"), F.concat(F.lit("output_"), "state"))

@@ -119,6 +119,34 @@ def index_commands(trees: DataFrame, key: str, tree: str) -> DataFrame:
     return _expanded(trees, key, tree, of, _COLUMNS, "tree_key")
 
 
+def _name(value) -> str | None:
+    return value if value is None or isinstance(value, str) else _text(value)
+
+
+def index_level_commands(levels: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of :func:`index_commands` for the commands of levels and of their ``events``, in one walk; ``event`` is null for the main list.
+
+    An event's list is the stream ``event/<id>``, with its ``name`` where it has
+    no id, or ``#`` and its place among the events where it has neither.  Events
+    that are no objects have no rows.
+    """
+
+    def of(source):
+        doc = _parsed(source)
+        doc = doc if isinstance(doc, dict) else {}
+        events = doc.get("events")
+        lists = [(None, "main", doc.get("commands"))]
+        for place, event in enumerate(events if isinstance(events, list) else []):
+            if isinstance(event, dict):
+                own = next((n for n in (_name(event.get("id")), _name(event.get("name"))) if n is not None), f"#{place}")
+                lists.append((own, f"event/{own}", event.get("commands")))
+        for own, root, top in lists:
+            for stream, at, depth, command in walk(top if isinstance(top, list) else []):
+                yield root + stream.removeprefix("main"), at, _type(command), depth, _text(command), own
+
+    return _expanded(levels, key, text, of, f"{_COLUMNS}, event string", "tree_key")
+
+
 def leaves(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, path, value)``: every scalar leaf of JSON texts with its path."""
 

@@ -42,6 +42,12 @@ def levels(spark, d) -> DataFrame:
     return c.scene_levels(level.select(F.concat(F.lit("scene/"), "l_orderkey").alias("path"), scene.alias("doc")), "path", "doc")
 
 
+def _walked(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Commands and levels, for queries that read either more than once."""
+    of = _saved(levels(spark, d))
+    return _saved(c.level_commands(of)), of
+
+
 def _catalog(spark) -> DataFrame:
     kind = F.element_at(F.array(F.lit("image"), F.lit("audio"), F.lit("video")), (F.col("id") % 4 + 1).cast("int"))
     return spark.range(40).where("id % 4 < 3").select(F.concat(F.lit("r"), "id").alias("id"), kind.alias("type"))
@@ -64,13 +70,12 @@ def scene_level_resources(spark, d):
 
 
 def scene_signal_graph(spark, d):
-    of = levels(spark, d)
+    of = _saved(levels(spark, d))
     return c.signal_graph(c.level_commands(of), of).select("command_key", "signal", "event")
 
 
 def scene_signal_problems(spark, d):
-    of = levels(spark, d)
-    found = c.level_commands(of)
+    found, of = _walked(spark, d)
     return c.signal_problems(found, of).unionByName(c.signal_problems(found, of, "level_context"))
 
 
@@ -80,8 +85,7 @@ def scene_reachable_events(spark, d):
 
 
 def scene_idle_levels(spark, d):
-    of = levels(spark, d)
-    return c.idle_levels(c.level_commands(of), of)
+    return c.idle_levels(*_walked(spark, d))
 
 
 def scene_command_errors(spark, d):

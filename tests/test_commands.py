@@ -127,3 +127,12 @@ def test_variable_types(spark):
     rows = [("a", 1, "x", "set", "temp"), ("a", 2, "5", "set", "global"), ("b", 1, "true", "set", "temp"), ("c", 1, "q", "add", "temp")]
     got = {r.name: (r.kind, r.mode) for r in c.variable_types(spark.createDataFrame(rows, "name string, place int, value string, operation string, scope string")).collect()}
     assert got == {"a": ("number", "mixed"), "b": ("boolean", "temp"), "c": ("number", "temp")}
+
+
+def test_events_without_names(spark):
+    level = {"commands": [{"type": "a"}], "events": [{"commands": [{"type": "b", "commands": [{"type": "c"}]}]}, "no event", {"id": None, "name": "n", "commands": [{"type": "d"}]}, {"id": 7, "commands": [{"type": "e"}]}, {"id": "x"}]}
+    rows = [("L", json.dumps(level)), (None, json.dumps(level)), ("empty", "{}"), ("broken", "{"), ("null", None), ("list", "[]"), ("odd", '{"commands": 1, "events": {}}')]
+    got = c.level_commands(spark.createDataFrame(rows, "level_key string, level_json string")).collect()
+    want = {("main", 0, "A", "main"), ("event/#0", 0, "B", "event"), ("event/#0/0/commands", 0, "C", "nested"), ("event/n", 0, "D", "event"), ("event/7", 0, "E", "event")}
+    assert {(r.stream_key, r.ordinal, r.type, r.context) for r in got if r.level_key == "L"} == want
+    assert len(got) == 10 and {r.level_key for r in got} == {"L", None}
