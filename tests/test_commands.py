@@ -136,3 +136,22 @@ def test_events_without_names(spark):
     want = {("main", 0, "A", "main"), ("event/#0", 0, "B", "event"), ("event/#0/0/commands", 0, "C", "nested"), ("event/n", 0, "D", "event"), ("event/7", 0, "E", "event")}
     assert {(r.stream_key, r.ordinal, r.type, r.context) for r in got if r.level_key == "L"} == want
     assert len(got) == 10 and {r.level_key for r in got} == {"L", None}
+
+
+def walks(df) -> int:
+    """How often the plan walks documents."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_loops_in_one_walk(spark):
+    """Loops and writes come from one walk; a write of the same variable counts only below its loop."""
+    loop = lambda i, key, *inner: {"id": i, "type": "loop", "parameters": {"condition": {"type": "variable", "key": key}, "commands": list(inner)}}
+    write = lambda key, op="add": {"type": "set-variable", "parameters": {"key": key, "op": op}}
+    top = [loop("a", "x", loop("b", "y", write("x"))), write("y"), 5, loop("c", "x", write("x", "keep")), {"type": "LOOP"}, {"type": "LOOP", "parameters": {"condition": {"type": "expression", "expression": "1"}}}]
+    levels = spark.createDataFrame([("k1", json.dumps({"commands": top})), ("k2", json.dumps({"commands": [loop("a", "x")]}))], "level_key string, level_json string")
+    for found in (c.level_commands(levels), c.level_commands(levels, ("LOOP", "SET_VARIABLE"))):
+        df = c.unbounded_loops(found)
+        assert walks(df) == 1
+        assert sorted((r.command_key, r.key) for r in df.collect()) == [("k1::main/0/commands::0", "y"), ("k1::main::3", "x"), ("k1::main::4", None), ("k2::main::0", "x")]
+    plain = c.level_commands(levels, json=False).collect()
+    assert {r.command_json for r in plain} == {None} and len(plain) == c.level_commands(levels).count() == 9
