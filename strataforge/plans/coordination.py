@@ -106,8 +106,8 @@ def causal_errors(spark, d):
 
 def lifecycle_errors(spark, d):
     """Elements of the changes' own commands by order and scope."""
-    cmds = co.labelled(_changes(spark, d), "o_orderkey", "doc")
-    return co.lifecycle_errors(cmds.where("grp = -1"), "o_orderkey").select("o_orderkey", "rule", "subject")
+    check = lambda texts, i, t: co.lifecycle_errors(saved(co.labelled(texts, i, t).where("grp = -1")), i)
+    return co.by_text(_changes(spark, d), "o_orderkey", "doc", saved, check).select("o_orderkey", "rule", "subject")
 
 
 QUERIES = {f.__name__: f for f in (coordination_errors, coordination_warnings, causal_errors, lifecycle_errors)}

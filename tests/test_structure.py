@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strataforge.functions import canonical
 from strataforge.operators import coordination as co
 from strataforge.operators import curate, tree
+from strataforge.sources.shared import saved
 
 TEXTS = [
     '{"b":1,"a":2}', '{"a":1.0}', '{"a":1.50}', '{"a":1e2}', '{"a":-0.0}', '{"a":-0}', '{"a":1E-7}', '{"a":12345678901234567890123}', '{"a":123456789012345678901234567890123456789012}', '"\\u00e9\\u0001\\/\\"\\n\\u2028<>"',
@@ -92,3 +93,22 @@ def test_labels(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         co.coordination_errors(spark.createDataFrame([(1, "{}")], "k int, t string"), "k", "t", None, None, "other")
+
+
+def test_copies_are_labelled_once(spark):
+    """Rules on texts are asked once for each text; the catalog is each change's own."""
+    loop = json.dumps({"commands": [{"id": "a", "type": "LOOP", "parameters": {}}, {"id": "b", "type": "SE_PLAY", "parameters": {"soundId": "s"}}], "extra_events": []})
+    rows = spark.createDataFrame([*((n, loop, "click_event") for n in range(40)), (50, "no", "auto_event"), (51, None, "complex_coordination")], "k int, t string, category string")
+    asked = []
+
+    def check(texts, key, text):
+        asked.append(sorted(r[text] for r in texts.collect()))
+        return co.lifecycle_errors(co.labelled(texts, key, text), key)
+
+    got = sorted((r.k, r.rule, r.subject) for r in co.by_text(rows, "k", "t", saved, check).collect())
+    assert asked == [["no", loop]] and got == [(n, "empty_loop", "a") for n in range(40)]
+    catalog = spark.createDataFrame([(n, "s", "audio" if n % 2 else "image", "existing", n != 4) for n in range(1, 40)], "k int, id string, type string, origin string, present boolean")
+    found = {(r.k, r.rule, r.subject) for r in co.coordination_errors(rows, "k", "t", catalog, saved).collect() if "resource" in r.rule or "asset" in r.rule}
+    assert found == {(0, "resource", "s"), (4, "asset_absent", "s"), *((n, "resource_kind", "s:soundId") for n in range(2, 40, 2))}
+    lacks = sorted((r.k, r.rule) for r in co.causal_errors(rows, "k", "t", saved).collect())
+    assert lacks == [*((n, "no_completion") for n in range(40)), (50, "no_preparation"), (51, "no_confirmation"), (51, "no_preparation")]
