@@ -155,3 +155,16 @@ def test_loops_in_one_walk(spark):
         assert sorted((r.command_key, r.key) for r in df.collect()) == [("k1::main/0/commands::0", "y"), ("k1::main::3", "x"), ("k1::main::4", None), ("k2::main::0", "x")]
     plain = c.level_commands(levels, json=False).collect()
     assert {r.command_json for r in plain} == {None} and len(plain) == c.level_commands(levels).count() == 9
+
+
+def test_pruned_levels_are_counted_in_one_walk(spark, sf_dir):
+    """What is left after a change is counted where the change is made, without another walk or a join."""
+    from strataforge.plans import scenes
+
+    plan = scenes.scene_pruned(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    wait = {"type": "WAIT"}
+    doc = {"commands": [{"type": "EMIT_SIGNAL"}, 7, {"type": "LOOP", "parameters": {"commands": [wait, wait]}}], "events": [{"commands": [wait, {"type": "EMIT_SIGNAL"}]}, 3]}
+    rows = spark.createDataFrame([("a", json.dumps(doc)), ("b", '{"commands":[{"type":"EMIT_SIGNAL"}]}'), ("c", "no")], "k string, t string")
+    got = tree.rewritten(rows, "k", "t", tree.without_types({"EMIT_SIGNAL"}), counted=True).collect()
+    assert sorted((r.tree_key, r.tree, r.changes, r.left) for r in got) == [("a", None, 2, 4), ("b", None, 1, 0)]
