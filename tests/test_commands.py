@@ -168,3 +168,24 @@ def test_pruned_levels_are_counted_in_one_walk(spark, sf_dir):
     rows = spark.createDataFrame([("a", json.dumps(doc)), ("b", '{"commands":[{"type":"EMIT_SIGNAL"}]}'), ("c", "no")], "k string, t string")
     got = tree.rewritten(rows, "k", "t", tree.without_types({"EMIT_SIGNAL"}), counted=True).collect()
     assert sorted((r.tree_key, r.tree, r.changes, r.left) for r in got) == [("a", None, 2, 4), ("b", None, 1, 0)]
+
+
+def test_references_of_levels_are_found_in_one_walk(spark, sf_dir):
+    """References need no command written and read again: with and without new names, as by way of the commands."""
+    from strataforge.plans import scenes
+
+    for query in (scenes.scene_references, scenes.scene_remapped):
+        assert query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    commands = [
+        {"id": "a", "type": "LOOP", "resourceId": 1.5, "parameters": {"soundId": None, "x.imageId": True, "style": {"list": [[{"animId": "n"}], "s"]}, "imageId": ["r1"], "commands": [{"type": "SE_PLAY", "parameters": {"soundId": "r1"}}]}},
+        {"id": "b", "parameters": {"options": [{"skinId": "o", "commands": [{"parameters": {"mediaId": "r2"}}]}]}}, 5,
+    ]
+    texts = [json.dumps({"commands": commands, "events": [{"name": "e", "commands": commands}, 7]}), "[]", "{", None]
+    rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "level_key string, level_json string")
+    change = tree.with_new_ids(tuple(c.RESOURCE_FIELDS), {"r1": "new"})
+    new = tree.rewritten(rows, "level_key", "level_json", change).selectExpr("tree_key AS level_key", "tree AS level_json")
+    both = lambda df: sorted(df.collect(), key=repr)
+    names = ("command_key", "path", "field", "resource_id", "wanted")
+    for got, source in ((c.level_references(rows), rows), (c.level_references(rows, change), new)):
+        want = both(c.resource_references(c.level_commands(source)).select(*names))
+        assert len(want) == 12 and both(got.select(*names)) == want
