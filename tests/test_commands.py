@@ -189,3 +189,17 @@ def test_references_of_levels_are_found_in_one_walk(spark, sf_dir):
     for got, source in ((c.level_references(rows), rows), (c.level_references(rows, change), new)):
         want = both(c.resource_references(c.level_commands(source)).select(*names))
         assert len(want) == 12 and both(got.select(*names)) == want
+
+
+def test_trees_are_rebuilt_as_a_stream(spark):
+    """Trees are built from sorted rows, across batches, not one group after the other."""
+    docs = [json.dumps({"commands": [{"id": n, "type": "LOOP", "parameters": {"commands": [{"id": f"{n}.{i}", "type": "X"} for i in range(n)]}}, {"id": "z", "type": "Y"}]}, separators=(",", ":")) for n in range(30)]
+    rows = tree.index_commands(spark.createDataFrame([*((f"k{n}", t) for n, t in enumerate(docs)), (None, docs[3])], "k string, t string"), "k", "t")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = tree.rebuilt(rows)
+        assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.tree_key: r.tree for r in found.collect()} == {**{f"k{n}": t for n, t in enumerate(docs)}, None: docs[3]}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
