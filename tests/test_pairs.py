@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strataforge.functions import scalars
 from strataforge.operators import events as ev
+from strataforge.operators import space
 
 
 def test_edges_of_one_signal_take_little_room(spark, tmp_path):
@@ -25,3 +27,17 @@ def test_edges_of_odd_rows(spark):
     got = sorted(((r.p, r.signal, r.l) for r in ev.signal_edges(producers, listeners, "signal", "p", "l").collect()), key=repr)
     assert got == [(1, "a", 5), (1, "a", None), (None, "a", 5), (None, "a", None)]
     assert ev.signal_edges(producers, listeners.where("false"), "signal", "p", "l").count() == 0
+
+
+def test_rectangles_of_one_cell_meet_in_many_tasks(spark):
+    box = spark.range(4000).select("id", (F.col("id") % 50 / 1000).alias("x0"), (F.col("id") % 7 / 1000).alias("y0")).select("*", (F.col("x0") + 0.1).alias("x1"), (F.col("y0") + 0.1).alias("y1"))
+    found = space.overlaps(box.where("id < 300"), box, 0.25)
+    assert found.count() == found.select("left_id", "right_id").distinct().count() == 300 * 4000
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_rounded_as_spark_rounds(spark):
+    values = [0.0, -0.0, 0.0000000005, -0.0000000005, 0.0049999995, 0.1234567885, 1e300, -2.5, float("nan"), float("inf"), float("-inf"), None, 12345.6789012345, 1e-300, *(i * 37e-12 - 0.005 for i in range(20_000))]
+    x = F.col("x")
+    same = scalars.rounded(x, 9).eqNullSafe(F.round(x, 9))
+    assert spark.createDataFrame([(v,) for v in values], "x double").where(~same).count() == 0
