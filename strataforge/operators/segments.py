@@ -47,14 +47,15 @@ def script_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def tree_fragments(levels: DataFrame, key: str, text: str, events_field: str = "events") -> DataFrame:
     """``(key, suffix, fragment)``: each top command, each event, and each command of each event on its own, as JSON."""
-    lists = lambda v, field: F.expr(f"try_variant_get({v}, '$.{field}', 'array<variant>')")
-    docs = levels.select(key, F.expr(f"try_parse_json(`{text}`)").alias("v"))
-    number = lambda c: (F.col(c) + 1).cast("string")
-    top = docs.select(key, F.posexplode(lists("v", "commands")).alias("i", "c")).select(key, F.concat(F.lit("top"), number("i")).alias("suffix"), F.to_json("c").alias("fragment"))
-    events = docs.select(key, F.posexplode(lists("v", events_field)).alias("e", "event"))
-    whole = events.select(key, F.concat(F.lit("event"), number("e")).alias("suffix"), F.to_json("event").alias("fragment"))
-    inner = events.select(key, "e", F.posexplode(lists("event", "commands")).alias("i", "c")).select(key, F.concat(F.lit("event"), number("e"), F.lit("-cmd"), number("i")).alias("suffix"), F.to_json("c").alias("fragment"))
-    return top.unionByName(whole).unionByName(inner)
+    lists = lambda v, field: F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+    named = lambda name, v: F.struct(name.alias("suffix"), v.alias("v"))
+    place = lambda head, i: F.concat(F.lit(head), (i + 1).cast("string"))
+    docs = levels.select(key, F.expr(f"try_parse_json(`{text}`)").alias("v")).select(key, lists(F.col("v"), "commands").alias("top"), lists(F.col("v"), events_field).alias("events"))
+    top = F.transform("top", lambda c, i: named(place("top", i), c))
+    whole = F.transform("events", lambda event, e: named(place("event", e), event))
+    inner = F.flatten(F.transform("events", lambda event, e: F.transform(lists(event, "commands"), lambda c, i: named(F.concat(place("event", e), place("-cmd", i)), c))))
+    # a level is read once for all its parts
+    return docs.select(key, F.explode(F.concat(top, whole, inner)).alias("part")).select(key, "part.suffix", F.to_json("part.v").alias("fragment"))
 
 
 def single_commands(levels: DataFrame, key: str, text: str, without: tuple = ("SCRIPT",)) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 import pytest
 
 from strataforge.operators import commands as c
+from strataforge.operators import segments
 
 _ODD = ["", " ", None, 0, 1.5, True, "x", "variable", "expression", "eq", [], [1], {}, {"a": ""}]
 
@@ -30,3 +31,20 @@ def test_errors_in_one_walk(odd_levels):
     got = rows(c.level_errors(odd_levels))
     assert got == rows(c.command_errors(c.level_commands(odd_levels))) and {r[1] for r in got} == {"a"}
     assert {"no_type", "no_id", "id_twice", "empty_loop", "old_branch_names", "condition_operator", "empty_expression"} <= {e for r in got for e in r[3]}
+
+
+def test_modifiers_in_one_walk(odd_levels):
+    modifiers = [{"type": "wait", "insert": ["A", "B"], "filter": {"duration": x}} for x in _ODD if x is not None] + [{"type": "IF_CONDITION", "insert": ["C"], "filter": {"parameters.condition.key": "n", "parameters.condition.value": 0}}, {"type": "bgm-play", "insert": ["D"]}]
+    rows = lambda df: sorted(tuple(r) for r in df.select("level_key", "stream_key", "ordinal", "type", "inserted", "new_ordinal").collect())
+    got = rows(c.level_modified(odd_levels, modifiers))
+    assert got == rows(c.with_modifiers(c.level_commands(odd_levels), modifiers)) and {"A", "B", "C", "D"} <= {r[3] for r in got}
+
+
+def test_fragments_read_a_level_once(odd_levels):
+    found = segments.tree_fragments(odd_levels, "level_key", "level_json")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Generate ") == 1
+    assert [(r.level_key, r.suffix, r.fragment) for r in found.where("suffix like 'event%' or level_key = 'b'").orderBy("level_key", "suffix").collect()] == [
+        ("a", "event1", '{"commands":[{"id":"l","type":"BGM_PLAY"},{"id":"only","parameters":{"musicId":"m"},"type":"BGM_PLAY"}],"id":"e"}'), ("a", "event1-cmd1", '{"id":"l","type":"BGM_PLAY"}'),
+        ("a", "event1-cmd2", '{"id":"only","parameters":{"musicId":"m"},"type":"BGM_PLAY"}'), ("a", "event2", '{"commands":[{"id":"o2"}]}'), ("a", "event2-cmd1", '{"id":"o2"}'), ("a", "event3", "7"),
+        ("b", "top1", '{"id":"l","parameters":{"duration":1},"type":"WAIT"}'),
+    ]
