@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataforge.functions.scalars import sha256_mod
-from strataforge.operators import coordination as co
+from strataforge.operators import tree
 
 
 def _same(a: str, b: str) -> Column:
@@ -116,6 +116,34 @@ def rechecked_view(base: DataFrame, required: DataFrame, extra: DataFrame, valid
     return rows.select(key, "action", *(F.trim(F.coalesce(F.col(f"fix_.{c}"), F.col(c))).alias(c) for c in content), F.col("fix_.reason").alias("reason"), split.alias("split"))
 
 
+def _heard(events_field: str):
+    """``(at, consumer, signal, enter, grp)`` of the signals that events listen to; ``enter`` and ``grp`` tell the first command in pre-order that emits one, in the commands (-1) or an event."""
+
+    def of(source):
+        doc = tree._parsed(source)
+        if not isinstance(doc, dict):
+            return
+        events = doc.get(events_field)
+        events = events if isinstance(events, list) else []
+        emitted: dict[str, tuple] = {}
+        number = 0
+        for grp, top in [(-1, doc.get("commands")), *((n, e.get("commands")) for n, e in enumerate(events) if isinstance(e, dict))]:
+            for _, _, _, command in tree.walk(top if isinstance(top, list) else []):
+                number += 1
+                inner = command.get("parameters")
+                signal = inner.get("signal") if isinstance(inner, dict) else None
+                if isinstance(signal, str) and signal and str(command.get("type", "")).upper() == "EMIT_SIGNAL":
+                    emitted.setdefault(signal, (number, grp))
+        for at, event in enumerate(events):
+            triggers = event.get("triggers") if isinstance(event, dict) else None
+            targets = [t.get("target") for t in triggers if isinstance(t, dict) and t.get("type") == "custom"] if isinstance(triggers, list) else []
+            name = tree._name(event.get("id")) if targets else None
+            for signal in dict.fromkeys(t for t in targets if isinstance(t, str) and t.strip(" ")):
+                yield at, "None" if name is None else name, signal, *emitted.get(signal, (None, None))
+
+    return of
+
+
 def coordination_examples(levels: DataFrame, key: str, text: str, save, events_field: str = "events", direct: int = 3, derived: int = 3) -> DataFrame:
     """``(key, number, pattern, producer, signal, consumer)``: examples of coordinated events of each level.
 
@@ -124,11 +152,9 @@ def coordination_examples(levels: DataFrame, key: str, text: str, save, events_f
     one fill up; then ``derived`` tasks on the level's listeners in turn.  A
     level without listeners has none.
     """
-    cmds = save(co.labelled(levels, key, text, events_field).where("type = 'EMIT_SIGNAL' and signal <> ''").select(key, "grp", "enter", "signal"))
-    events = co.events_of(levels, key, text, events_field)
-    names = events.select(key, "grp", F.coalesce(F.expr("try_variant_get(event, '$.id', 'string')"), F.lit("None")).alias("consumer"))
-    heard = save(co.hears(co.triggers_of(events, key), key).join(names, [key, "grp"]).withColumnRenamed("grp", "at"))
-    edges = cmds.join(heard, [key, "signal"])
+    # signals stay inside a level, so the walk that finds listeners tells the first emission that each of their signals has
+    met = save(tree._expanded(levels.where(F.col(key).isNotNull()), key, text, _heard(events_field), "at int, consumer string, signal string, enter int, grp int", key))
+    heard, edges = met.select(key, "at", "consumer", "signal"), met.where("enter is not null")
     first = edges.groupBy(key, "consumer").agg(F.min(F.struct("enter", "at", "grp", "signal")).alias("e"))
     place = Window.partitionBy(key)
     routed = first.withColumn("number", F.row_number().over(place.orderBy("e"))).where(F.col("number") <= direct)

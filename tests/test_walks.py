@@ -8,7 +8,7 @@ import json
 import pytest
 
 from strataforge.operators import commands as c
-from strataforge.operators import segments
+from strataforge.operators import ledgers, segments
 
 _ODD = ["", " ", None, 0, 1.5, True, "x", "variable", "expression", "eq", [], [1], {}, {"a": ""}]
 
@@ -48,3 +48,16 @@ def test_fragments_read_a_level_once(odd_levels):
         ("a", "event1-cmd2", '{"id":"only","parameters":{"musicId":"m"},"type":"BGM_PLAY"}'), ("a", "event2", '{"commands":[{"id":"o2"}]}'), ("a", "event2-cmd1", '{"id":"o2"}'), ("a", "event3", "7"),
         ("b", "top1", '{"id":"l","parameters":{"duration":1},"type":"WAIT"}'),
     ]
+
+
+def test_examples_read_a_level_once(spark):
+    emit = lambda s: {"type": "emit_signal", "parameters": {"signal": s}}
+    hears = lambda *s: [{"type": "custom", "target": x} for x in s]
+    level = {"commands": [{"type": "LOOP", "parameters": {"commands": [emit("q")]}}, emit(5), 3], "events": [7, {"id": 4, "triggers": hears("z", " ", None)}, {"triggers": [*hears("q", "q"), 1, {"type": "auto"}]}, {"id": "e", "triggers": "q"}]}
+    rows = spark.createDataFrame([(1, json.dumps(level)), (2, "no"), (3, None)], "k int, t string")
+    written = []
+    found = ledgers.coordination_examples(rows, "k", "t", lambda df: written.append(df.cache()) or written[-1])
+    assert len(written) == 1
+    assert sorted((r.number, r.pattern[:3], r.producer, r.signal, r.consumer) for r in found.collect()) == [
+        (1, "sig", "main", "q", "None"), (2, "ind", None, None, "4"), (3, "der", None, None, "4"), (4, "der", None, None, "None"), (5, "der", None, None, "4"),
+    ]
