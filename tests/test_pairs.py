@@ -36,6 +36,16 @@ def test_rectangles_of_one_cell_meet_in_many_tasks(spark):
     assert found.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_areas_of_rectangles_in_one_place_stand_in_runs(spark, tmp_path):
+    # 1,200 places with four rectangles each, whose ids are far apart
+    at = lambda seed: F.pmod(F.hash(F.col("id") % 1200, F.lit(seed)), F.lit(99_991)) / 1_000_000
+    box = spark.range(4800).select("id", at(1).alias("x0"), at(2).alias("y0")).select("*", (F.col("x0") + 0.1).alias("x1"), (F.col("y0") + 0.1).alias("y1"))
+    path = f"{tmp_path}/met"
+    space.overlaps(box.where("id % 2 = 0"), box.where("id % 2 = 1"), 0.25).write.parquet(path)
+    assert spark.read.parquet(path).count() == 2400 * 2400
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 2400 * 2400 * 4
+
+
 def test_rounded_as_spark_rounds(spark):
     values = [0.0, -0.0, 0.0000000005, -0.0000000005, 0.0049999995, 0.1234567885, 1e300, -2.5, float("nan"), float("inf"), float("-inf"), None, 12345.6789012345, 1e-300, *(i * 37e-12 - 0.005 for i in range(20_000))]
     x = F.col("x")
