@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from strataforge.functions.canonical import canonical_hash
+from strataforge.functions.canonical import canonical_text
 
 CATALOG = "array<struct<id:string,type:string,path:string,origin:string,exists:boolean>>"
 
@@ -72,14 +74,25 @@ def unchanged(before: DataFrame, after: DataFrame, key: str, json: str, allowed:
     return _compared(before, after, key, json, allowed).select(key, "state")
 
 
+def _form(text: str | None) -> str:
+    text = text or ""
+    found = canonical_text(text)
+    return text if found is None else found
+
+
+@F.pandas_udf(BooleanType())
+def _equal(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([a == b or _form(a) == _form(b) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+
 def _compared(before: DataFrame, after: DataFrame, key: str, json: str, allowed: DataFrame) -> DataFrame:
     """:func:`unchanged` with both texts, ``a_`` and ``b_``; only texts that differ are parsed."""
     a = before.select(key, F.col(json).alias("a_"), F.lit(True).alias("in_a"))
     b = after.select(key, F.col(json).alias("b_"), F.lit(True).alias("in_b"))
     may = allowed.select(key).distinct().withColumn("may", F.lit(True))
     rows = a.join(b, key, "full").join(may, key, "left").withColumn("differ", ~F.col("a_").eqNullSafe(F.col("b_")))
-    print_of = lambda text: F.coalesce(canonical_hash(F.when(F.col("differ"), F.col(text))), F.sha2(F.coalesce(text, F.lit("")), 256))
-    same = ~F.col("differ") | (print_of("a_") == print_of("b_"))
+    asked = lambda text: F.when(F.col("differ"), F.col(text))
+    same = ~F.col("differ") | _equal(asked("a_"), asked("b_"))
     state = F.when(F.col("in_b").isNull(), "lost").when(F.col("in_a").isNull(), "new").when(same, "same").when(F.col("may"), "repaired").otherwise("changed")
     return rows.select(key, state.alias("state"), "a_", "b_")
 

@@ -62,6 +62,19 @@ def test_signals_and_filters(levels, table):
     assert {(r.level_key[-2:], r.reason) for r in c.idle_levels(table, levels).collect()} == {("L2", "signal_without_event"), ("L2", "empty_condition"), ("L1", "idle_loop")}
 
 
+def test_idle_levels_in_one_walk(spark, levels, table):
+    rows = lambda df: sorted((r.level_key, r.reason) for r in df.collect())
+    assert rows(c.level_idle(levels)) == rows(c.idle_levels(table, levels))
+    emit, wait = '{"type":"emit-signal","parameters":{"signal":"s"}}', '{"type":"wait"}'
+    bodies = ["[]", f"[{wait}]", f'[{wait},{{"type":"Break"}}]', f"[{wait},5]", f'[{wait},{{"type":null}}]', f"[{emit}]", "null", f'[{{"type":["WAIT"]}}]']
+    docs = [f'{{"commands":[{{"type":"loop","parameters":{{"commands":{b}}}}},{{"type":"LOOP","commands":{b}}}]}}' for b in bodies]
+    docs += [f'{{"commands":[{{"type":"if condition","parameters":{{"trueCommands":{b},"falseCommands":{d}}}}}]}}' for b in bodies for d in bodies]
+    docs += ['{"commands":[{"type":"IF_CONDITION","trueCommands":[1]},{"type":"IF_CONDITION","parameters":7}]}', "5", "[]", "{", "{}"]
+    docs += [f'{{"commands":{x},"events":{e}}}' for x in (f"[{emit}]", f"[{wait}]") for e in ("[]", "{}", "null", "[1]", f'[{{"id":"main","commands":[{emit}]}}]')]
+    odd = spark.createDataFrame([(f"k{n}", text) for n, text in enumerate([*docs, None])], "level_key string, level_json string")
+    assert rows(c.level_idle(odd)) == rows(c.idle_levels(c.level_commands(odd), odd))
+
+
 def test_contract(table):
     assert {(r.command_key.split("::", 2)[2], tuple(r.errors)) for r in c.command_errors(table).collect()} == {
         ("L2::main::0", ("id_twice",)), ("L2::main::1", ("id_twice", "condition_incomplete", "condition_old_names")),
